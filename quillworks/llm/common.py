@@ -51,20 +51,29 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-#: Bits of the table in id_filter: 8 MB, whatever the number of ids.
+#: Bits of the table of ids: 8 MB, whatever the number of ids.
 ID_BITS = 26
 
 
-def id_filter(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """The rows whose id may be in ``ids`` (one column, named id), by a bit table of fixed size that is broadcast.
-
-    It spares most other rows a shuffle. Ids that share a bit pass too, so an exact join has to follow.
-    """
+def _marked(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """rows with _maybe: whether the id may be in ``ids`` (one column, named id), by a bit table of fixed size that is broadcast."""
     slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << ID_BITS) - 1))
     bits = ids.select(F.shiftright(slot(F.col("id")), 6).alias("_word"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     # 2 ** (ID_BITS - 6) rows at most.
-    out = rows.withColumn("_word", F.shiftright(slot(F.col(col)), 6)).join(F.broadcast(bits), "_word")
-    return out.where(F.expr(f"(shiftrightunsigned(_bits, cast(xxhash64(`{col}`) & 63 as int)) & 1) = 1")).drop("_word", "_bits")
+    out = rows.withColumn("_word", F.shiftright(slot(F.col(col)), 6)).join(F.broadcast(bits), "_word", "left")
+    return out.withColumn("_maybe", F.expr(f"coalesce((shiftrightunsigned(_bits, cast(xxhash64(`{col}`) & 63 as int)) & 1) = 1, false)")).drop("_word", "_bits")
+
+
+def id_filter(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be in ``ids``. It spares most others a shuffle; ids that share a bit pass too, so an exact join has to follow."""
+    return _marked(rows, col, ids).where("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not in ``ids``, and those with a null id. Only rows that may go are shuffled."""
+    marked = _marked(rows, col, ids)
+    unsure = marked.where("_maybe").join(ids.select(F.col("id").alias("_id")), F.col(col) == F.col("_id"), "left_anti")
+    return marked.where("not _maybe").unionByName(unsure).select(rows.columns)
 
 
 def word_count(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, substrings, tokens, topk, toxicity
+from . import decontaminate, licenses, mixing, quality, sharding, simhash, substrings, tokens, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT A
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -95,7 +103,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_mix": op3_mix, "op6_shards": op6_shards, "op7_topk": op7_topk, "op8_substrings": op8_substrings, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_mix": op3_mix, "op4_decontaminate": op4_decontaminate, "op5_licenses": op5_licenses, "op6_shards": op6_shards, "op7_topk": op7_topk, "op8_substrings": op8_substrings, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions
+from .common import Scratch, components, id_filter, partitions, without
 
 #: Bit ranges of a fingerprint. Three segments: of four differing bits, one segment has one at most.
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
@@ -18,6 +18,10 @@ SEGMENTS = ((0, 21), (21, 42), (42, 64))
 BLOCK = 1 << 22
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """SimHash of a text's word shingles, repeats included; fewer words make one shingle, none make 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
@@ -131,16 +135,19 @@ def simhash_components(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col:
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; of equal rows with that id, one. Columns as given."""
+    """One document of each component stays, the one with the smallest doc_id; of rows with that id, one. Columns as given.
+
+    Rows with a null id stay: nothing names them.
+    """
     scratch = Scratch(docs.sparkSession, "kept")
-    rows = docs.withColumn("_n", F.xxhash64(*(F.col(c) for c in docs.columns)))
-    found = simhash_components(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    kept = scratch.write(kept, "ids").select(F.col("doc_id").alias("_id"))
-    one = Window.partitionBy("doc_id").orderBy("_n")
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi").withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_n", "_k")
+    found = scratch.write(simhash_components(docs, **options), "found")
+    gone = scratch.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    twice = scratch.write(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "twice")
+    kept = without(docs, "doc_id", gone)
+    if twice.isEmpty():
+        return kept
+    same = id_filter(kept, "doc_id", twice).join(twice.select(F.col("id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*(F.col(c) for c in docs.columns)))
+    one = same.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    return without(kept, "doc_id", twice).unionByName(one)
