@@ -15,42 +15,170 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textnum
 from .common import Scratch, partitions
 
-#: Words whose ids a Python worker keeps; beyond it the memory of words starts anew.
-REMEMBERED = 400_000
+#: Pieces whose ids a Python worker keeps; beyond it, the memory starts anew.
+REMEMBERED = 1_500_000
+#: Pieces that are encoded end to end at once.
+AT_ONCE = 4_096
+
+_BYTES = np.arange(256)
+#: Marks that may end a word; after a letter or digit they are a word of their own to a tokenizer that marks word ends.
+MARKS = np.isin(_BYTES, list(b".,!?;:|#$%&*"))
+ALNUM = ~textnum.LETTERS & (_BYTES < 128)
+ASCII_LETTERS = ALNUM & (_BYTES >= 65)
+#: First bytes of two-byte letters, U+00C0 to U+024F.
+LATIN = (_BYTES >= 0xC3) & (_BYTES <= 0xC9)
+
+
+def latin_letter(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether two bytes are such a letter: U+00D7 and U+00F7 are signs, and U+0130 becomes two characters in lower case."""
+    return LATIN[first] & (second >= 0x80) & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) & ~((first == 0xC4) & (second == 0xB0))
+
+
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """data[start : start + length] of all, end to end."""
+    ends = np.cumsum(lengths)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
 
 
 class Encoder:
     """Whole texts to ids with a ``tokenizers`` file, special tokens not added.
 
-    Splitting at spaces before the library is exact where its first steps turn white space into spaces and its words
-    never cross one; ``by_word`` says so. Then each different word goes through the library once and is remembered.
+    Splitting at spaces before the library is exact where its first steps turn white space into spaces and lower letters,
+    and its words never cross a space; ``by_word`` says so. Then each different piece goes through the library once and is
+    remembered by a 64-bit hash. Where the file marks word ends, a piece is a word without the marks after it, or these
+    marks, and pieces of one kind go through the library many at a time, cut where a token ends a word.
     """
 
     def __init__(self, path: str, by_word: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {"": b""}
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-
-    def bytes_of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned integers."""
-        fresh = lambda batch: [np.asarray(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """hashes, sorted, with where their ids are in the pool; the newest in small arrays of their own."""
+        self.tiers = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _pieces(self, t: textnum.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, text, plain) of each piece. Plain ones are one word to the library."""
+        data, starts, ends = t.data, t.starts, t.ends
+        if self.ends is None or not len(starts):
+            return starts, ends, t.owners(), np.zeros(len(starts), bool)
+        place = np.maximum.accumulate(np.where(MARKS[data], -1, np.arange(len(data))))[ends - 1]
+        core = np.maximum(place + 1, starts)
+        last, before = data[np.maximum(core - 1, 0)], data[np.maximum(core - 2, 0)]
+        letter = ALNUM[last] | latin_letter(before, last) & (core - 2 >= starts)
+        core = np.where((core > starts) & ~letter, ends, core)
+        cut = (core > starts) & (core < ends)
+        begin, end, own = np.repeat(starts, 1 + cut), np.repeat(ends, 1 + cut), np.repeat(t.owners(), 1 + cut)
+        at = np.cumsum(1 + cut) - 1 - cut
+        end[at[cut]] = begin[at[cut] + 1] = core[cut]
+        good = ASCII_LETTERS[data]
+        two = latin_letter(data[:-1], data[1:])
+        good[:-1] |= two
+        good[1:] |= two
+        inside = lambda x: np.concatenate([[0], np.cumsum(x)])
+        letters, marks = inside(good), inside(MARKS[data])
+        size = end - begin
+        return begin, end, own, (letters[end] - letters[begin] == size) | (marks[end] - marks[begin] == size)
+
+    def _encode(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, length) in the pool of new pieces."""
+        place, length = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        rest = [np.flatnonzero(~plain)]
+        some = np.flatnonzero(plain)
+        for k in range(0, len(some), AT_ONCE):
+            at = some[k : k + AT_ONCE]
+            size = end[at] - begin[at] + 1
+            line = gather(data, begin[at], size)
+            line[np.cumsum(size) - 1] = 32
+            ids = np.asarray(self.tokenizer.encode(line.tobytes().decode(), add_special_tokens=False).ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(at) or cuts[-1] != len(ids):
+                rest.append(at)
+                continue
+            length[at] = np.diff(cuts, prepend=0)
+            place[at] = self._keep(ids) + cuts - length[at]
+        rest = np.concatenate(rest)
+        raw = data.tobytes()
+        for at, x in zip(rest.tolist(), self.tokenizer.encode_batch_fast([raw[begin[i] : end[i]].decode() for i in rest], add_special_tokens=False), strict=True):
+            length[at] = len(x.ids)
+            place[at] = self._keep(np.asarray(x.ids, self.kind))
+        return place, length
+
+    def _find(self, t: textnum.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, text) of each piece's ids."""
+        begin, end, own, plain = self._pieces(t)
+        low = textnum.LOWER[t.data] if self.ends is not None else t.data
+        hashes, first, back = np.unique(textnum.spans(low.astype(np.uint64) + np.uint64(1), begin, end), return_index=True, return_inverse=True)
+        place, length, new = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.ones(len(hashes), bool)
+        for known, places, lengths in self.tiers:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                place[hit], length[hit], new[hit] = places[at[hit]], lengths[at[hit]], False
+        if new.any():
+            at = first[new]
+            low = np.append(low, np.uint8(32))  # a place for the separator of the last piece
+            place[new], length[new] = self._encode(low, begin[at], end[at], plain[at])
+            joined = [np.concatenate(x) for x in zip(self.tiers[1], (hashes[new], place[new], length[new]), strict=True)]
+            order = np.argsort(joined[0], kind="stable")
+            self.tiers[1] = tuple(x[order] for x in joined)
+            if len(order) > 100_000:
+                joined = [np.concatenate(x) for x in zip(*self.tiers, strict=True)]
+                order = np.argsort(joined[0], kind="stable")
+                self.tiers = [tuple(x[order] for x in joined), tuple(x[:0] for x in joined)]
+        return place[back], length[back], own
+
+    def arrays(self, column: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids with the end id, lengths) of some of the column's texts after others."""
         if not self.by_word:
-            return fresh(texts)
-        out, known = [], self.known
-        for text in texts:
-            words = text.split(" ")
-            if new := [w for w in set(words) if w not in known]:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    known[""] = b""
-                    new = list(set(words))
-                known.update(zip(new, fresh(new), strict=True))
-            out.append(b"".join([known[w] for w in words]))
-        return out
+            for at in range(0, len(column), 256):
+                coded = [np.asarray([*x.ids, end_id], self.kind) for x in self.tokenizer.encode_batch_fast([x or "" for x in column.slice(at, 256).to_pylist()], add_special_tokens=False)]
+                yield np.concatenate(coded), np.asarray(list(map(len, coded)))
+            return
+        for _, t in textnum.texts(column, SPACE, 2 * textnum.CHUNK):
+            if len(self.tiers[0][0]) > REMEMBERED:
+                self._forget()
+            place, length, own = self._find(t)
+            sizes = np.bincount(own, weights=length, minlength=len(t)).astype(np.int64) + 1
+            ids = np.full(sizes.sum(), end_id, self.kind)
+            last = np.cumsum(sizes) - 1
+            mine = np.ones(len(ids), bool)
+            mine[last] = False
+            ids[mine] = gather(self.pool, place, length)
+            yield ids, sizes
+
+
+SPACE = _BYTES == 32
+#: One encoder a Python worker and file: a worker runs many tasks.
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder_of(path: str, by_word: bool) -> Encoder:
+    if (path, by_word) not in _encoders:
+        _encoders[path, by_word] = Encoder(path, by_word)
+    return _encoders[path, by_word]
 
 
 def _write_shard(path: str, folder: str, end_id: int, by_word: bool):
@@ -61,15 +189,14 @@ def _write_shard(path: str, folder: str, end_id: int, by_word: bool):
         try:
             for batch in batches:
                 if data is None:
-                    encoder = Encoder(path, by_word)
+                    encoder = encoder_of(path, by_word)
                     name = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex[:8]}"
-                    data, end = open(name + ".bin.part", "wb"), np.asarray([end_id], encoder.kind).tobytes()
+                    data = open(name + ".bin.part", "wb")
                 ids.append(batch.column(0).fill_null(0).to_numpy())
                 nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-                for at in range(0, batch.num_rows, 256):
-                    coded = encoder.bytes_of([t or "" for t in batch.column(1).slice(at, 256).to_pylist()])
-                    lengths += [len(x) // encoder.kind.itemsize + 1 for x in coded]
-                    data.writelines(x + end for x in coded)
+                for found, sizes in encoder.arrays(batch.column(1), end_id):
+                    found.tofile(data)
+                    lengths += sizes.tolist()
         finally:
             if data is not None:
                 data.close()
