@@ -1,15 +1,462 @@
-"""Every query of the library by name, each with its SQL where SQL can express it."""
+"""Every query of the library by name, each with its SQL where SQL can express it.
+
+The driver's tables stand in for the engine's own: documents are recognised texts, conversations are blocks (a
+conversation an image, a turn a place), events are logs and scores. No table holds Hangul, so queries over Korean rules
+append a seed sentence to each text.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import quality, rules, text
+from ..operators import analytics, blocks, dictionary
+from ..sources import files, sinks
+from ..streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- texts ----------------------------------------------------------------------------------------------------------
+
+SEEDS = (
+    "그는 2019년 5월에 책을 썼다.. 정말?? 네!! 그래요.",
+    "사 람 들 은 마 이 클 싱 어 를 존경했었다. 헐 수 있다!",
+    "우리나라는 연구를 시작했습니다 그리고 결과는 좋네요.",
+    "학교에서 공부하기 때문에 매우중요한 시험이 있습니다. 하지만 끝났다",
+    "읽 을 것 이 많다. 될 수 있 다. 그옷은 뜨문에 했슴니다.",
+    "소율과 곧경을 이기 지 못했다 할수있는 teh Michacl; 쓸 것.",
+    "베스트 셀러 l 위는 이 ol 이 년 < 영혼 > ( 상처 ) 받었습니다: 끝.",
+    "연구했던2021 가지고있는 사람처럼 예를들어 하면서 걸어있습 있엤다.",
+)
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SEEDED_SQL = "(text || ' ' || [" + ", ".join(map(_sql_text, SEEDS)) + f"][(doc_id % {len(SEEDS)} + 1)::INTEGER])"
+
+
+def seeded(docs: DataFrame) -> DataFrame:
+    seed = F.element_at(F.array(*map(F.lit, SEEDS)), (F.col("doc_id") % len(SEEDS) + 1).cast("int"))
+    return docs.withColumn("text", F.concat("text", F.lit(" "), seed))
+
+
+def rewriting(name: str, rewrite: Callable[[Column], Column], sql: str | None, seed: bool = True) -> None:
+    """A query (doc_id, out): one rewrite of each text. ``sql`` has {t} for the text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        return (seeded(docs) if seed else docs).select("doc_id", rewrite(F.col("text")).alias("out"))
+
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = "SELECT doc_id, " + sql.replace("{t}", SEEDED_SQL if seed else "text") + " AS out FROM documents"
+
+
+def _ruled(name: str, some: list[rules.Rule], seed: bool = True, sql_rules: list[rules.Rule] | None = None) -> None:
+    rewriting(name, lambda t: rules.apply(t, some), rules.sql("{t}", some if sql_rules is None else sql_rules), seed)
+
+
+TRIM_SQL = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_tidy_sql = TRIM_SQL.replace("{x}", rules.sql("{t}", text.TIDY))
+rewriting("clean_basic", text.tidy, _tidy_sql)
+rewriting("clean_fallback", text.fallback, TRIM_SQL.replace("{x}", rules.sql("{t}", text.CLEANUP)))
+_ruled("sentence_structure", text.STRUCTURE)
+_ruled("hangul_spacing_number", text.SPACING_NUMBERS)
+_ruled("hangul_spacing_particle", text.SPACING_PARTICLES)
+_ruled("hangul_spacing_ending", text.SPACING_ENDINGS)
+_ruled("hangul_spacing_connective", text.SPACING_CONNECTIVES)
+_ruled("hangul_spacing_compound", text.SPACING_COMPOUNDS)
+_ruled("hangul_spacing_adverb", [text.ADVERBS])
+_ruled("hangul_spacing_conjunction", text.SPACING_CONJUNCTIONS)
+rewriting("hangul_spacing_tense", lambda t: rules.apply(t, text.TENSES), None)
+rewriting("hangul_spacing_all", lambda t: rules.apply(t, text.SPACING), None)
+rewriting("hangul_spacing_wide", lambda t: rules.apply(t, text.WIDE_SPACING), None)
+_ruled("ocr_dictionary_fold", text.MISREAD)
+_ruled("charfix_literal", [*text.CHARACTERS, *text.PHRASES])
+rewriting("charfix_intended", text.characters, None)
+_ruled("extended_fold", text.EXTENDED)
+_ruled("term_fix", text.TERMS)
+_ruled("plain_endings", text.PLAIN_ENDINGS)
+_ruled("special_char_fix", text.SPECIAL)
+_ruled("character_separation", text.SEPARATED, sql_rules=[rules.Rule(r.found.replace(r"(\w)", r"([\p{L}\p{N}_])"), r.put) for r in text.SEPARATED])
+_letters_sql = [*text.NUMBER_LETTERS[:6], rules.Rule(r"(\d)\s*o\s*년", r"\10년"), rules.Rule(r"l\s*(\d)", r"1\1")]
+_ruled("number_letter_fix", text.NUMBER_LETTERS, sql_rules=_letters_sql)
+
+
+def _ahead(r: rules.Rule) -> rules.Rule:
+    """The rule with the end that it looks ahead for as a group of its own, for RE2."""
+    found = r.found.removesuffix(rules.ENDS)
+    return rules.Rule(found + r"(\s|$|[.!?])", r.put + f"\\{found.count('([') + 1}")
+
+
+for _name, _some in text.ENDING_GROUPS.items():
+    _ruled(f"endings_{_name}", _some, sql_rules=list(map(_ahead, _some)))
+rewriting("overseparation_join", text.rejoin, None)
+_fixed_joins = [r for r in rules.joined(text.tables.JOINED) if "(?" not in r.found]
+_ruled("overseparation_fixed", _fixed_joins)
+rewriting("dynamic_patterns", text.dynamic, None)
+rewriting("number_gaps", text.number_gaps, None)
+rewriting("repeat_squash", lambda t: text.DYNAMIC[-1].on(t), None)
+rewriting("contextual_corrections", text.contextual, None)
+rewriting("contextual_observed", lambda t: text.contextual(t, True), None)
+rewriting("tts_numbers", text.spoken_numbers, None)
+rewriting("tts_commas", text.breaths, None)
+rewriting("tts_all", text.spoken, None)
+rewriting("tts_observed", lambda t: text.spoken(t, True), None)
+rewriting("paragraph_merge", text.paragraphs, None, seed=False)
+rewriting("line_trim", text.trim_lines, r"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))", seed=False)
+rewriting("final_validation", text.final, TRIM_SQL.replace("{x}", rules.sql("{t}", [text.SPACE_RUNS])))
+USER = [("teh", "the"), ("소율", "소울"), ("학교", "대학교"), ("teh", "THE")]
+rewriting("user_dictionary", lambda t: text.user_rules(t, USER), rules.sql("{t}", [rules.Rule(a, b, True) for a, b in dict(USER).items()]))
+
+
+def _pipeline(name: str, observed: bool, stages=text.WORKER) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = seeded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        for s in stages:
+            # explode keeps the stages apart: in one expression the first would be repeated by each that reads it twice.
+            out = out.select("doc_id", F.explode(F.array(text.worker_stage(s, observed)(F.col("text")))).alias("text"))
+        return out.select("doc_id", F.col("text").alias("out"))
+
+    QUERIES[name] = run
+
+
+_pipeline("worker_pipeline", False)
+_pipeline("worker_pipeline_observed", True)
+rewriting("corrected_pipeline", text.corrected, None)
+
+
+@query()
+def enhanced_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = seeded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = docs.withColumn("tidy", text.tidy(F.col("text")))
+    out = out.withColumn("fixed", rules.apply(F.col("tidy"), text.EXTENDED)).withColumn("hits", text.extended_hits(F.col("tidy")))
+    out = out.withColumn("out", text.final(rules.apply(rules.apply(F.col("fixed"), text.WIDE_SPACING), text.STRUCTURE)))
+    return out.select("doc_id", "out", "hits", quality.corrections(F.col("text"), F.col("out")).alias("corrections"), quality.text_quality(F.col("out")).alias("quality"))
+
+
+QUALITY_SQL = r"""CASE WHEN coalesce(x, '') = '' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.8::DOUBLE
+  + coalesce(length(regexp_replace(x, '[^가-힣]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(x, '\s', '', 'g')), 0), 0.0) * 0.1::DOUBLE
+  + CASE WHEN length(regexp_replace(x, '[^.]', '', 'g')) > 0 AND length(x)::DOUBLE / length(regexp_replace(x, '[^.]', '', 'g')) BETWEEN 10 AND 100 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END
+  - length(regexp_replace(x, '[^？！，；：]', '', 'g')) * 0.01::DOUBLE)) END"""
+
+
+@query(f"""WITH d AS (SELECT lang, {_tidy_sql.replace('{t}', 'text')} AS x FROM documents)
+SELECT lang, count(*) AS n, round(avg({QUALITY_SQL}), 6) AS quality, sum(length(regexp_replace(x, '[^가-힯]', '', 'g')))::BIGINT AS hangul,
+  sum(length(regexp_replace(x, '[^A-Za-z]', '', 'g')))::BIGINT AS latin FROM d GROUP BY lang""")
+def quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", text.tidy(F.col("text")).alias("x"))
+    scored = docs.select("lang", quality.text_quality(F.col("x")).alias("q"), quality.hangul(F.col("x")).alias("h"), quality.latin(F.col("x")).alias("l"))
+    return scored.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("q"), 6).alias("quality"), F.sum("h").alias("hangul"), F.sum("l").alias("latin"))
+
+
+@query(f"SELECT doc_id, round({QUALITY_SQL}, 9) AS quality FROM (SELECT doc_id, {SEEDED_SQL} AS x FROM documents)")
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded(table(spark, sf_dir, "documents")).select("doc_id", F.round(quality.text_quality(F.col("text")), 9).alias("quality"))
+
+
+@query(f"""SELECT doc_id, length(regexp_replace(t, '[^가-힯]', '', 'g'))::BIGINT AS hangul, length(regexp_replace(t, '[^A-Za-z]', '', 'g'))::BIGINT AS latin,
+  length(regexp_replace(t, '[^0-9]', '', 'g'))::BIGINT AS digits FROM (SELECT doc_id, {SEEDED_SQL} AS t FROM documents)""")
+def char_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return seeded(table(spark, sf_dir, "documents")).select("doc_id", *(x.cast("long").alias(n) for n, x in (("hangul", quality.hangul(t)), ("latin", quality.latin(t)), ("digits", quality.count_chars(t, "0-9")))))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {SEEDED_SQL} AS a FROM documents), e AS (SELECT doc_id, a, {_tidy_sql.replace('{t}', 'a')} AS b FROM d)
+SELECT doc_id, (length(a) - length(b) + abs(len(regexp_extract_all(a, '\S+')) - len(regexp_extract_all(b, '\S+'))))::BIGINT AS corrections,
+  round((length(b) - length(a)) * 100.0::DOUBLE / length(a), 6) AS change_rate FROM e""")
+def correction_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = seeded(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("a"), text.tidy(F.col("text")).alias("b"))
+    return docs.select("doc_id", quality.corrections(F.col("a"), F.col("b")).cast("long").alias("corrections"), F.round(quality.change_rate(F.length("a"), F.length("b")), 6).alias("change_rate"))
+
+
+def _hits_sql() -> str:
+    steps = ", ".join(f"{rules.sql(f't{k}', [r])} AS t{k + 1}" for k, r in enumerate(text.EXTENDED))
+    total = " + ".join(f"contains(t{k}, {_sql_text(r.found)})::INTEGER" for k, r in enumerate(text.EXTENDED))
+    return f"WITH d AS (SELECT doc_id, {SEEDED_SQL} AS t0, {steps} FROM documents) SELECT doc_id, {total} AS hits FROM d"
+
+
+@query(_hits_sql())
+def extended_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded(table(spark, sf_dir, "documents")).select("doc_id", text.extended_hits(F.col("text")).alias("hits"))
+
+
+PAIRS = (("teh", "the"), ("소율", "소울"), ("곧경", "곤경"), ("헐 수", "할 수"), ("그옷은", "그것은"), ("the", "The"), ("없는말", "있는말"))
+
+
+@query("WITH p(wrong, correct) AS (VALUES " + ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in PAIRS) + f""")
+SELECT wrong, count(*) FILTER (contains(t, correct) AND NOT contains(t, wrong)) AS fixed, count(*) FILTER (contains(t, wrong)) AS unfixed,
+  count(*) FILTER (NOT contains(t, wrong) AND NOT contains(t, correct)) AS unknown,
+  round(count(*) FILTER (contains(t, correct) AND NOT contains(t, wrong))::DOUBLE / count(*), 6) AS rate
+FROM p, (SELECT {rules.sql(SEEDED_SQL, text.MISREAD)} AS t FROM documents) GROUP BY wrong""")
+def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = seeded(table(spark, sf_dir, "documents")).select(rules.apply(F.col("text"), text.MISREAD).alias("t"))
+    # The pairs are a fixed list: a row each, from one pass.
+    rows = done.select("t", F.explode(F.array(*(F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("correct")) for a, b in PAIRS))).alias("p")).select("t", "p.*")
+    bad, good = F.contains("t", F.col("wrong")), F.contains("t", F.col("correct"))
+    fixed = F.count_if(good & ~bad)
+    return rows.groupBy("wrong").agg(fixed.alias("fixed"), F.count_if(bad).alias("unfixed"), F.count_if(~bad & ~good).alias("unknown"), F.round(fixed / F.count("*"), 6).alias("rate"))
+
+
+@query(r"""SELECT doc_id, """ + rules.sql("text", [rules.Rule(rf"(?i)\b{a}\b", b) for a, b in rules.table(text.tables.SPOKEN)]) + r""" AS out FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
+def tts_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    return docs.select("doc_id", rules.apply(F.col("text"), text.SPOKEN).alias("out"))
+
+
+# ---- blocks ---------------------------------------------------------------------------------------------------------
+
+
+def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as blocks: a user an image, value / 500 the confidence."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), F.col("event_id").alias("pos"), (F.col("value") / 500).alias("confidence"))
+
+
+@query("SELECT event_id AS pos FROM events WHERE value / 500 > 0.3")
+def conf_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.strict(event_blocks(spark, sf_dir)).select("pos")
+
+
+@query("SELECT event_id AS pos FROM events WHERE value / 500 >= 0.3")
+def conf_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.inclusive(event_blocks(spark, sf_dir)).select("pos")
+
+
+@query("""WITH b AS (SELECT user_id, event_id, value / 500 AS c, max(value / 500) OVER (PARTITION BY user_id) AS m FROM events)
+SELECT user_id AS image_id, event_id AS pos FROM b WHERE c >= CASE WHEN m >= 0.7 THEN 0.7 WHEN m >= 0.5 THEN 0.5 ELSE 0.3 END""")
+def conf_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.cascade(event_blocks(spark, sf_dir)).select("image_id", "pos")
+
+
+@query("""SELECT user_id AS image_id, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY floor((event_id % 300) / 20) * 20, value, event_id)::INTEGER AS rank FROM events""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), F.col("event_id").alias("pos"), "value")
+    return blocks.reading_rank(rows, F.col("value"), F.col("pos") % 300).select("image_id", "pos", "rank")
+
+
+@query()
+def line_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("texts"))
+    return rows.select("conv_id", blocks.assembled(F.col("texts")).alias("out"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS joined FROM conversations GROUP BY conv_id")
+def block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.joined(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT conv_id, string_agg('=== ' || role || ' ===' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn, '=== ' || role || ' ===' || chr(10) || text || chr(10) || chr(10)) AS report FROM conversations GROUP BY conv_id")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report(table(spark, sf_dir, "conversations"), "role", "text", "turn", "conv_id")
+
+
+@query(f"""WITH r AS (SELECT doc_id, 'raw' AS engine, 1 AS p, text AS t FROM documents UNION ALL
+  SELECT doc_id, 'tidy', 2, {_tidy_sql.replace('{t}', 'text')} FROM documents UNION ALL
+  SELECT doc_id, 'spaced', 3, {rules.sql('text', text.STRUCTURE)} FROM documents)
+SELECT doc_id, engine, length(t)::INTEGER AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(t) DESC, p) AS k FROM r) WHERE k = 1""")
+def best_engine_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    t = F.col("text")
+    made = F.array(*(F.struct(F.lit(n).alias("engine"), F.lit(p).alias("engine_pos"), x.alias("text")) for n, p, x in (("raw", 1, t), ("tidy", 2, text.tidy(t)), ("spaced", 3, rules.apply(t, text.STRUCTURE)))))
+    return blocks.best_engine(docs.select("doc_id", F.explode(made).alias("e")).select("doc_id", "e.*"), "doc_id").select("doc_id", "engine", F.length("text").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id, ['clean', 'shadow', 'thin'][(event_id % 3 + 1)::INTEGER] AS preset, event_id % 3 AS p, max(value) AS score FROM events GROUP BY ALL)
+SELECT user_id, preset, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, p) AS k FROM s) WHERE k = 1""")
+def preset_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(F.lit("clean"), F.lit("shadow"), F.lit("thin")), (F.col("event_id") % 3 + 1).cast("int"))
+    scores = table(spark, sf_dir, "events").groupBy("user_id", name.alias("preset"), (F.col("event_id") % 3).alias("p")).agg(F.max("value").alias("score"))
+    return scores.groupBy("user_id").agg(F.max(F.struct("score", -F.col("p"), "preset")).alias("b")).select("user_id", "b.preset", "b.score")
+
+
+@query("SELECT user_id, round(median(value - 245), 6) AS angle FROM events GROUP BY user_id")
+def median_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.median(F.col("value") - 245), 6).alias("angle"))
+
+
+@query("""SELECT user_id, round(least(1.0, var_pop(value) / 1000) * 0.4 + stddev_pop(value) / 255 * 0.4 + (1 - abs(avg(value) / 255 - 0.5) * 2) * 0.2, 6) AS quality
+FROM events GROUP BY user_id""")
+def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.var_pop("value").alias("v"), F.stddev_pop("value").alias("s"), F.avg("value").alias("m"))
+    return rows.select("user_id", F.round(quality.image_quality(F.col("v"), F.col("s"), F.col("m")), 6).alias("quality"))
+
+
+# ---- logs -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT ts::DATE AS day, round(avg(value), 6) AS avg_accuracy, round(avg(user_id), 6) AS avg_time, count(*) AS n
+FROM events WHERE ts::DATE >= DATE '2024-01-31' - 20 GROUP BY 1""")
+def daily_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analytics.daily_trends(analytics.since(table(spark, sf_dir, "events"), "ts", "2024-01-31", 20), "ts", "value", "user_id")
+    return out.select("day", F.round("avg_accuracy", 6).alias("avg_accuracy"), F.round("avg_time", 6).alias("avg_time"), "n")
+
+
+@query("""SELECT event_type AS original, 'u' || (user_id % 9) AS corrected, count(*) AS n, round(avg(value / 500), 6) AS confidence
+FROM events GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20""")
+def error_patterns_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("original"), F.concat(F.lit("u"), F.col("user_id") % 9).alias("corrected"), (F.col("value") / 500).alias("confidence"))
+    return analytics.error_patterns(log).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT event_id, sum(value::DECIMAL(18,2)) OVER w::DOUBLE / count(*) OVER w AS running_mean FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def running_mean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    return analytics.running_mean(rows, "event_id", F.col("value").cast("decimal(18,2)")).select("event_id", "running_mean")
+
+
+@query("""SELECT event_id, sum(CASE WHEN value >= 100 THEN value::DECIMAL(18,2) END) OVER w::DOUBLE / nullif(count(CASE WHEN value >= 100 THEN 1 END) OVER w, 0) AS running_mean
+FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def running_mean_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    value = F.when(F.col("value") >= 100, F.col("value").cast("decimal(18,2)"))
+    return analytics.running_mean(rows, "event_id", value).select("event_id", "running_mean")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (value >= 100) AS successful, round(count(*) FILTER (value >= 100) * 100.0::DOUBLE / count(*), 1) AS success_rate,
+  round(sum(value::DECIMAL(18,2)), 2)::DOUBLE AS total_time, round(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 4) AS avg_time FROM events""")
+def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.batch_stats(table(spark, sf_dir, "events"), F.col("value") >= 100, F.col("value").cast("decimal(18,2)"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, value / 500 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+SELECT user_id, count(*) AS total, round(avg(s), 3) AS avg_score, round(count(*) FILTER (s >= 0.7) * 100.0::DOUBLE / count(*), 1) AS high_share,
+  string_agg(round(s * 10000)::BIGINT::VARCHAR, ',' ORDER BY event_id) FILTER (k <= 10) AS last_scores FROM r GROUP BY user_id""")
+def image_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 500).alias("s"))
+    out = analytics.history_stats(rows, "user_id", "event_id", "s")
+    return out.withColumn("last_scores", F.array_join(F.transform("last_scores", lambda x: F.round(x * 10000).cast("long").cast("string")), ","))
+
+
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN coalesce(d.n_chars > 500, false) AND coalesce(l.quality = 1, false) THEN 'both'
+  WHEN coalesce(d.n_chars > 500, false) THEN 'legacy_only' WHEN coalesce(l.quality = 1, false) THEN 'ultimate_only' ELSE 'both_failed' END AS outcome
+FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+def legacy_vs_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 500).alias("ok"))
+    new = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"))
+    return analytics.compare_systems(old, new, "doc_id")
+
+
+@query(f"WITH o AS ({SQL['legacy_vs_new']}) SELECT outcome, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM o), 6) AS rate FROM o GROUP BY outcome")
+def outcome_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.outcome_rates(legacy_vs_new(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT user_id, event_id, floor(row_number() OVER (ORDER BY event_id) * 100 / count(*) OVER ())::INTEGER AS percent FROM events WHERE event_type = 'purchase'")
+def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.progress(table(spark, sf_dir, "events").where("event_type = 'purchase'"), "event_id").select("user_id", "event_id", "percent")
+
+
+# ---- words ----------------------------------------------------------------------------------------------------------
+
+
+def event_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.concat("event_type", F.col("user_id") % 40).alias("word"), F.col("props").alias("context"), F.lit("general").alias("domain"), "ts", F.col("event_id").alias("seq"))
+
+
+@query("SELECT event_type || (user_id % 40) AS word, count(*) AS frequency, min(ts) AS created_at, max(ts) AS last_used FROM events GROUP BY 1")
+def dictionary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = event_words(spark, sf_dir)
+    # Even ids make the state that odd ids are merged into.
+    state = dictionary.upsert(None, events.where("seq % 2 = 0"))
+    return dictionary.upsert(state, events.where("seq % 2 = 1")).select("word", "frequency", "created_at", "last_used")
+
+
+@query("""SELECT word, frequency FROM (SELECT event_type || (user_id % 40) AS word, count(*) AS frequency, max(ts) AS last_used FROM events GROUP BY 1)
+WHERE word ILIKE 'Cli%' ORDER BY frequency DESC, last_used DESC, word LIMIT 5""")
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.suggestions(dictionary.upsert(None, event_words(spark, sf_dir)), "Cli").select("word", "frequency")
+
+
+def scored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII words of conversations with made-up scores, one fewer than words: the last word has none."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.regexp_extract_all("text", F.lit(r"[A-Za-z]+"), F.lit(0)).alias("words"))
+    scores = F.transform(F.sequence(F.lit(0), F.size("words")), lambda i: ((F.col("doc_id") * 7 + i * 3) % 10) / 10)
+    pairs = F.posexplode(dictionary.zipped(F.col("words"), F.slice(scores, 1, F.greatest(F.lit(0), F.size("words") - 1)))).alias("pos", "p")
+    return rows.where(F.size("words") > 1).select("doc_id", pairs).select("doc_id", "pos", "p.word", "p.score")
+
+
+def token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]+"), F.lit(0))).alias("word"))
+    return rows.groupBy("word").agg(F.count("*").alias("frequency"), F.lit("2024-01-01").cast("timestamp_ntz").alias("last_used"))
+
+
+@query(r"""WITH c AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos, len(w) AS n FROM c WHERE len(w) > 1),
+s AS (SELECT doc_id, word, pos::INTEGER AS pos, ((doc_id * 7 + pos * 3) % 10) / 10 AS score FROM t WHERE pos < n - 1),
+u AS (SELECT word, count(*) AS f FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark) GROUP BY word),
+k AS (SELECT lower(substr(word, 1, 3)) AS prefix, word AS candidate, row_number() OVER (PARTITION BY lower(substr(word, 1, 3)) ORDER BY f DESC, word) AS place FROM u WHERE length(word) >= 3),
+d AS (SELECT DISTINCT word FROM s WHERE score < 0.7),
+b AS (SELECT word, candidate FROM (SELECT d.word, candidate, row_number() OVER (PARTITION BY d.word ORDER BY levenshtein(d.word, candidate), place) AS r FROM d JOIN k ON lower(substr(d.word, 1, 3)) = prefix WHERE place <= 5) WHERE r = 1)
+SELECT doc_id, pos, s.word, CASE WHEN score >= 0.7 THEN s.word WHEN candidate IS NULL THEN '(' || s.word || ')' ELSE '[' || candidate || ']' END AS out
+FROM s LEFT JOIN b ON s.word = b.word""")
+def context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.repaired(scored_tokens(spark, sf_dir), token_words(spark, sf_dir)).select("doc_id", "pos", "word", "out")
+
+
+@query("""SELECT event_type AS original, 'u' || (user_id % 9) AS corrected, value / 500 AS confidence, user_id::VARCHAR AS session_id, ts AS created_at FROM events""")
+def correction_log_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("original"), F.concat(F.lit("u"), F.col("user_id") % 9).alias("corrected"), (F.col("value") / 500).alias("confidence"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("created_at"), "event_id")
+    first, then = (rows.where(f"event_id % 2 = {k}").drop("event_id") for k in (0, 1))
+    return dictionary.record_corrections(first, then)
+
+
+# ---- files and streams ----------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH p AS (SELECT page_id, url || ['.PNG', '.jpg', '.txt', '', '.Tiff'][(page_id % 5 + 1)::INTEGER] AS path, length(html) * 1000 AS size FROM pages)
+SELECT page_id, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(path, '\.([^.]+)$', 1)) AS suffix FROM p
+WHERE lower(regexp_extract(path, '\.([^.]+)$', 1)) IN ('png', 'jpg', 'jpeg', 'gif', 'bmp', 'tiff') AND size <= 16777216""")
+def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, (".PNG", ".jpg", ".txt", "", ".Tiff"))), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat("url", ending).alias("path"), (F.length("html") * 1000).alias("size"))
+    rows = rows.where(files.allowed(F.col("path")) & (F.col("size") <= files.LARGEST))
+    return rows.select("page_id", files.basename(F.col("path")).alias("name"), files.suffix(F.col("path")).alias("suffix"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(CASE WHEN contains(s, '+') THEN replace(s, '+', ',') ELSE s END, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS langs
+FROM (SELECT doc_id, [lang || '+en', lang || ', ko', lang][(doc_id % 3 + 1)::INTEGER] AS s FROM documents)""")
+def language_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = F.element_at(F.array(F.concat("lang", F.lit("+en")), F.concat("lang", F.lit(", ko")), F.col("lang")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(files.languages(spec), "|").alias("langs"))
+
+
+@query("SELECT ts::DATE AS day, round(avg(value), 6) AS avg_accuracy, round(avg(user_id), 6) AS avg_time, count(*) AS n FROM events GROUP BY 1")
+def stream_ingest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, until all are in. A day is a row: the sink in memory stays small."""
+    path = f"{sf_dir}/events.parquet"
+    # A pattern, as the stream's path has to be a folder or one.
+    log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
+    name = f"daily_{uuid.uuid4().hex}"
+    run = ingest.daily(log, "ts", "value", "user_id").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("day", F.round("avg_accuracy", 6).alias("avg_accuracy"), F.round("avg_time", 6).alias("avg_time"), "n")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
