@@ -91,4 +91,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixed")
     rows = scratch.write(docs.withColumn("_n", F.monotonically_increasing_id()), "rows")
     plan = plan_mix(rows, keep=["_n"], **options)
-    return rows.join(plan.where("copies > 0").select("_n", "copies"), "_n").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_n", "_k", "copies")
+    return rows.join(plan.where("copies > 0").select("_n", F.col("copies").alias("_copies")), "_n").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_n", "_k", "_copies")

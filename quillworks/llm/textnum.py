@@ -30,7 +30,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. n-1 modulo 2 ** 64; longer tables than a few chunks are not kept."""
-    if n > len(_powers.get(base, ())):
+    if base not in _powers or n > len(_powers[base]):
         out = np.full(max(n, CHUNK), base, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
