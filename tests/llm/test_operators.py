@@ -1,0 +1,433 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillworks.llm import decontaminate, licenses, mixing, quality, queries, sharding, simhash, substrings, tokens, topk, toxicity
+from quillworks.llm.common import components, Scratch, id_filter, without
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, id string, copies string, fold string"
+
+
+def frame(spark, rows):
+    """(doc_id, text, source) as documents, with more columns whose names the operators use."""
+    return spark.createDataFrame([(d, t, "en", s, len(t or ""), "x", "y", "z", "w") for d, t, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared, base = make(70), make(200)
+    out = [(k, make(rng.choice([1, 3, 30, 120])), f"s{k % 5}") for k in range(40)]
+    out += [(100 + k, make(40) + "\n" + shared + "\t" + make(20), "s0") for k in range(8)]
+    near = base.split()
+    for k in range(12):
+        some = near[:]
+        some[rng.randrange(len(some))] = "changed"
+        out.append((200 + k, " ".join(some), "s0"))
+    out += [(300 + k, base, "s1") for k in range(6)]
+    out += [(400, None, None), (401, "", None), (402, "   \n", "s2"), (403, make(30_000), "s3"), (None, base, "s4"), (None, None, None), (5, "again", "s1"), (300, base, "s1"), (300, base, "s1")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows)
+
+
+def bag(it):
+    return sorted(map(repr, it))
+
+
+# ---- op1 ----
+
+
+def test_token_files_round_trip(spark, docs, rows, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    manifest = tokens.write_token_files(docs, path, str(tmp_path), 2)
+    got = tokens.read_token_files(spark, manifest).orderBy("start").collect()
+    want, starts = {}, 0
+    for d, t, _ in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        want.setdefault(d, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert bag((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == bag((d, *x) for d, some in want.items() for x in some)
+    assert [r["doc_id"] for r in got] == sorted((d for d, _, _ in rows), key=lambda d: (d is not None, d))
+    for r in got:
+        assert r["start"] == starts
+        starts += r["n_tokens"]
+    assert json.loads(open(manifest).read())["tokens"] == starts
+
+
+def test_encoder_is_the_library(spark):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, alphabet = random.Random(1), "aAbBéÉßſİıΣσς ..,,!!''sStT12\t\n　́|#$ªºǅfi×÷»…̇ 中🙂"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = tokens.Encoder(public_tokenizers.path(name), by_word=name.startswith("word"))
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        for _ in range(2):  # fresh, then remembered
+            got = [ids[b - n : b].tolist() for ids, sizes in encoder.arrays(pa.array(texts), 2) for b, n in zip(np.cumsum(sizes), sizes, strict=True)]
+            assert got == [[*x.ids, 2] for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_files_of_nothing(spark, docs, tmp_path):
+    import public_tokenizers
+
+    manifest = tokens.write_token_files(docs.limit(0), public_tokenizers.path("word_bpe_49k.json"), str(tmp_path), 2)
+    assert tokens.read_token_files(spark, manifest).count() == 0
+    with pytest.raises(ValueError):
+        tokens.local_folder("hdfs://somewhere/x")
+
+
+# ---- op2, op9 ----
+
+
+def labelled(spark, n=600, seed=1):
+    rng = random.Random(seed)
+    plain, bad = [f"w{rng.randrange(300)}" for _ in range(300)], ["vile", "nasty", "rotten"]
+    texts, labels = [], []
+    for k in range(n):
+        toxic = rng.random() < 0.25
+        some = [rng.choice(plain) for _ in range(rng.randint(20, 60))]
+        for _ in range(3 * toxic):
+            some.insert(rng.randrange(len(some)), rng.choice(bad))
+        good = rng.random() < 0.6
+        texts.append((k, " ".join(some if good else [w.upper() + "###" for w in some]), "s"))
+        labels.append((k, int(good), int(toxic)))
+    texts += [(n, None, "s"), (n + 1, "", "s"), (n + 2, "vile nasty rotten vile nasty", "s"), (None, "nasty", None)]
+    labels += [(0, None, None), (None, 1, 1), (1, labels[1][1], labels[1][2])]
+    return frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels[:n]
+
+
+def area(pairs):
+    ones, zeros = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
+@pytest.mark.parametrize("what, at", [("toxic", 2), ("quality", 1)])
+def test_classifiers_on_held_out_rows(spark, what, at):
+    texts, labels, truth = labelled(spark)
+    out = toxicity.toxicity(texts, labels) if what == "toxic" else quality.quality(texts, labels)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.count() == texts.count()
+    folds, held = (5, 0) if what == "toxic" else (3, 1)
+    for d, r in got.items():
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (None if d is None else zlib.crc32(str(d).encode()) % folds == held)
+    pairs = [(got[x[0]]["score"], x[at]) for x in truth if got[x[0]]["held_out"]]
+    assert len(pairs) > 80 and area(pairs) > 0.95
+    if what == "toxic":
+        assert got[602]["predicted"] == 1 and got[601]["predicted"] == 0
+        kept = toxicity.drop_toxic(texts, labels)
+        assert kept.columns == texts.columns
+        assert {r[0] for r in kept.select("doc_id").collect()} == {d for d, r in got.items() if not (r["predicted"] and d is not None)}
+
+
+def test_classifiers_without_evidence(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (toxicity.toxicity(docs, none), quality.quality(docs, none)):
+        assert {r["score"] for r in out.collect()} == {0.5}
+    assert toxicity.toxicity(docs.limit(0), none).count() == 0 and quality.quality(docs.limit(0), none).count() == 0
+
+
+def test_held_out_labels_are_not_read(spark):
+    texts, labels, _ = labelled(spark, 300)
+    turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = lambda x: {r["doc_id"]: r["score"] for r in toxicity.toxicity(texts, x).collect()}
+    assert scores(labels) == scores(turned)
+
+
+# ---- op3 ----
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 100, None: 7}, {"a": 0, "b": 5}, {"a": 0}, {"a": 3, "b": 1, "c": 1, "d": 1000}])
+def test_targets(spark, sizes):
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight, total = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}, sum(sizes.values())
+    target = {s: 0.0 for s in sizes}
+    free, rest = [s for s in sizes if sizes[s]], total
+    while free:
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        for s in over or free:
+            target[s] = 3 * sizes[s] if over else share[s]
+        rest -= sum(3 * sizes[s] for s in over)
+        free = [s for s in free if s in over] and [s for s in free if s not in over]
+    assert got == pytest.approx(target)
+
+
+def test_mix(spark, docs, rows):
+    got = mixing.plan_mix(docs).collect()
+    assert len(got) == len(rows)
+    again = mixing.plan_mix(docs.repartition(3)).collect()
+    key = lambda r: (r["doc_id"], r["source"], r["size"], r["taken"])
+    assert bag(map(key, got)) == bag(map(key, again))
+    largest = max(r["size"] for r in got)
+    for s in {r["source"] for r in got}:
+        some = [r for r in got if r["source"] == s]
+        assert sum(r["size"] for r in some) == some[0]["source_size"]
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= largest
+        assert all(r["taken"] <= 3 * r["size"] for r in some)
+    assert sum(r["taken"] for r in got) <= sum(r["size"] for r in got)
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
+    assert mixing.plan_mix(docs.limit(0)).count() == 0
+
+
+# ---- op4, op5 ----
+
+
+def test_contaminated(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    common = [f"c{k}" for k in range(20)]
+    prose = lambda n: [rng.choice(words) if rng.random() < 0.5 else rng.choice(common) for _ in range(n)]
+    items = {k: prose(rng.choice([12, 30, 70, 300])) for k in range(30)}
+    texts, want = [], set()
+    for k in range(150):
+        t = prose(rng.choice([20, 200, 900]))
+        if k % 3 == 0:
+            item = rng.randrange(30)
+            leak = items[item][:]
+            if k % 2:  # a paraphrase: a few words dropped or changed
+                for _ in range(len(leak) // 12):
+                    leak[rng.randrange(len(leak))] = "other"
+            at = rng.randrange(len(t))
+            t[at:at] = leak
+            want.add((k, item))
+        texts.append((k, " ".join(t).upper() if k % 5 == 0 else " ".join(t), "s"))
+    texts += [(900, None, "s"), (901, "", "s"), (None, " ".join(items[3]), "s"), (0, "twice", "s")]
+    bench = spark.createDataFrame([*((k, " ".join(v)) for k, v in items.items()), (99, None), (98, ""), (None, "x y z")], "item_id long, text string")
+    docs = frame(spark, texts)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want | {(None, 3)}
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert {r[0] for r in kept.select("doc_id").collect()} == {d for d, _, _ in texts} - {d for d, _ in want} and kept.columns == docs.columns
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_lcs():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randint(1, 70))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert decontaminate.lcs(np.array(a), np.array(b)) == table[-1][-1]
+
+
+def test_licenses(spark):
+    rng = random.Random(4)
+    fill = lambda n: " ".join(rng.choice(["lorem", "the", "software", "license", "of", "public", "rights"]) + str(rng.randrange(3) or "") for _ in range(n))
+    texts = []
+    for k in range(60):
+        names = rng.sample(list(licenses.TEMPLATES), rng.choice([0, 1, 2]))
+        texts.append((k, fill(rng.randint(0, 60)) + "".join("\n" + licenses.TEMPLATES[n] + "\n" + fill(rng.randint(0, 40)) for n in names), "s"))
+    mit = licenses.TEMPLATES["mit-permission"].split()
+    mit[8] = "CHANGED"
+    texts += [(100, " ".join(mit), "s"), (101, None, "s"), (102, "", "s"), (103, "all RIGHTS, reserved", "s"), (None, licenses.TEMPLATES["mit"], "s")]
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    want = set()
+    for d, t, _ in texts:
+        w, held = split(t), []
+        for name, template in licenses.TEMPLATES.items():
+            p = split(template)
+            width, step = min(5, len(p)), max(1, len(p) // 4)
+            shingles = lambda x: {tuple(x[i : i + width]) for i in range(len(x) - width + 1)}  # noqa: B023, E731
+            best = max(((len(shingles(p) & shingles(w[a : a + len(p) + step])) / len(shingles(p)), -a) for a in range(0, max(1, len(w) - width + 1), step)), default=(0, 0))
+            if best[0] >= 0.8:
+                held.append((name, best[0], -best[1], len(p)))
+        want |= {(d, n) for n, c, a, m in held if not any(c2 > c and a2 < a + m and a < a2 + m2 for _, c2, a2, m2 in held)}
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert got == want and (100, "mit-permission") not in got or (100, "mit-permission") in want
+    assert licenses.scan_licenses(frame(spark, texts).limit(0)).count() == 0
+
+
+# ---- op6 ----
+
+
+def test_shards(spark, docs, rows):
+    got = sharding.shard_documents(docs).orderBy("start").collect()
+    size = lambda t: len((t or "").encode()) + 8
+    assert bag((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == bag((d, size(t), zlib.crc32((t or "").encode())) for d, t, _ in rows)
+    total, start, slots = sum(r["size"] for r in got), 0, {}
+    for r in got:
+        assert r["start"] == start and r["shard"] == min(23, (2 * start + r["size"]) * 24 // (2 * total)) and r["slot"] == slots.get(r["shard"], 0)
+        slots[r["shard"]] = r["slot"] + 1
+        start += r["size"]
+    assert [r["doc_id"] for r in got] == sorted((d for d, _, _ in rows), key=lambda d: (d is not None, d))
+    assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+# ---- op7 ----
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(700, 16)).astype(np.float32)
+    vectors[rng.random(700) < 0.4] = vectors[1]
+    rows = [(int(k), v.tolist(), 1) for k, v in enumerate(vectors)]
+    rows += [(1000, None, 1), (1001, [float("nan")] * 16, 1), (1100, [None] + [0.0] * 15, 1), (1200, [float("inf")] * 16, 1), (None, vectors[2].tolist(), 1), (100, vectors[3].tolist(), 1), (1300, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    good = [(k, [int(np.floor(np.float64(x) * 1024)) for x in v]) for k, v, _ in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, v in good:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), k) for k, w in good if k != q)[:10]
+            want += [(q, *x) for x in best]
+    got = topk.exact_topk(df, rows=200, queries=3)
+    one = [(r["query_id"], -r["score"], r["vec_id"]) for r in got.collect() if r["query_id"] != 100]
+    assert bag(one) == bag(x for x in want if x[0] != 100)
+    assert got.where("query_id = 100").count() == 10
+    assert topk.exact_topk(df.limit(0)).count() == 0
+
+
+def test_index_stops_only_on_proof():
+    rng = np.random.default_rng(3)
+    for n, d in ((50, 8), (2500, 24), (900, 3)):
+        v = np.floor(1024 * rng.normal(size=(n, d)) / np.sqrt(d)).astype(int)
+        ids = rng.permutation(3 * n)[:n]
+        index = topk.ImpactIndex(ids, v)
+        for j in range(12):
+            keep = np.arange(n) != j
+            order = np.lexsort((ids[keep], -(v @ v[j])[keep]))[:10]
+            assert index.search(v[j], int(ids[j]), 10) == list(zip(ids[keep][order].tolist(), (v @ v[j])[keep][order].tolist()))
+
+
+# ---- op8 ----
+
+
+def repeated(rows, window):
+    first, out = {}, []
+    for d, t, _ in rows:
+        w = WORD.findall(t or "")
+        for i in range(len(w) - window + 1) if d is not None else ():
+            k = tuple(w[i : i + window])
+            first[k] = min(d, first.get(k, d))
+    for d, t, _ in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1) if d is not None else ():
+            if first[tuple(w[i : i + window])] < d:
+                gone[i : i + window] = [True] * window
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 2, 4])
+def test_substrings(spark, docs, rows, batches):
+    got = substrings.dedup_substrings(docs, batches=batches)
+    assert bag((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == bag(repeated(rows, 50))
+
+
+def test_substrings_of_nothing(docs):
+    assert substrings.dedup_substrings(docs.limit(0)).count() == 0
+
+
+# ---- op10 ----
+
+
+def simple_fingerprint(t):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def union(n, links):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        parent[root(i)] = root(j)
+    return [root(i) for i in range(n)]
+
+
+def test_simhash(spark, docs, rows):
+    fps = [simple_fingerprint(t) for _, t, _ in rows]
+    roots = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    least = {}
+    for (d, _, _), r in zip(rows, roots, strict=True):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    got = simhash.simhash_components(docs).collect()
+    assert bag((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == bag((d, f, least.get(r)) for (d, _, _), f, r in zip(rows, fps, roots, strict=True))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r[0] for r in kept.select("doc_id").where("doc_id is not null").collect()) == sorted(set(least.values()))
+    assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+def test_dense_runs_stay_connected():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, dtype=np.uint64)
+    fps = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(7) << rng.integers(0, 60, 300).astype(np.uint64)))
+    links = [tuple(x) for part in simhash._spanning(fps, 4) for x in part.tolist()]
+    at = {int(x): k for k, x in enumerate(fps)}
+    n = len(fps)
+    every = union(n, [(i, j) for i in range(n) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 4) + i + 1])
+    some = union(n, [(at[a], at[b]) for a, b in links])
+    groups = lambda r: {frozenset(np.flatnonzero(np.array(r) == x).tolist()) for x in set(r)}
+    assert groups(every) == groups(some) and len(links) < n
+
+
+def test_segments_find_four_bits():
+    """Any two fingerprints that differ in up to four bits share a key: in some segment one bit differs at most."""
+    rng = random.Random(8)
+    for _ in range(500):
+        bits = rng.sample(range(64), rng.randint(0, 4))
+        assert min(sum(a <= b < z for b in bits) for a, z in simhash.SEGMENTS) <= 1
+
+
+# ---- shared ----
+
+
+def test_components_on_chains(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(-5, 7)]
+    got = {r["node"]: r["root"] for r in components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[k] == -5 for k in range(61)) and all(got[100 + k] == 100 for k in range(40))
+    assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_id_filters(spark, docs):
+    ids = spark.createDataFrame([(300,), (5,)], "id long")
+    assert {r[0] for r in without(docs, "doc_id", ids).select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()} - {300, 5}
+    assert {300, 5} <= {r[0] for r in id_filter(docs, "doc_id", ids).select("doc_id").collect()}
+    assert without(docs, "doc_id", ids.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_queries_as_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).fetch_df()
+    got = queries.queries()[name](spark, data).toPandas()[list(want.columns)]
+    assert bag(got.astype(str).values.tolist()) == bag(want.astype(str).values.tolist())
