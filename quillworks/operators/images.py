@@ -169,3 +169,158 @@ def preprocess(images: DataFrame, steps=(lambda a: level(a, 1),)) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
 
     return images.mapInPandas(run, SCHEMA)
+
+
+# ---- further kernels ------------------------------------------------------------------------------------------------
+
+
+def gaussian(a: np.ndarray, size: int = 3, sigma: float = 0.5) -> np.ndarray:
+    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
+    k = np.outer(k, k).ravel() / k.sum() ** 2
+    return np.clip(np.rint(neighbours(a, size).astype(float) @ k), 0, 255).astype(np.uint8)
+
+
+def sharpen_kernel(a: np.ndarray, blend: float = 0.3) -> np.ndarray:
+    """A cross kernel of 5 and -1, mixed with the image."""
+    sharp = a.astype(float) - laplacian(a)
+    return np.clip(np.rint(a * (1 - blend) + sharp * blend), 0, 255).astype(np.uint8)
+
+
+def bilateral(a: np.ndarray, size: int = 9, colour: float = 75, space: float = 75) -> np.ndarray:
+    """Each pixel as its neighbours' mean, weighted by nearness in place and value."""
+    n, at = neighbours(a, size).astype(float), np.arange(size) - size // 2
+    w = np.exp(-((at[:, None] ** 2 + at[None, :] ** 2).ravel()) / (2 * space**2)) * np.exp(-((n - a[..., None]) ** 2) / (2 * colour**2))
+    return np.clip(np.rint((n * w).sum(-1) / w.sum(-1)), 0, 255).astype(np.uint8)
+
+
+def nonlocal_means(a: np.ndarray, h: float = 10, patch: int = 7, search: int = 21) -> np.ndarray:
+    """Each pixel as the mean of its surroundings, weighted by how alike the patches around them are."""
+    p = padded(a.astype(float), search // 2)
+    total, weight = np.zeros(a.shape), np.zeros(a.shape)
+    for dy in range(search):
+        for dx in range(search):
+            moved = p[dy : dy + a.shape[0], dx : dx + a.shape[1]]
+            w = np.exp(-np.maximum(box_mean((moved - a) ** 2, patch), 0) / h**2)
+            total, weight = total + w * moved, weight + w
+    return np.clip(np.rint(total / weight), 0, 255).astype(np.uint8)
+
+
+def clahe(a: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast by tile: clipped histograms equalised, and mapped bilinearly between the centres of tiles."""
+    h, w = a.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    p = np.pad(a, ((0, th * tiles - h), (0, tw * tiles - w)), mode="reflect" if min(h, w) > max(th, tw) * tiles - min(h, w) else "edge")
+    maps = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            n = np.bincount(p[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256).astype(float)
+            limit = max(1.0, clip * th * tw / 256)
+            n = np.minimum(n, limit) + np.maximum(n - limit, 0).sum() / 256
+            maps[i, j] = n.cumsum() * 255 / (th * tw)
+    y, x = np.clip((np.arange(h) + 0.5) / th - 0.5, 0, tiles - 1), np.clip((np.arange(w) + 0.5) / tw - 0.5, 0, tiles - 1)
+    y0, x0 = y.astype(int), x.astype(int)
+    y1, x1, fy, fx = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1), (y - y0)[:, None], (x - x0)[None, :]
+    of = lambda i, j: maps[i[:, None], j[None, :], a]
+    return np.clip(np.rint((of(y0, x0) * (1 - fx) + of(y0, x1) * fx) * (1 - fy) + (of(y1, x0) * (1 - fx) + of(y1, x1) * fx) * fy), 0, 255).astype(np.uint8)
+
+
+def rotate(a: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
+    """Turned about the middle on a canvas that holds all of it, bilinear."""
+    r = np.deg2rad(degrees)
+    h, w = a.shape
+    nh, nw = int(np.ceil(abs(h * np.cos(r)) + abs(w * np.sin(r)) - 1e-9)), int(np.ceil(abs(w * np.cos(r)) + abs(h * np.sin(r)) - 1e-9))
+    y, x = np.mgrid[:nh, :nw] - np.array([(nh - 1) / 2, (nw - 1) / 2])[:, None, None]
+    sy, sx = np.cos(r) * y + np.sin(r) * x + (h - 1) / 2, -np.sin(r) * y + np.cos(r) * x + (w - 1) / 2
+    inside = (sy > -0.5) & (sy < h - 0.5) & (sx > -0.5) & (sx < w - 0.5)
+    sy, sx = np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)
+    y0, x0 = sy.astype(int), sx.astype(int)
+    y1, x1, fy, fx, f = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), sy - y0, sx - x0, a.astype(float)
+    out = (f[y0, x0] * (1 - fx) + f[y0, x1] * fx) * (1 - fy) + (f[y1, x0] * (1 - fx) + f[y1, x1] * fx) * fy
+    return np.where(inside, np.clip(np.rint(out), 0, 255), fill).astype(np.uint8)
+
+
+def skew(a: np.ndarray, most: float = 10, step: float = 0.25) -> float:
+    """Degrees to turn by so that dark lines lie level: the turn whose row sums vary most, from the edge pixels alone."""
+    edge = np.abs(np.diff(a.astype(int), axis=0)) > 50
+    y, x = np.nonzero(edge)
+    if len(y) < 100:
+        return 0.0
+    best, score = 0.0, -1.0
+    for d in np.arange(-most, most + step, step):
+        r = np.deg2rad(d)
+        n = np.bincount(np.rint(y * np.cos(r) - x * np.sin(r) + max(a.shape)).astype(int)).astype(float)
+        if (s := (n**2).sum()) > score:
+            best, score = float(d), s
+    return best
+
+
+def deskew(a: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """Turned back if it leans by more than ``least`` degrees."""
+    d = skew(a)
+    return rotate(a, d) if abs(d) > least else a
+
+
+def wavelet_shrink(a: np.ndarray) -> np.ndarray:
+    """One Haar level with soft thresholds for each detail band: noise variance / signal spread."""
+    h, w = a.shape[0] // 2 * 2, a.shape[1] // 2 * 2
+    if not h or not w:
+        return a
+    p = a[:h, :w].astype(float)
+    q = [p[i::2, j::2] for i in (0, 1) for j in (0, 1)]
+    low, *details = (q[0] + q[1] + q[2] + q[3]) / 2, (q[0] - q[1] + q[2] - q[3]) / 2, (q[0] + q[1] - q[2] - q[3]) / 2, (q[0] - q[1] - q[2] + q[3]) / 2
+    noise = (np.median(np.abs(details[2])) / 0.6745) ** 2
+    b, c, d = (np.sign(x) * np.maximum(np.abs(x) - noise / max(1e-9, np.sqrt(max(x.var() - noise, 0))), 0) if x.var() > noise else x * 0 for x in details)
+    out = a.astype(float)
+    out[0:h:2, 0:w:2], out[0:h:2, 1:w:2], out[1:h:2, 0:w:2], out[1:h:2, 1:w:2] = (low + b + c + d) / 2, (low - b + c - d) / 2, (low + b - c - d) / 2, (low - b - c + d) / 2
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def fit(a: np.ndarray, least: tuple[int, int] = (600, 800), most: int = 3000) -> np.ndarray:
+    """Twice as large if it is small, and within ``most`` pixels."""
+    a = resize(a, 2) if a.shape[0] < least[0] or a.shape[1] < least[1] else a
+    return resize(a, most / max(a.shape)) if max(a.shape) > most else a
+
+
+def page_score(a: np.ndarray) -> float:
+    """0 to 100 for a page: edges (30), spread of values (25), balance of ink and paper (25), less noise (10)."""
+    if a.size == 0:
+        return 50.0
+    edges = min(30.0, (np.abs(laplacian(a)) > 50).mean() * 300)
+    n = np.bincount(a.ravel(), minlength=256) / a.size
+    ink = (a <= otsu(a)).mean()
+    noise = min(10.0, np.abs(a.astype(float) - median_blur(a)).mean())
+    return float(max(0.0, edges + min(25.0, np.sqrt(n.var()) * 1000) + 25 * (1 - abs(2 * min(ink, 0.5) - 0.3)) - noise))
+
+
+def best_preset(a: np.ndarray) -> tuple[str, np.ndarray]:
+    """The preset whose result scores best, the first of equals; without any score, clean and the image as it is."""
+    name, out, score = "clean", a, 0.0
+    for k in PRESETS:
+        made = preset(a, k)
+        if (s := page_score(made)) > score:
+            name, out, score = k, made, s
+    return name, out
+
+
+def tune(pages: list[np.ndarray], rounds: int = 50, seed: int = 0) -> tuple[dict, float]:
+    """The best of ``rounds`` random parameter sets by mean page score. The seed makes it repeatable."""
+    rng, best, top = np.random.default_rng(seed), {}, -1.0
+    for _ in range(rounds):
+        p = dict(scale=float(rng.uniform(1, 2.5)), median=int(rng.choice([0, 3, 5])), method=str(rng.choice(["otsu", "adaptive"])), block=int(rng.choice([11, 15, 21, 25])), c=int(rng.integers(4, 15)), sharpen=float(rng.uniform(0, 1)))
+        score = float(np.mean([page_score(unsharp(threshold(median_blur(resize(grey(a), p["scale"]), p["median"]), p["method"], p["block"], p["c"]), p["sharpen"])) for a in pages]))
+        if score > top:
+            best, top = p, score
+    return best, top
+
+
+#: Named pipelines; a step can be left out by name.
+PIPELINES = {
+    "full": {"scale": lambda a: resize(a, 300 / 72) if max(a.shape) < 400 else a, "denoise": gaussian, "deskew": deskew, "contrast": lambda a: clahe(a, 3.0), "sharpen": sharpen_kernel, "binarize": lambda a: np.minimum(threshold(a), threshold(a, "adaptive", 11, 2)), "morphology": lambda a: morphology(a, "close", 3)},
+    "research": {"bilateral": bilateral, "contrast": lambda a: clahe(a, 3.0), "binarize": lambda a: np.maximum(threshold(a, "sauvola", 25), threshold(a)), "specks": drop_specks, "wavelet": wavelet_shrink, "sharpen": lambda a: unsharp(a, 1.5)},
+    "conservative": {"contrast": lambda a: clahe(a, 1.2), "sharpen": lambda a: sharpen_kernel(a, 0.1)},
+}
+
+
+def pipeline(name: str, leave_out=()):
+    """The steps of a named pipeline, for preprocess()."""
+    return (grey, *(step for k, step in PIPELINES[name].items() if k not in leave_out))

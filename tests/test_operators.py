@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillworks.functions import quality
-from quillworks.operators import analytics, blocks, dictionary, engines, images
+from quillworks.operators import analytics, blocks, dictionary, engines, images, results
 from quillworks.sources import files, sinks
 from quillworks.streaming import ingest
 
@@ -159,3 +159,34 @@ def test_word_stream(spark, tmp_path):
 def test_text_quality(spark, value, low, high):
     got = spark.createDataFrame([(value,)], "t string").select(quality.text_quality(F.col("t"))).first()[0]
     assert low <= got <= high
+
+
+def test_more_kernels():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 256, (40, 60), dtype=np.uint8)
+    flat = np.full((40, 60), 90, np.uint8)
+    for f in (images.gaussian, images.bilateral, images.sharpen_kernel, images.wavelet_shrink, lambda x: images.nonlocal_means(x, search=5)):
+        assert f(a).shape == a.shape and (f(flat) == 90).all()
+    assert images.clahe(a).shape == a.shape
+    assert (images.rotate(a, 0) == a).all() and (images.rotate(a, 90) == np.rot90(a, 1)).all() or (images.rotate(a, 90) == np.rot90(a, -1)).all()
+    page = np.full((200, 300), 255, np.uint8)
+    page[20:180:20, 20:280] = 0
+    assert images.skew(page) == 0
+    leaning = images.rotate(page, 3)
+    assert abs(abs(images.skew(leaning)) - 3) <= 0.5 and abs(images.skew(images.deskew(leaning))) <= 0.5
+    assert 0 <= images.page_score(page) <= 100 and images.best_preset(page)[0] in images.PRESETS
+    assert images.tune([page[:60, :60]], 3, 1) == images.tune([page[:60, :60]], 3, 1)
+    for name in images.PIPELINES:
+        out = a
+        for step in images.pipeline(name, leave_out=("scale",)):
+            out = step(out)
+        assert out.ndim == 2
+
+
+def test_flat_results(spark):
+    df = spark.createDataFrame([("a", True, "t", "r", None, 1.0, (0.5, 0.6, 0.55), (2, 1, True, False), None), ("b", False, None, None, None, 2.0, None, None, "broke")], results.NESTED)
+    got = {r["image_id"]: r for r in results.flat(df).collect()}
+    assert got["a"]["text"] == "t" and got["a"]["confidence"] == 0.55 and got["a"]["error"] is None
+    assert got["b"]["text"] == "" and got["b"]["error"] == "broke" and not got["b"]["success"]
+    assert results.options({"x": {"y": 1, "z": 2}, "k": 1}, {"x": {"y": 5}}) == {"x": {"y": 5}, "k": 1}
+    assert results.availability(["legacy"])["recommended"] == "legacy"
