@@ -65,7 +65,7 @@ def assembled(texts: Column) -> Column:
         line = acc["line"]
         keep = lambda x: F.struct(acc["lines"].alias("lines"), x.alias("line"))
         open_ended = F.endswith(line, F.lit(" ")) | F.endswith(line, F.lit("-"))
-        grown = F.when(F.length(t) <= 2, keep(F.concat(line, t))).when(line == "", keep(t)).when(~open_ended, push(acc, line, t)).otherwise(keep(F.concat(line, F.lit(" "), t)))
+        grown = F.when(F.length(t) <= 2, keep(F.concat(line, t))).when(line == "", keep(t)).when(~open_ended, push(acc, line, t)).otherwise(keep(F.concat(line, F.when(F.startswith(t, F.lit("-")), F.lit("")).otherwise(F.lit(" ")), t)))
         return grown
 
     def bounded(acc: Column, t: Column) -> Column:
