@@ -175,11 +175,12 @@ class SubstringIndex:
         corpus = keyed(batch if history is None or not before else history.select("id", "text").unionByName(batch.select("id", "text")))
         words = id_filter(corpus, "id", holders.select("id")).join(holders, ["id", "text_key"]).select("id", "text_key", "text", "shared")
         windows = self.scratch.write(words.mapInArrow(_windows(self.window), f"d1 long, d2 long, id {kind}, text_key long, start int"), f"{name}-windows")
-        again = windows.groupBy("d1", "d2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
+        # Written, so that both sides of the join have a shuffle of their own: Spark then splits windows that very many documents share.
+        again = self.scratch.write(windows.groupBy("d1", "d2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("d1", "d2", "lo"), f"{name}-again")
         found = windows.join(again, ["d1", "d2"]).where("id > lo").groupBy("id", "text_key").agg(F.collect_set("start").alias("starts"))
         mine = alone.select("id", "text_key").distinct()
         found = self.scratch.write(found.join(mine, ["id", "text_key"], "left_semi"), f"{name}-found")
-        self.scratch.drop(f"{name}-windows", f"{name}-shared", f"{name}-holders")
+        self.scratch.drop(f"{name}-windows", f"{name}-again", f"{name}-shared", f"{name}-holders")
         cut = id_filter(keyed(batch), "id", found.select("id")).dropDuplicates(["id", "text_key"]).join(found, ["id", "text_key"]).select("id", "text_key", "text", "starts")
         cut = self.scratch.write(cut.mapInArrow(_kept(self.window), f"id {kind}, text_key long, n_removed long, kept_sha string, kept string"), f"{name}-cut")
         self.scratch.drop(f"{name}-found")
@@ -197,7 +198,7 @@ class SubstringIndex:
         )
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, n_words, n_removed, kept_sha256, kept (null where nothing goes).
 
     A word goes if a window of ``window`` words of its document covers it whose words also start in a document with a
