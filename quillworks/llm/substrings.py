@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import Scratch, id_filter
+from .common import Scratch, id_filter, partitions
 
 #: Words of a window, and of the shorter runs among which a window's least hash is its fingerprint.
 WINDOW, RUN = 50, 10
@@ -110,8 +110,9 @@ class SubstringIndex:
     there are more than ``fanout`` of a kind, they are merged into one.
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, buckets: int = 64, fanout: int = 2):
-        self.spark, self.window, self.buckets, self.fanout = spark, window, buckets, fanout
+    def __init__(self, spark: SparkSession, window: int = WINDOW, buckets: int | None = None, fanout: int = 2):
+        # As many buckets as shuffle partitions: each task then writes one bucket.
+        self.spark, self.window, self.buckets, self.fanout = spark, window, buckets or partitions(spark), fanout
         self.scratch, self.tag = Scratch(spark, "substrings"), f"substrings_{uuid.uuid4().hex}"
         self.runs: dict[str, list[str]] = {"h": [], "words_sha": []}
         self.scans: list[DataFrame] = []
