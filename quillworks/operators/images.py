@@ -308,6 +308,18 @@ def fit(a: np.ndarray, least: tuple[int, int] = (600, 800), most: int = 3000) ->
     return resize(a, most / max(a.shape)) if max(a.shape) > most else a
 
 
+def contrast(a: np.ndarray, factor: float = 1.2) -> np.ndarray:
+    """Further from the mean, or nearer to it."""
+    mean = np.rint(a.mean()) if a.size else 0
+    return np.clip(np.rint(mean + (a - mean) * factor), 0, 255).astype(np.uint8)
+
+
+def sharpness(a: np.ndarray, factor: float = 1.1) -> np.ndarray:
+    """Further from a smoothed copy: neighbours weigh 1, the pixel 5."""
+    smooth = np.rint((neighbours(a, 3).astype(float).sum(-1) + 4.0 * a) / 13)
+    return np.clip(np.rint(smooth + (a - smooth) * factor), 0, 255).astype(np.uint8)
+
+
 def page_score(a: np.ndarray) -> float:
     """0 to 100 for a page: edges (30), spread of the histogram (25), share of black and white (25), less specks (10)."""
     if a.size == 0:
@@ -347,6 +359,7 @@ def tune(pages: list[np.ndarray], rounds: int = 50, seed: int = 0) -> tuple[dict
 
 #: Named pipelines; a step can be left out by name.
 PIPELINES = {
+    "web": {"fit": fit, "contrast": contrast, "sharpen": sharpness},
     "full": {"scale": lambda a: resize(a, 300 / 72) if max(a.shape) < 400 else a, "denoise": gaussian, "deskew": deskew, "contrast": lambda a: clahe(a, 3.0), "sharpen": sharpen_kernel, "binarize": lambda a: np.minimum(threshold(a), threshold(a, "gaussian", 11, 2)), "morphology": lambda a: morphology(morphology(a, "open", 2), "close", 2)},
     "research": {"bilateral": bilateral, "contrast": lambda a: clahe(a, 3.0), "binarize": lambda a: np.maximum(threshold(a, "sauvola", 25), threshold(a)), "specks": drop_specks, "wavelet": wavelet_shrink, "sharpen": lambda a: unsharp(a, 1.5)},
     "conservative": {"contrast": lambda a: clahe(a, 1.2), "sharpen": lambda a: sharpen_kernel(a, 0.1)},

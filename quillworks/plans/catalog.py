@@ -42,7 +42,7 @@ SEEDS = (
     "그는 2019년 5월에 책을 썼다.. 정말?? 네!! 그래요.",
     "사 람 들 은 마 이 클 싱 어 를 존경했었다. 헐 수 있다!",
     "우리나라는 연구를 시작했습니다 그리고 결과는 좋네요.",
-    "학교에서 공부하기 때문에 매우중요한 시험이 있습니다. 하지만 끝났다",
+    "학교에서 공부하면서 매우중요한 시험이 있습니다. 끝났다그리고 내면 적 하지만 공부하기 때문에",
     "읽 을 것 이 많다. 될 수 있 다. 그옷은 뜨문에 했슴니다.",
     "소율과 곧경을 이기 지 못했다 할수있는 teh Michacl; 쓸 것.",
     "베스트 셀러 l 위는 이 ol 이 년 < 영혼 > ( 상처 ) 받었습니다: 끝.",
