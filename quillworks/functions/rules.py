@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,11 +19,12 @@ ENDS = r"(?=\s|$|[.!?])"
 
 @dataclass(frozen=True)
 class Rule:
-    """``found`` is a regular expression, or plain text if ``plain``; ``put`` refers to groups as \\1."""
+    """``found`` is a regular expression, or plain text if ``plain``; ``put`` refers to groups as \\1. Every match holds ``need``."""
 
     found: str
     put: str
     plain: bool = False
+    need: str = ""
 
     def java(self) -> tuple[str, str]:
         return FLAGS + self.found, re.sub(r"\\(\d)", r"$\1", self.put.replace("$", r"\$"))
@@ -50,7 +52,7 @@ def joined(block: str) -> list[Rule]:
     out = []
     for found, put in table(block):
         word, _, ahead = found.partition(" | ")
-        out.append(Rule(apart(word) + ahead, put.replace("_", " ")))
+        out.append(Rule(apart(word) + ahead, put.replace("_", " "), need=word[0]))
     return out
 
 
@@ -58,25 +60,31 @@ def endings(block: str) -> list[Rule]:
     def pattern(found: str) -> str:
         return found.replace("~", f"({HANGUL}+)").replace("_", r"\s+")
 
-    return [Rule(pattern(a) + ENDS, b.replace("~", r"\1")) for a, b in table(block)]
+    return [Rule(pattern(a) + ENDS, b.replace("~", r"\1"), need=a.strip("~_")[0]) for a, b in table(block)]
+
+
+def _fold(text: Column, run: list[Rule]) -> Column:
+    """A run of rules of one kind as a fold over a literal array: the plan stays small, and a regular expression is tried only where its ``need`` is."""
+    if len(run) <= (12 if run[0].plain else 4):
+        for rule in run:
+            text = rule.on(text)
+        return text
+    if run[0].plain:
+        pairs = F.array(*(F.struct(F.lit(r.found).alias("w"), F.lit(r.put).alias("r")) for r in run))
+        return F.aggregate(pairs, text, lambda acc, x: F.replace(acc, x["w"], x["r"]))
+    pairs = F.array(*(F.struct(F.lit(r.need).alias("n"), F.lit(r.java()[0]).alias("w"), F.lit(r.java()[1]).alias("r")) for r in run))
+    return F.aggregate(pairs, text, lambda acc, x: F.when(F.contains(acc, x["n"]), F.regexp_replace(acc, x["w"], x["r"])).otherwise(acc))
 
 
 def apply(text: Column, rules: Iterable[Rule]) -> Column:
-    """All rules in order, as one expression: a fold for long runs of plain rules, so that the plan stays small."""
-    run: list[Rule] = []
-    for rule in [*rules, None]:
-        if rule is not None and rule.plain:
-            run.append(rule)
-            continue
-        if len(run) > 12:
-            pairs = F.array(*(F.struct(F.lit(r.found).alias("w"), F.lit(r.put).alias("r")) for r in run))
-            text = F.aggregate(pairs, text, lambda acc, x: F.replace(acc, x["w"], x["r"]))
+    """All rules in order, as one expression."""
+    for kind, run in groupby(rules, key=lambda r: "plain" if r.plain else "needed" if r.need else "any"):
+        run = list(run)
+        if kind == "any":
+            for rule in run:
+                text = rule.on(text)
         else:
-            for r in run:
-                text = r.on(text)
-        run = []
-        if rule is not None:
-            text = rule.on(text)
+            text = _fold(text, run)
     return text
 
 

@@ -122,12 +122,12 @@ SPACING = [*SPACING_NUMBERS, *SPACING_PARTICLES, *SPACING_ENDINGS, *TENSES, *SPA
 
 REJOIN = [
     *joined(tables.JOINED),
-    *(r for p in tables.PARTICLES.split() for r in (Rule(rf"({H}+)\s+{p}(?=\s)", rf"\1{p} "), Rule(rf"({H}+)\s+{p}(?=\.|$)", rf"\1{p}"))),
-    Rule(r"할\s+수\s+" + apart("있습니다"), "할 수 있습니다"),
-    Rule(r"될\s+수\s+" + apart("있습니다"), "될 수 있습니다"),
-    Rule(apart("해보겠습니다"), "해보겠습니다"),
+    *(r for p in tables.PARTICLES.split() for r in (Rule(rf"({H}+)\s+{p}(?=\s)", rf"\1{p} ", need=p), Rule(rf"({H}+)\s+{p}(?=\.|$)", rf"\1{p}", need=p))),
+    Rule(r"할\s+수\s+" + apart("있습니다"), "할 수 있습니다", need="할"),
+    Rule(r"될\s+수\s+" + apart("있습니다"), "될 수 있습니다", need="될"),
+    Rule(apart("해보겠습니다"), "해보겠습니다", need="해"),
     *joined(tables.JOINED_LATER),
-    *(Rule(rf"{w[0]}\s+{w[1]}", w) for w in tables.PAIRS.split()),
+    *(Rule(rf"{w[0]}\s+{w[1]}", w, need=w[0]) for w in tables.PAIRS.split()),
     SPACE_RUNS,
 ]
 
