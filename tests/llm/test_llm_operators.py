@@ -226,6 +226,48 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_contaminated_finds_all_that_brute_force_finds(spark, monkeypatch):
+    """Every pair above the limits, even where the basis tells little of its words: short items, 0.6 to 0.85 of whose words stay in order among rare words of other items."""
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda sample, rows, words, rank: np.linalg.qr(np.random.default_rng(1).normal(size=(words, 16)))[0])
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    common = [f"c{k}" for k in range(40)]
+    prose = lambda n: [rng.choice(words) if rng.random() < 0.5 else rng.choice(common) for _ in range(n)]
+    items = [prose(rng.choice([15, 18, 29])) for _ in range(120)]
+    rare = [w for item in items for w in item if w not in common]
+    texts = []
+    for k in range(120):
+        item = rng.choice(items)
+        kept = sorted(rng.sample(range(len(item)), round(len(item) * rng.uniform(0.6, 0.85))))
+        leak = [w for i in kept for w in ([rng.choice(rare)] if rng.random() < 0.3 else []) + [item[i]]]
+        texts.append(rng.choices(rare, k=80) + leak + rng.choices(rare, k=80))
+    docs = frame(spark, [(k, " ".join(t), "s") for k, t in enumerate(texts)])
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, bench).collect()}
+
+    df = {w: 0 for item in items for w in item}
+    for t in texts:
+        for w in set(t) & df.keys():
+            df[w] += 1
+    stride, want = {}, {}
+    for block in decontaminate.blocks_of(bench):
+        stride |= dict.fromkeys(block.items, block.stride)
+    for k, t in enumerate(texts):
+        for j, item in enumerate(items):
+            # The rarest quarter; ties in the item's order, as of its inverse document frequencies.
+            answer = {item[i] for i in sorted(range(len(item)), key=lambda i: (df[item[i]], i))[: -(-len(item) // 4)]}
+            for at in range(0, max(1, len(t) - stride[j]), stride[j]):
+                passage = t[at : at + 2 * stride[j]]
+                held = set(passage)
+                if len(held.intersection(item)) < 5 or sum(w in held for w in item) < 0.6 * len(item):
+                    continue
+                share = decontaminate.lcs(np.array(item), np.array(passage)) / len(item)
+                if share >= 0.6 and (share >= 0.85 or len(answer & held) / len(answer) >= 0.75):
+                    want[k, j] = max(share, want.get((k, j), 0))
+    assert len(want) > 40 and got.keys() == want.keys()
+    assert all(r["lcs"] == want[p] for p, r in got.items())
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(200):
