@@ -1,5 +1,6 @@
 """Every query against its SQL in DuckDB on the smallest tables."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -52,3 +53,14 @@ def test_nothing_else_imports_llm():
     for f in (ROOT / "quillworks").rglob("*.py"):
         if "llm" not in f.parts:
             assert "llm" not in f.read_text(), f
+
+
+def test_acronyms_of_all_documents(spark, tmp_path):
+    """Documents that are not ASCII too, with Unicode word boundaries, against Python's re."""
+    texts = ["the PC is OK", "é PC, tv und Größe", "éPC PCé naïve-AI", "año no", "Über CEO: yes!", "it ìt it", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["out"] for r in catalog.queries()["tts_acronyms_all"](spark, str(tmp_path)).collect()}
+    want = texts[:]
+    for found, put in catalog.rules.table(catalog.text.tables.SPOKEN):
+        want = [t and re.sub(rf"(?i)\b{found}\b", put, t) for t in want]
+    assert got == dict(enumerate(want))
