@@ -70,7 +70,15 @@ def outcome_rates(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(n.alias("n")).withColumn("rate", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
 
 
-def progress(rows: DataFrame, order: str) -> DataFrame:
-    """Percent done, whole, after each row."""
-    total = rows.count()
-    return rows.withColumn("done", F.row_number().over(Window.orderBy(order))).withColumn("percent", F.floor(F.col("done") * 100 / F.lit(max(1, total))).cast("int"))
+def progress(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
+    """Percent done, whole, after each row in ``order`` (unique whole numbers, a null first).
+
+    Counts of ranges of the order, as in running_mean, give each range's base; within it a window counts.
+    """
+    lo, hi, total = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    span = max(1, ((hi or 0) - (lo or 0)) // parts + 1)
+    rows = rows.withColumn("_part", F.coalesce(F.floor((F.col(order) - F.lit(lo or 0)) / span), F.lit(-1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"))
+    out = rows.join(F.broadcast(base), "_part").withColumn("done", F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_n"))
+    return out.withColumn("percent", F.floor(F.col("done") * 100 / F.lit(max(1, total))).cast("int")).drop("_part", "_n")

@@ -372,6 +372,11 @@ def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.progress(table(spark, sf_dir, "events").where("event_type = 'purchase'"), "event_id").select("user_id", "event_id", "percent")
 
 
+@query("SELECT user_id, event_id, floor(row_number() OVER (ORDER BY event_id) * 100 / count(*) OVER ())::INTEGER AS percent FROM events")
+def batch_progress_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.progress(table(spark, sf_dir, "events"), "event_id").select("user_id", "event_id", "percent")
+
+
 # ---- words ----------------------------------------------------------------------------------------------------------
 
 

@@ -64,3 +64,14 @@ def test_acronyms_of_all_documents(spark, tmp_path):
     for found, put in catalog.rules.table(catalog.text.tables.SPOKEN):
         want = [t and re.sub(rf"(?i)\b{found}\b", put, t) for t in want]
     assert got == dict(enumerate(want))
+
+
+def test_progress_of_all_events(spark, data):
+    """Every event has a row; nulls, gaps and no rows at all are counted right."""
+    events = catalog.table(spark, data, "events")
+    out = catalog.queries()["batch_progress_all"](spark, data)
+    assert out.count() == events.count() and out.agg({"percent": "max"}).first()[0] == 100
+    rows = events.sparkSession.createDataFrame([(7,), (None,), (-3,), (10**12,)], "event_id long")
+    got = {r["event_id"]: (r["done"], r["percent"]) for r in catalog.analytics.progress(rows, "event_id").collect()}
+    assert got == {None: (1, 25), -3: (2, 50), 7: (3, 75), 10**12: (4, 100)}
+    assert catalog.analytics.progress(rows.limit(0), "event_id").count() == 0
