@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder. Cuts lineage: a lost executor loses nothing that later steps read."""
+    """Tables written to the shared folder. Cuts lineage: a lost executor loses nothing that later steps read.
+
+    What an operator returns may still read its tables, so they stay until the caller is done; ``tidy`` removes them then.
+    """
+
+    _made: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        for made in Scratch._made:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,35 +54,69 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, self.path(name))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def tidy(*keep: Scratch) -> Iterator[None]:
+    """Removes at its end, or on a failure, the tables that operators wrote within it. For callers that have written the results elsewhere."""
+    made: list[Scratch] = []
+    Scratch._made.append(made)
+    try:
+        yield
+    finally:
+        Scratch._made.remove(made)
+        for scratch in made:
+            if scratch not in keep:
+                delete(scratch.spark, scratch.root)
+
+
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where ``rows`` has such a column."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: Bits of the table of ids: 8 MB, whatever the number of ids.
 ID_BITS = 26
 
 
-def _marked(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """rows with _maybe: whether the id may be in ``ids`` (one column, named id), by a bit table of fixed size that is broadcast."""
+def _marked(rows: DataFrame, col: str, ids: DataFrame) -> tuple[DataFrame, str]:
+    """rows with one more column: whether the id may be in ``ids`` (one column, named id), by a bit table of fixed size that is broadcast."""
+    word, bits, maybe = fresh(rows, "_word", "_bits", "_maybe")
     slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << ID_BITS) - 1))
-    bits = ids.select(F.shiftright(slot(F.col("id")), 6).alias("_word"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    table = ids.select(F.shiftright(slot(F.col("id")), 6).alias(word), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(bits))
     # 2 ** (ID_BITS - 6) rows at most.
-    out = rows.withColumn("_word", F.shiftright(slot(F.col(col)), 6)).join(F.broadcast(bits), "_word", "left")
-    return out.withColumn("_maybe", F.expr(f"coalesce((shiftrightunsigned(_bits, cast(xxhash64(`{col}`) & 63 as int)) & 1) = 1, false)")).drop("_word", "_bits")
+    out = rows.withColumn(word, F.shiftright(slot(F.col(col)), 6)).join(F.broadcast(table), word, "left")
+    return out.withColumn(maybe, F.expr(f"coalesce((shiftrightunsigned(`{bits}`, cast(xxhash64(`{col}`) & 63 as int)) & 1) = 1, false)")).drop(word, bits), maybe
 
 
 def id_filter(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """The rows whose id may be in ``ids``. It spares most others a shuffle; ids that share a bit pass too, so an exact join has to follow."""
-    return _marked(rows, col, ids).where("_maybe").drop("_maybe")
+    out, maybe = _marked(rows, col, ids)
+    return out.where(F.col(maybe)).drop(maybe)
 
 
 def without(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """The rows whose id is not in ``ids``, and those with a null id. Only rows that may go are shuffled."""
-    marked = _marked(rows, col, ids)
-    unsure = marked.where("_maybe").join(ids.select(F.col("id").alias("_id")), F.col(col) == F.col("_id"), "left_anti")
-    return marked.where("not _maybe").unionByName(unsure).select(rows.columns)
+    """The rows whose id is not in ``ids`` (one column, named id), and those with a null id. Only rows that may go are shuffled.
+
+    Repeated rows stay or go together. Columns are as given, whatever their names. No ids: all rows; no rows: none.
+    """
+    marked, maybe = _marked(rows, col, ids)
+    (other,) = fresh(rows, "_id")
+    unsure = marked.where(F.col(maybe)).join(ids.select(F.col("id").alias(other)), F.col(col) == F.col(other), "left_anti")
+    return marked.where(~F.col(maybe)).unionByName(unsure).drop(maybe)
 
 
 def word_count(text: Column) -> Column:
@@ -88,21 +131,27 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable, for each node of edges (a, b).
 
-    Alternating large and small stars on written edge tables: the smallest neighbour of a node comes from a partial
-    aggregate and goes back by a join that Spark can split where it is skewed; no neighbour list is ever gathered.
+    Alternating large and small stars on written tables: the smallest neighbour of each node comes from a partial
+    aggregate and is written before it goes back to the edges, so that both sides of that join have a shuffle of their own and
+    Spark can split the edges of a node with very many neighbours; no neighbour list is ever gathered.
     """
     either = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges0")
-    mark = None
+    least = lambda e, name: scratch.write(e.groupBy("u").agg(F.min("v").alias("m")), name)
+
+    def written(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        """The different edges, and a mark by which a round knows that it changed nothing."""
+        out = scratch.write(e.where("u > v").distinct(), name)
+        return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now, mark = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges0")
     for k in range(1, rounds + 1):
         both = either(now)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = scratch.write(small.select("e.*").where("u > v").distinct(), f"edges{k}")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"edges{k - 1}")
+        near = least(both, f"near{k}")
+        large = scratch.write(both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct(), f"large{k}")
+        near = least(large, f"near{k}s")
+        small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        now, seen = written(small.select("e.*"), f"edges{k}")
+        scratch.drop(f"edges{k - 1}", f"near{k}", f"near{k}s", f"large{k}")
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = seen

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, id_filter, partitions, without
+from .common import Scratch, components, fresh, id_filter, partitions, without
 
 #: Bit ranges of a fingerprint. Three segments: of four differing bits, one segment has one at most.
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
@@ -101,6 +101,36 @@ def _links(bits: int, small: int = 8):
     return run
 
 
+def _contracted(links: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) to stars around the smallest node, some hundred thousand at a time: fewer rows and shorter paths for what follows."""
+
+    def stars(some: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate(some), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        label = np.arange(len(nodes))
+        while True:
+            least = np.minimum(label[a], label[b])
+            if (label[a] == least).all() and (label[b] == least).all():
+                break
+            np.minimum.at(label, label[a], least)
+            np.minimum.at(label, label[b], least)
+            while (label[label] != label).any():
+                label = label[label]
+        out = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[label[out]])], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in links:
+        if batch.num_rows:
+            held.append(np.stack([batch.column(c).to_numpy() for c in (0, 1)], axis=1))
+            n += batch.num_rows
+        if n >= rows:
+            yield stars(held)
+            held, n = [], 0
+    if held:
+        yield stars(held)
+
+
 def simhash_components(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: id, fp (long, the fingerprint's 64 bits) and component_id, the smallest id reachable over links.
 
@@ -125,20 +155,24 @@ def simhash_components(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col:
         for bit in range(a, b)
     ]
     index = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key", "fp")
-    links = index.mapInArrow(_links(bits), "a long, b long").distinct()
+    verified = _links(bits)
+    links = index.mapInArrow(lambda batches: _contracted(verified(batches)), "a long, b long").distinct()
     roots = components(scratch, links)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "id")
-    # Nodes, not rows, meet here: one for each different fingerprint.
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    # Nodes, not rows, meet here: one for each different fingerprint. Both sides are written, so Spark can split a root with very many nodes.
+    named = scratch.write(named, "rooted")
+    least = scratch.write(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     named = scratch.write(named.join(least, "root").select("fp", "component_id"), "named")
-    scratch.drop("nodes")
+    scratch.drop("nodes", "rooted", "least")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; of rows with that id, one. Columns as given.
 
-    Rows with a null id stay: nothing names them.
+    Of rows that share the id, the one with the least hash of its columns stays (map columns do not count). Rows with a null id
+    stay: nothing names them. Null and empty texts have fingerprint 0: one document stands for all within four bits of it.
+    An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "kept")
     found = scratch.write(simhash_components(docs, **options), "found")
@@ -147,7 +181,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     kept = without(docs, "doc_id", gone)
     if twice.isEmpty():
         return kept
-    same = id_filter(kept, "doc_id", twice).join(twice.select(F.col("id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*(F.col(c) for c in docs.columns)))
-    one = same.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    other, place = fresh(docs, "_id", "_place")
+    same = id_filter(kept, "doc_id", twice).join(twice.select(F.col("id").alias(other)), F.col("doc_id") == F.col(other), "left_semi")
+    told = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*told))
+    one = same.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return without(kept, "doc_id", twice).unionByName(one)
