@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import Scratch, fresh, word_count
 
 #: Hex digits of the md5 that orders documents within a source: 60 bits.
 BITS = 60
@@ -33,7 +33,12 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFr
     return out.select("source", "source_size", F.when(F.col("source_size") > 0, share).otherwise(F.lit(0.0)).alias("target"))
 
 
-def plan_mix(docs: DataFrame, size=None, keep=(), weights=(1, 2, 3), most: int = 3, seed: str = "mix", rows_per_range: int = 50_000) -> DataFrame:
+def md5_order(doc_id: Column, seed: str) -> Column:
+    """Where a document stands in its source: BITS bits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, BITS // 4), 16, 10).cast("long")
+
+
+def plan_mix(docs: DataFrame, size=None, keep=(), weights=(1, 2, 3), most: int = 3, seed: str = "mix", rows_per_range: int = 50_000, row: str | None = None) -> DataFrame:
     """Per input row: doc_id, source, the columns in ``keep``, size, source_size, target, finish (its first copy's), copies, taken.
 
     ``docs`` has doc_id, source and text; ``size`` is the column that measures a row, by default the text's words. Within a source, documents go in md5 order; a copy's
@@ -44,13 +49,13 @@ def plan_mix(docs: DataFrame, size=None, keep=(), weights=(1, 2, 3), most: int =
 
     Null source: a source of its own. Null or empty text: size 0, taken 0. Source without words: target 0, nothing
     taken. Equal rows (same doc_id, source and size) are interchangeable. An empty table gives no rows. Other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names. ``row`` names a column that numbers the rows and breaks ties; it is returned as
+    _row with _h, the md5 order.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    docs = docs.select("doc_id", "source", *keep, (word_count(F.col("text")) if size is None else size).alias("size"))
-    shuffled = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, BITS // 4), 16, 10).cast("long")
-    sized = scratch.write(docs.withColumns({"_h": shuffled, "_row": F.monotonically_increasing_id()}), "sized")
+    docs = docs.select("doc_id", "source", *keep, (word_count(F.col("text")) if size is None else size).alias("size"), (F.lit(0) if row is None else F.col(row)).alias("_row"))
+    sized = scratch.write(docs.withColumns({"_h": md5_order(F.col("doc_id"), seed), "_row": F.monotonically_increasing_id() if row is None else F.col("_row")}), "sized")
     rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(10, (max(1, rows) // rows_per_range).bit_length())
     ranges = 1 << bits
@@ -80,15 +85,29 @@ def plan_mix(docs: DataFrame, size=None, keep=(), weights=(1, 2, 3), most: int =
     whole = sum((F.when(part(finish(e)) < last, 1).otherwise(0) for e in range(most)), F.lit(0))
     out = queued.join(edge, "_row", "left").withColumn("copies", (whole + F.coalesce("edge", F.lit(0))).cast("long"))
     out = out.withColumns({"taken": F.col("copies") * F.col("size"), "finish": finish(0)})
-    return out.drop("_h", "_bucket", "_end", "edge", "_row")
+    return out.drop("_bucket", "_end", "edge", *(("_h", "_row") if row is None else ()))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix: each row of ``docs`` as often as plan_mix takes it, all its columns kept. Rows taken 0 times go.
+    """The mix: each row of ``docs`` as often as plan_mix takes it, all its columns kept, whatever their names. Rows taken 0 times go.
+
+    The rows are written once with a row number, so that the plan and the texts speak of the same rows. Within a source the plan
+    takes rows in md5 order, so for each source and number of copies there is a last row that is taken so often. These few rows, one a
+    source, go to the texts; a text is never shuffled. Should there be so many sources that Spark does not broadcast them,
+    it joins by source and splits large ones.
 
-    The rows are written once with a row number, so that the plan and the texts speak of the same rows.
+    Null source: a source of its own. Null or empty text: size 0, so it weighs nothing; it stays in the mix as often as the row before
+    it in its source's order. Repeated rows count each for itself. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
-    rows = scratch.write(docs.withColumn("_n", F.monotonically_increasing_id()), "rows")
-    plan = plan_mix(rows, keep=["_n"], **options)
-    return rows.join(plan.where("copies > 0").select("_n", F.col("copies").alias("_copies")), "_n").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_n", "_k", "_copies")
+    amount, number, place, copies, copy, other, limits = fresh(docs, "_amount", "_n", "_place", "_copies", "_copy", "_source", "_limits")
+    size = options.pop("size", None)
+    rows = scratch.write(docs.withColumns({amount: word_count(F.col("text")) if size is None else size, number: F.monotonically_increasing_id()}), "rows")
+    plan = plan_mix(rows.select("doc_id", "source", F.col(amount).alias("amount"), F.col(number).alias("n")), F.col("amount"), row="n", **options)
+    at = lambda h, size, n: F.struct(h.alias("h"), F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), size.alias("size"), n.alias("n"))
+    last = plan.groupBy("source").agg(F.array(*(F.max(F.when(F.col("copies") >= c, at(F.col("_h"), F.col("size"), F.col("_row")))) for c in range(1, options.get("most", 3) + 1))).alias(limits))
+    last = scratch.write(last.withColumnRenamed("source", other), "limits")
+    rows = rows.withColumn(place, at(md5_order(F.col("doc_id"), options.get("seed", "mix")), F.col(amount), F.col(number)))
+    rows = rows.join(last, rows["source"].eqNullSafe(last[other]))
+    rows = rows.withColumn(copies, F.size(F.filter(F.col(limits), lambda x: F.coalesce(F.col(place) <= x, F.lit(False)))))
+    return rows.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(amount, number, place, copies, copy, other, limits)
