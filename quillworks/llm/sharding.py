@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, fresh, partitions
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", framing: int = 8) -> DataFrame:
@@ -40,3 +40,39 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     scratch.drop("sized", "ranged")
     firsts = placed.groupBy("shard").agg(F.min("pos").alias("first"))  # as many rows as shards
     return placed.join(F.broadcast(firsts), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", "start", "shard", (F.col("pos") - F.col("first")).cast("long").alias("slot"))
+
+
+def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", framing: int = 8) -> DataFrame:
+    """The rows themselves with shard and slot, laid out and cut as in shard_documents; a caller's columns of these names go.
+
+    The rows move once, to ranges of (id, crc32, size), and are written there in order and numbered. Sums over ids and sizes
+    alone then find each shard's first number, ``shards`` rows at most, which tell every row its shard and slot.
+
+    Null texts, ties and repeated rows: as in shard_documents. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    scratch, n = Scratch(spark, "shards"), partitions(spark)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")))
+    crc, size, number, part, before = fresh(docs, "_crc", "_size", "_number", "_part", "_before")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumns({crc: F.crc32(text.cast("binary")), size: (F.octet_length(text) + F.lit(framing)).cast("long")})
+    # The high bits of the number are the partition, the low 33 the place in it.
+    rows = scratch.write(rows.repartitionByRange(n, id_col, crc, size).sortWithinPartitions(id_col, crc, size).withColumn(number, F.monotonically_increasing_id()), "rows")
+    light = rows.select(F.col(number).alias("number"), F.shiftright(number, 33).alias("part"), F.col(size).alias("size"))
+    totals = light.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("count"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bases = scratch.write(totals.select("part", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("base"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("count"), F.sum("bytes").over(every).alias("total")), "bases")
+    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row a range partition, n at most: small whatever the table holds.
+    placed = light.withColumn("upto", F.sum("size").over(within)).join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
+    shard = F.least(F.expr(f"((2 * start + size) * {int(shards)}) div (2 * total)"), F.lit(shards - 1)).cast("int")
+    firsts = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct("number", (F.col("count") + F.col("number").bitwiseAND((1 << 33) - 1)).alias("pos"))).alias("first")).select("shard", "first.*").orderBy("shard").collect()
+    known = F.col(number)
+    which, slot = F.lit(0), F.lit(0)
+    for x in firsts:  # ascending, so the last that starts at or before the row is its own
+        which, slot = F.when(known >= x["number"], x["shard"]).otherwise(which), F.when(known >= x["number"], F.lit(x["pos"])).otherwise(slot)
+    place = F.col(before) + known.bitwiseAND((1 << 33) - 1)
+    out = rows.withColumn(part, F.shiftright(number, 33))
+    out = out.join(F.broadcast(bases.select(F.col("part").alias(part), F.col("count").alias(before))), part)
+    return out.withColumns({"shard": which.cast("int"), "slot": (place - slot).cast("long")}).drop(crc, size, number, part, before)
