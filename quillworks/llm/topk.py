@@ -95,11 +95,13 @@ def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
 
     Null ids, null vectors and vectors with null or non-finite components take no part. Shorter vectors count as
     padded with 0. Rows that repeat an id are candidates for other ids as often as they occur, and none for their own.
-    Components beyond 2^31 / 1024 are not supported. An empty table gives no rows. Other columns are ignored.
+    Components so large that a score could leave 64 bits are an error, never a wrong row. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows_of = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).where("id is not null and v is not null")
-    total = rows_of.count()
+    total, width, low, high = rows_of.agg(F.count("*"), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    if total and (width or 0) * max(-(low or 0), high or 0) ** 2 >= 1 << 62:
+        raise ValueError(f"vectors of {width} components between {low} and {high}: inner products can leave 64 bits")
     blocks, parts = max(1, -(-total // rows)), max(1, -(-(total // every) // queries))
     cand = rows_of.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     asked = rows_of.where(F.col("id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
