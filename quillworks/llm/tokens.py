@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,23 +44,36 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
 
 
+def by_word_of(spec: dict) -> bool:
+    """Whether a tokenizer file turns white space into spaces and lowers letters first, then keeps only pieces without a space. Decided from the file."""
+    flat = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    first = flat(spec.get("normalizer"), "normalizers")
+    spaces = any(x["type"] == "Replace" and x["pattern"].get("Regex") == r"\s+" and x["content"] == " " for x in first)
+    split = next((x for x in flat(spec.get("pre_tokenizer"), "pretokenizers") if x["type"] == "Split"), None)
+    # Removed and inverted: what the pattern does not match goes. None of its parts may match white space.
+    parts = split["pattern"].get("Regex", " ").split("|") if split and split["behavior"] == "Removed" and split["invert"] else [" "]
+    apart = all(re.fullmatch(r"'[a-z]+|\[\\p\{[LN]\}\]\+?|\[\^\\s[^\]]*\]\+?", x) for x in parts)
+    return spaces and apart and any(x["type"] == "Lowercase" for x in first)
+
+
 class Encoder:
     """Whole texts to ids with a ``tokenizers`` file, special tokens not added.
 
     Splitting at spaces before the library is exact where its first steps turn white space into spaces and lower letters,
-    and its words never cross a space; ``by_word`` says so. Then each different piece goes through the library once and is
+    and its words never cross a space: by_word_of() reads that from the file. Then each different piece goes through the library once and is
     remembered by a 64-bit hash. Where the file marks word ends, a piece is a word without the marks after it, or these
     marks, and pieces of one kind go through the library many at a time, cut where a token ends a word.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
+            spec = json.load(f)
+        self.by_word, suffix = by_word_of(spec), spec["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix:
             vocabulary = self.tokenizer.get_vocab()
@@ -172,16 +186,16 @@ class Encoder:
 
 SPACE = _BYTES == 32
 #: One encoder a Python worker and file: a worker runs many tasks.
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder_of(path: str, by_word: bool) -> Encoder:
-    if (path, by_word) not in _encoders:
-        _encoders[path, by_word] = Encoder(path, by_word)
-    return _encoders[path, by_word]
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def _write_shard(path: str, folder: str, end_id: int, by_word: bool):
+def _write_shard(path: str, folder: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part = None, TaskContext.get().partitionId()
@@ -189,7 +203,7 @@ def _write_shard(path: str, folder: str, end_id: int, by_word: bool):
         try:
             for batch in batches:
                 if data is None:
-                    encoder = encoder_of(path, by_word)
+                    encoder = encoder_of(path)
                     name = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex[:8]}"
                     data = open(name + ".bin.part", "wb")
                 ids.append(batch.column(0).fill_null(0).to_numpy())
@@ -218,7 +232,7 @@ def local_folder(url: str) -> str:
     return unquote(at.path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes ``docs`` in ascending id order to ``folder`` (shared by all executors) and returns the manifest's path.
 
     Each range partition writes shard-*.bin (ids, 16 bits where the vocabulary allows, else 32), shard-*.idx (64-bit
@@ -232,7 +246,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
     os.makedirs(folder, exist_ok=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    told = rows.mapInArrow(_write_shard(tokenizer, folder, end_id, by_word), "part long, file string, docs long, tokens long, wide boolean").collect()  # one row a shard
+    told = rows.mapInArrow(_write_shard(tokenizer, folder, end_id), "part long, file string, docs long, tokens long, wide boolean").collect()  # one row a shard
     base, shards = 0, []
     for x in sorted(told, key=lambda x: x["part"]):
         shards.append({"file": x["file"], "docs": x["docs"], "tokens": x["tokens"], "base": base, "wide": x["wide"]})
@@ -265,7 +279,11 @@ class Shard:
 
 
 def read_token_files(spark: SparkSession, manifest: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers)."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers).
+
+    Documents come as they were written: repeated ids each with a row, a null id as null, an empty text with its end id alone.
+    A manifest without shards gives no rows.
+    """
     folder = os.path.dirname(manifest)
     with open(manifest) as f:
         shards = json.load(f)["shards"]
