@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillworks.llm import decontaminate, licenses, mixing, quality, queries, sharding, simhash, substrings, tokens, topk, toxicity
-from quillworks.llm.common import components, Scratch, id_filter, without
+from quillworks.llm.common import Scratch, components, id_filter, without
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, id string, copies string, fold string"
@@ -82,7 +82,8 @@ def test_encoder_is_the_library(spark):
     rng, alphabet = random.Random(1), "aAbBéÉßſİıΣσς ..,,!!''sStT12\t\n　́|#$ªºǅfi×÷»…̇ 中🙂"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        encoder = tokens.Encoder(public_tokenizers.path(name), by_word=name.startswith("word"))
+        encoder = tokens.Encoder(public_tokenizers.path(name))
+        assert encoder.by_word == name.startswith("word")
         library = Tokenizer.from_file(public_tokenizers.path(name))
         for _ in range(2):  # fresh, then remembered
             got = [ids[b - n : b].tolist() for ids, sizes in encoder.arrays(pa.array(texts), 2) for b, n in zip(np.cumsum(sizes), sizes, strict=True)]
@@ -149,11 +150,84 @@ def test_classifiers_without_evidence(spark, docs):
     assert toxicity.toxicity(docs.limit(0), none).count() == 0 and quality.quality(docs.limit(0), none).count() == 0
 
 
-def test_held_out_labels_are_not_read(spark):
+@pytest.mark.parametrize("name, run, folds, held", [("toxic", toxicity.toxicity, 5, 0), ("quality", quality.quality, 3, 1)])
+def test_held_out_labels_are_not_read(spark, name, run, folds, held):
     texts, labels, _ = labelled(spark, 300)
-    turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    scores = lambda x: {r["doc_id"]: r["score"] for r in toxicity.toxicity(texts, x).collect()}
-    assert scores(labels) == scores(turned)
+    turned = labels.withColumn(name, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, 1 - F.col(name)).otherwise(F.col(name)))
+    learnt = labels.withColumn(name, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.col(name)).otherwise(1 - F.col(name)))
+    scores = lambda x: {r["doc_id"]: round(r["score"], 12) for r in run(texts, x).collect()}
+    assert scores(labels) == scores(turned) != scores(learnt)
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
+def test_classifiers_on_repeated_and_long_texts(spark, run):
+    texts, labels, _ = labelled(spark, 200)
+    rows = [(r["doc_id"], r["text"], "s") for r in texts.collect()]
+    more = [*rows, (7, rows[7][1], "s"), (7, "another text of the same id", "s"), (900, " ".join(f"w{k % 300}" for k in range(50_000)), "s"), (901, "x" * 300_000, "s"), (902, "\u4f60\u597d" * 2000, "s")]
+    got = run(frame(spark, more), labels).collect()
+    assert bag(r["doc_id"] for r in got) == bag(d for d, _, _ in more)
+    assert len({r["score"] for r in got if r["doc_id"] == 7}) == 2 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def plain_kneser_ney(docs, discount=0.75, weight=5.0, least=3):
+    """(text, class) to each word's log ratio, step by step."""
+    split = lambda t: [w for w in re.split(rb"[^a-z0-9\x80-\xff]+", t.lower().encode()) if w]
+    contexts = {(c, p, w) for t, c in docs for p, w in zip([b"", *split(t)], split(t))}
+    count = {}
+    for c, _, w in contexts:
+        for k in range(len(w) + 1):
+            node = (*w, "end")[: k + 1]
+            count.setdefault(node, [0, 0])[c] += 1
+    kids = {}
+    for node, n in count.items():
+        kids.setdefault(node[:-1], []).append(n)
+
+    def ratio(w):
+        total, chain = 0.0, (*w, "end")
+        for k in range(len(chain)):
+            n, below = count.get(chain[: k + 1], [0, 0]), kids.get(chain[:k], [])
+            whole = [sum(x[c] for x in below) for c in (0, 1)]
+            if sum(n) < least or not all(whole) or sum(n) == sum(whole):
+                continue
+            shared = sum(n) / sum(whole)
+            p = [(max(n[c] - discount, 0) + (discount * sum(x[c] > 0 for x in below) + weight) * shared) / (whole[c] + weight) for c in (0, 1)]
+            total += np.log(p[1] / p[0])
+        return total
+
+    return lambda t: [ratio(w) for w in split(t)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_margins_are_those_of_two_kneser_ney_models(spark, most):
+    """With all nodes in memory, and with most of them left to the join."""
+    texts, labels, _ = labelled(spark, 250)
+    rows = {r["doc_id"]: r["text"] for r in texts.collect()}
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5
+    y = {r["id"]: r["y"] for r in toxicity.clear_labels(labels, "toxic").collect()}
+    model = plain_kneser_ney([(rows[d], c) for d, c in y.items() if d in rows and fold(d) > 1])
+    odd = [(d, t) for d, t in rows.items() if d is not None] + [(1000, "vile rottenness vilely, nasty-nasty W7###"), (1001, "\u4f60\u597d vile")]
+    got = {r["doc_id"]: r for r in toxicity.toxicity(frame(spark, [(d, t, "s") for d, t in odd]), labels, most=most).collect()}
+    for d, t in odd:
+        ratios = model(t or "")
+        assert got[d]["words"] == len(ratios)
+        assert got[d]["margin"] == pytest.approx(float(np.mean(np.log1p(0.005 * np.expm1(ratios)))) if ratios else 0.0, abs=1e-12)
+
+
+def test_quality_fits_what_numpy_fits(spark):
+    """The normal equations by partition and the isotonic curve against plain numpy on the same features."""
+    rng = np.random.default_rng(5)
+    x, n = np.sort(rng.normal(size=40)), rng.integers(1, 9, 40)
+    ones = rng.binomial(n, 1 / (1 + np.exp(-2 * x)))
+    knots, share = quality.isotonic(x, n.astype(float), ones.astype(float))
+    assert (np.diff(knots) > 0).all()
+    fit = np.array([max(min(ones[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, 40)) for i in range(k + 1)) for k in range(40)])  # the min-max formula
+    pools = [list(g) for g in np.split(np.arange(40), np.flatnonzero(np.diff(fit)) + 1)]
+    assert knots == pytest.approx([np.average(x[g], weights=n[g]) for g in pools])
+    assert share == pytest.approx([(ones[g].sum() + 0.5) / (n[g].sum() + 1) for g in pools])
+    features = quality.Features(np.zeros(3), np.ones(3), count=2000, sigma=1.5)
+    a, b = rng.normal(size=(2, 50, 3))
+    kernel = np.exp(-((a - b) ** 2).sum(axis=1) / (2 * 1.5**2))
+    assert np.abs((features(a)[:, :-1] * features(b)[:, :-1]).sum(axis=1) - kernel).max() < 0.12
 
 
 # ---- op3 ----
@@ -268,6 +342,37 @@ def test_contaminated_finds_all_that_brute_force_finds(spark, monkeypatch):
     assert all(r["lcs"] == want[p] for p, r in got.items())
 
 
+def test_items_of_odd_lengths(spark):
+    """Items just over a piece leave no short tail; items under five words match nothing."""
+    rng = random.Random(12)
+    prose = lambda n: [f"q{rng.randrange(5000)}" for _ in range(n)]
+    items = {k: prose(n) for k, n in enumerate([1, 2, 3, 4, 5, 6, 257, 385, 513, 1000])}
+    texts = [(k, prose(300)) for k in range(40)] + [(100 + k, prose(50) + v + prose(50)) for k, v in items.items()]
+    texts += [(200, prose(20) + items[9][240:510] + prose(20)), (300, items[6][:100]), (301, items[8][:90])]
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, [(d, " ".join(t), "s") for d, t in texts]), bench).collect()}
+    assert got == {(100 + k, k) for k, v in items.items() if len(v) >= 5} | {(200, 9)}
+
+
+@pytest.mark.parametrize("rank", [1, 64])
+def test_the_gate_loses_no_match(rank):
+    """Products in the completed basis are those of the TF-IDF vectors, and no match stays below its floor."""
+    rng = np.random.default_rng(rank)
+    words = rng.integers(1, 1 << 63, 300, dtype=np.uint64)
+    block = decontaminate.Block(list(range(20)), [rng.choice(words, rng.integers(5, 40)) for _ in range(20)])
+    block.idf = rng.uniform(0.5, 9, len(block.vocabulary))
+    items = block.matrix()
+    block.basis = decontaminate.completed(np.linalg.qr(rng.normal(size=(len(block.vocabulary), rank)))[0], items).astype(np.float32)
+    block.ready(0.6)
+    for j, piece in enumerate(block.pieces):
+        for _ in range(20):
+            kept = np.sort(rng.permutation(len(piece))[: block.needed[j]])
+            word = np.searchsorted(block.vocabulary, np.concatenate([piece[kept], rng.choice(piece[kept], 3)]))
+            _, word, weight, _ = block.weighted(np.zeros(len(word), np.int64), word, 1)
+            product = weight @ block.basis[word] @ block.latent.T
+            assert product == pytest.approx(weight @ items[:, word].T, rel=1e-5, abs=1e-3) and product[j] >= block.floor[j]
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(200):
@@ -288,7 +393,7 @@ def test_licenses(spark):
         texts.append((k, fill(rng.randint(0, 60)) + "".join("\n" + licenses.TEMPLATES[n] + "\n" + fill(rng.randint(0, 40)) for n in names), "s"))
     mit = licenses.TEMPLATES["mit-permission"].split()
     mit[8] = "CHANGED"
-    texts += [(100, " ".join(mit), "s"), (101, None, "s"), (102, "", "s"), (103, "all RIGHTS, reserved", "s"), (None, licenses.TEMPLATES["mit"], "s")]
+    texts += [(7, licenses.TEMPLATES["isc"], "s"), (104, fill(20_000) + " " + licenses.TEMPLATES["bsd"], "s"), (100, " ".join(mit), "s"), (101, None, "s"), (102, "", "s"), (103, "all RIGHTS, reserved", "s"), (None, licenses.TEMPLATES["mit"], "s")]
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     want = set()
     for d, t, _ in texts:
@@ -301,8 +406,9 @@ def test_licenses(spark):
             if best[0] >= 0.8:
                 held.append((name, best[0], -best[1], len(p)))
         want |= {(d, n) for n, c, a, m in held if not any(c2 > c and a2 < a + m and a < a2 + m2 for _, c2, a2, m2 in held)}
-    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(frame(spark, texts)).collect()}
-    assert got == want and (100, "mit-permission") not in got or (100, "mit-permission") in want
+    docs = frame(spark, texts).withColumns({"license": F.lit("mine"), "word": F.lit(1)})
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()}
+    assert got == want and len(want) > 50 and (100, "mit-permission") in want  # 20 of 25 shingles are left
     assert licenses.scan_licenses(frame(spark, texts).limit(0)).count() == 0
 
 
@@ -345,6 +451,12 @@ def test_topk(spark):
     assert topk.exact_topk(df.limit(0)).count() == 0
 
 
+def test_components_that_overflow_are_refused(spark):
+    for x in (1e15, -1e30, 3e7):
+        with pytest.raises(ValueError):
+            topk.exact_topk(spark.createDataFrame([(0, [x, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_index_stops_only_on_proof():
     rng = np.random.default_rng(3)
     for n, d in ((50, 8), (2500, 24), (900, 3)):
@@ -384,6 +496,41 @@ def test_substrings(spark, docs, rows, batches):
     assert bag((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == bag(repeated(rows, 50))
 
 
+def test_runs_are_merged(docs, monkeypatch):
+    """The registered query's number of batches compacts, and the next batch meets a merged run."""
+    seen, drop = [], substrings.SubstringIndex.close
+
+    def close(self):
+        seen.append((self.merged, {k: [level for _, level in v] for k, v in self.runs.items()}))
+        drop(self)
+
+    monkeypatch.setattr(substrings.SubstringIndex, "close", close)
+    substrings.dedup_substrings(docs).count()
+    assert seen == [(2, {"h": [1, 0], "words_sha": [1, 0]})]
+
+
+def test_an_index_is_reopened(spark, docs, rows, tmp_path):
+    folder, got, some = str(tmp_path / "index"), [], docs.select(F.col("doc_id").alias("id"), "text")
+    for k, part in enumerate((some.where("id < 102"), some.where("id >= 102 and id < 205"), some.where("id >= 205 or id is null"))):
+        index = substrings.SubstringIndex(spark, folder)  # as another session would
+        assert len(index.batches) == k
+        got += index.add(part, Scratch(spark, "t")).collect()
+        index.close()
+    assert bag((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == bag(repeated(rows, 50))
+    with pytest.raises(ValueError):
+        substrings.SubstringIndex(spark, folder, window=20)
+
+
+def test_windows_with_one_print_are_told_apart(spark):
+    """Windows may share their least run of ten words and differ elsewhere: only equal words go."""
+    rng = random.Random(6)
+    core = [f"k{rng.randrange(1000)}" for _ in range(45)]
+    rows = [(k, " ".join([f"a{k}{j}" for j in range(12)] + core + [f"z{k}{j}" for j in range(12)]), "s") for k in range(6)]
+    rows += [(10, " ".join(["x", *core, *(f"t{j}" for j in range(9))]), "s"), (11, " ".join(["y", *core, *(f"t{j}" for j in range(9))]), "s")]
+    got = substrings.dedup_substrings(frame(spark, rows), batches=2).collect()
+    assert bag((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == bag(repeated(rows, 50))
+
+
 def test_substrings_of_nothing(docs):
     assert substrings.dedup_substrings(docs.limit(0)).count() == 0
 
@@ -465,6 +612,40 @@ def test_id_filters(spark, docs):
     assert without(docs, "doc_id", ids.limit(0)).count() == docs.count()
 
 
+def test_columns_keep_their_names(spark, docs, rows):
+    """Columns named like the helpers' own come through, and so do maps."""
+    names = ["_word", "_bits", "_maybe", "_id", "_place", "_n", "_copies", "_copy", "_amount", "_source", "_limits", "_row", "_h", "_crc", "_size", "_number", "_part", "_before", "bit", "fp", "pair"]
+    more = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, rows[0][1] or "a b c d e f")], "item_id long, text string")
+    for out in (toxicity.drop_toxic(more, labels), simhash.drop_near_duplicates(more), decontaminate.drop_contaminated(more, bench), mixing.mix_documents(more), sharding.shard_rows(more)):
+        assert [c for c in out.columns if c not in ("shard", "slot")] == more.columns
+        for r in out.collect():
+            assert all(r[n] == (None if r["doc_id"] is None else n + str(r["doc_id"])) for n in names) and r["m"] == {"a": r["doc_id"]}
+
+
+def test_mix_is_its_plan(spark, docs, rows):
+    """Texts are taken by the last row of their source: as often as the plan says, row by row."""
+    plan = {}
+    for r in mixing.plan_mix(docs).collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        plan[key] = plan.get(key, 0) + r["copies"]
+    got = {}
+    for r in mixing.mix_documents(docs).collect():
+        key = (r["doc_id"], r["source"], len(WORD.findall(r["text"] or "")))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in plan.items() if n}
+    same = frame(spark, [(1, "one two three", "a")] * 9 + [(None, "four five", "a")] * 5 + [(2, "six", "b"), (3, "", "c"), (4, None, None)])
+    assert mixing.mix_documents(same).count() == sum(r["copies"] for r in mixing.plan_mix(same).collect())
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_shard_rows_is_its_plan(docs):
+    plan = bag((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_documents(docs).collect())
+    assert bag((r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in sharding.shard_rows(docs).collect()) == plan
+    assert sharding.shard_rows(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_queries_as_sql(spark, data, name):
     con = duckdb.connect()
