@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import Scratch, crc_mod, id_filter, without
+from .common import Scratch, crc_mod, id_filter, partitions, without
 
 #: What follows the last byte of a word.
 END = np.uint64(257)
@@ -36,13 +36,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to different (word, context): a word after a word, in class 0 (even contexts) or class 1 (odd ones)."""
     for batch in batches:
         toxic = batch.column(1).to_numpy()
-        for rows, t in textnum.texts(batch.column(0), textnum.LETTERS):
+        for rows, t in textnum.texts(batch.column(0), textnum.LETTERS, 4 * textnum.CHUNK):
             key = t.hashes(lower=True)
             before = np.concatenate([np.ones(1, np.uint64), key[:-1]])[: len(key)]
             starts = t.bounds[:-1]
             before[starts[starts < len(key)]] = 1  # a text's first word
-            context = textnum.mix(before) >> np.uint64(24) << np.uint64(1) | toxic[rows][t.owners()].astype(np.uint64)
+            context = textnum.mix(before) >> np.uint64(33) << np.uint64(1) | toxic[rows][t.owners()].astype(np.uint64)
             _, at = np.unique(textnum.mix(key ^ textnum.mix(context)), return_index=True)
+            at = at[np.argsort(key[at], kind="stable")]  # rows of one word after another compress well
             size = t.ends[at] - t.starts[at]
             ends = np.concatenate([[0], np.cumsum(size)])
             data = textnum.LOWER[t.data][np.arange(ends[-1]) + np.repeat(t.starts[at] - ends[:-1], size)]
@@ -50,17 +51,31 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([words, pa.array(context[at].view(np.int64))], names=["word", "context"])
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, o, t) to (parent, node, o, t) for each beginning of the words, summed by node."""
-    for batch in batches:
-        counts = [batch.column(c).to_numpy() for c in (1, 2)]
-        for rows, t in textnum.texts(batch.column(0), np.zeros(256, bool)):  # a row is one word
+def _beginnings(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """(word, o, t) to (parent, node, o, t) for each beginning of the words, summed by node over some hundred thousand words at a time."""
+
+    def summed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = pa.Table.from_batches(parts).combine_chunks()
+        counts = [some.column(c).to_numpy() for c in (1, 2)]
+        for at, t in textnum.texts(some.column(0).chunk(0), np.zeros(256, bool), 4 * textnum.CHUNK):  # a row is one word
             node, word = nodes_of(t, np.arange(len(t)))
             parent = np.concatenate([[0], node[:-1]]).astype(np.uint64)
             parent[np.concatenate([[True], word[1:] != word[:-1]])[: len(parent)]] = 0
-            node, at, back = np.unique(node, return_index=True, return_inverse=True)
-            sums = [np.bincount(back, weights=c[rows][word], minlength=len(node)).astype(np.int64) for c in counts]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (parent[at], node)), *map(pa.array, sums)], names=["parent", "node", "o", "t"])
+            node, first, back = np.unique(node, return_index=True, return_inverse=True)
+            sums = [np.bincount(back, weights=c[at][word], minlength=len(node)).astype(np.int64) for c in counts]
+            order = np.argsort(parent[first], kind="stable")  # compresses well
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[order].view(np.int64)) for x in (parent[first], node)), *(pa.array(x[order]) for x in sums)], names=["parent", "node", "o", "t"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield from summed(held)
+            held, n = [], 0
+    if held:
+        yield from summed(held)
 
 
 def clear_labels(labels: DataFrame, name: str) -> DataFrame:
@@ -74,7 +89,9 @@ def count_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Contexts, not occurrences, as Kneser and Ney count: a line repeated a thousand times, or a document with many copies, counts once.
     """
     some = id_filter(docs, "id", labels.select("id"))
-    pairs = some.select("id", "text").join(labels, "id").select("text", "y").mapInArrow(_contexts, "word string, context long").distinct()
+    pairs = some.select("id", "text").join(labels, "id").select("text", "y").mapInArrow(_contexts, "word string, context long")
+    # A word's contexts go to sixteen places: few rows of a word are left to add up, and no word gathers in one task.
+    pairs = pairs.withColumn("part", F.shiftright("context", 1).bitwiseAND(15)).repartition(partitions(docs.sparkSession), "word", "part").distinct()
     toxic = F.col("context").bitwiseAND(1)
     return pairs.groupBy("word").agg(F.sum(1 - toxic).alias("o"), F.sum(toxic).alias("t"))
 
@@ -89,8 +106,10 @@ def log_ratios(words: DataFrame, discount: float = 0.75, weight: float = 5.0, le
     share. A node seen fewer than ``least`` times, or whose parent one class has not seen, has the shared probability
     in both, so its ratio is 1, as it is where the parent goes on in one way only; such nodes are left out.
     """
-    nodes = words.mapInArrow(_beginnings, "parent long, node long, o long, t long").groupBy("parent", "node").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-    own = Window.partitionBy("parent")  # 257 nodes at most
+    nodes = words.mapInArrow(_beginnings, "parent long, node long, o long, t long")
+    # Dealt out by parent once, for both the sums by node and the window. A parent has 257 nodes at most, from each task once or twice.
+    nodes = nodes.repartition(partitions(words.sparkSession), "parent").groupBy("parent", "node").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    own = Window.partitionBy("parent")
     nodes = nodes.withColumns({"po": F.sum("o").over(own), "pt": F.sum("t").over(own), "ko": F.sum((F.col("o") > 0).cast("int")).over(own), "kt": F.sum((F.col("t") > 0).cast("int")).over(own)})
     n, whole = F.col("o") + F.col("t"), F.col("po") + F.col("pt")
     chance = lambda c, p, k: (F.greatest(F.col(c) - discount, F.lit(0.0)) + (discount * F.col(k) + weight) * (n / whole)) / (F.col(p) + weight)
