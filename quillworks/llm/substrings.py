@@ -10,7 +10,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +56,7 @@ def _scan(window: int):
                 at = at[np.argsort(own[at], kind="stable")]
                 bounds = np.searchsorted(own[at], np.arange(len(t) + 1)).astype(np.int32)
                 mine = [c.slice(rows.start, len(t)) for c in (batch.column(0), batch.column(2), batch.column(1))]
-                text = pc.if_else(pa.array(counts >= window), mine[2], pa.scalar(None, mine[2].type))
+                text = mine[2].take(pa.array(np.arange(len(t)), mask=counts < window))
                 yield pa.RecordBatch.from_arrays(
                     [*mine[:2], pa.array(counts.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in lines_of(t)]), pa.ListArray.from_arrays(bounds, pa.array(least[at].view(np.int64))), text],
                     names=["id", "text_key", "n_words", "words_sha", "prints", "text"],

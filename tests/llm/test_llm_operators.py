@@ -496,6 +496,27 @@ def test_substrings(spark, docs, rows, batches):
     assert bag((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == bag(repeated(rows, 50))
 
 
+def test_scans_of_more_than_a_chunk():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([0, 10, 400, 3000]))) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1500)), "text": [None, *texts[1:]], "text_key": list(range(1500))})
+    parts = list(substrings._scan(50)([batch]))
+    out = pa.Table.from_batches(parts).to_pylist()
+    assert len(parts) > 3 and [r["id"] for r in out] == list(range(1500))
+    for r, t in zip(out[1:], texts[1:]):
+        n = len(t.split())
+        assert r["n_words"] == n and r["text"] == (t if n >= 50 else None) and bool(r["prints"]) == (n >= 50)
+    shared = [[] if r["prints"] is None else r["prints"][:3] for r in out]
+    rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([True] * 1500), batch.column(1), pa.array(shared, pa.list_(pa.int64()))], names=["id", "text_key", "mine", "text", "shared"])
+    for part in substrings._windows(50)([rows]):
+        for r in part.to_pylist()[:50]:
+            words = texts[r["id"]].split()[r["start"] : r["start"] + 50]
+            digest = np.frombuffer(hashlib.sha256(" ".join(words).encode()).digest()[:16], np.int64)
+            assert (r["d1"], r["d2"]) == tuple(digest.tolist())
+
+
 def test_runs_are_merged(docs, monkeypatch):
     """The registered query's number of batches compacts, and the next batch meets a merged run."""
     seen, drop = [], substrings.SubstringIndex.close
