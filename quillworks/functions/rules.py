@@ -35,6 +35,21 @@ class Rule:
         return F.regexp_replace(text, *self.java())
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value worked out once, however often ``then`` uses it. Within lambdas nothing else keeps it from being repeated."""
+    return F.transform(F.array(value), then)[0]
+
+
+def in_hangul(text: Column, then) -> Column:
+    """The text with ``then`` on all from the first word with a Hangul syllable on.
+
+    The same as on all of it for rules whose every match has a syllable and no white space before it, and that no anchor ties to the start.
+    """
+    head = lambda t: F.regexp_extract(t, r"(?s)\A(?:[^가-힣]*\s)?", 0)
+    rest = lambda t, h: F.substring(t, F.length(h) + 1, F.length(t))
+    return let(text, lambda t: let(head(t), lambda h: F.concat(h, then(rest(t, h)))))
+
+
 def table(block: str) -> list[tuple[str, str]]:
     return [tuple(line.split(" > ", 1)) for line in block.strip().split("\n")]
 
@@ -78,9 +93,11 @@ def _fold(text: Column, run: list[Rule]) -> Column:
 
 def apply(text: Column, rules: Iterable[Rule]) -> Column:
     """All rules in order, as one expression."""
-    for kind, run in groupby(rules, key=lambda r: "plain" if r.plain else "needed" if r.need else "any"):
+    for kind, run in groupby(rules, key=lambda r: ("hangul" if re.match(r"[^\s가-힣]*[가-힣]", r.found) else "plain") if r.plain else "needed" if r.need else "any"):
         run = list(run)
-        if kind == "any":
+        if kind == "hangul" and len(run) > 12:
+            text = in_hangul(text, lambda t, run=run: _fold(t, run))
+        elif kind == "any":
             for rule in run:
                 text = rule.on(text)
         else:
@@ -106,6 +123,16 @@ def hits(text: Column, rules: Iterable[Rule]) -> Column:
     return F.aggregate(pairs, start, step)["n"]
 
 
+def re2(rule: Rule) -> Rule:
+    """The rule with what it looks ahead for at its end as a group of its own, for RE2. The same where no match starts with what that group takes."""
+    found, n = rule.found, len(re.findall(r"(?<!\\)\((?!\?)", rule.found.split("(?=")[0].split("(?!")[0]))
+    if not rule.plain and (m := re.search(r"\(\?=(.*)\)$", found)):
+        return Rule(found[: m.start()] + f"({m[1]})", rule.put + f"\\{n + 1}")
+    if not rule.plain and (m := re.search(r"\(\?!\[([^\]]*)\]\)$", found)):
+        return Rule(found[: m.start()] + f"([^{m[1]}]|$)", rule.put + f"\\{n + 1}")
+    return rule
+
+
 def sql(text: str, rules: Iterable[Rule]) -> str:
     """The rules as DuckDB SQL over the expression ``text``; patterns must be ones that RE2 takes."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"

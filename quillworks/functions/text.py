@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
-from .rules import ENDS, FLAGS, HANGUL, Rule, apart, apply, endings, hits, joined, plain, table
+from .rules import ENDS, FLAGS, HANGUL, Rule, apart, apply, endings, hits, in_hangul, joined, let, plain, table
 
 H = HANGUL
 SPACE_RUNS = Rule(r"\s+", " ")
@@ -87,12 +87,20 @@ def contextual(text: Column, observed: bool = False) -> Column:
     """
     holy = F.contains(text, F.lit("기독교")) | F.contains(text, F.lit("성경"))
 
+    steps = (
+        lambda s: strip(F.when(F.length(s) > 100, LONG_PARTICLES.on(s)).otherwise(s)),
+        lambda s: apply(s, OPENERS),
+        lambda s: apply(F.when(holy, F.replace(s, F.lit("하느님"), F.lit("하나님"))).otherwise(s), CLOSE_WORDS),
+        lambda s: F.when(F.regexp_count(s, F.lit("것")) > 3, Rule(r"것\s*것", "것").on(s)).otherwise(s),
+        lambda s: F.when(F.regexp_count(s, F.lit("수")) > 3, apply(s, [Rule(r"할\s*수\s*있", "할 수 있"), Rule(r"될\s*수\s*있", "될 수 있")])).otherwise(s),
+    )
+
     def mended(s: Column) -> Column:
-        s = strip(F.when(F.length(s) > 100, LONG_PARTICLES.on(s)).otherwise(s))
-        s = apply(s, OPENERS)
-        s = apply(F.when(holy, F.replace(s, F.lit("하느님"), F.lit("하나님"))).otherwise(s), CLOSE_WORDS)
-        s = F.when(F.regexp_count(s, F.lit("것")) > 3, Rule(r"것\s*것", "것").on(s)).otherwise(s)
-        return F.when(F.regexp_count(s, F.lit("수")) > 3, apply(s, [Rule(r"할\s*수\s*있", "할 수 있"), Rule(r"될\s*수\s*있", "될 수 있")])).otherwise(s)
+        """Every rule needs Hangul, so other sentences are but stripped."""
+        done = s
+        for step in steps:
+            done = let(done, step)
+        return F.when(s.rlike(H), done).otherwise(strip(s))
 
     if observed:
         parts = F.filter(F.transform(F.filter(F.split(text, "[.!?]+"), lambda s: strip(s) != ""), mended), lambda s: s != "")
@@ -133,7 +141,7 @@ REJOIN = [
 
 
 def rejoin(text: Column) -> Column:
-    return strip(apply(text, REJOIN))
+    return strip(SPACE_RUNS.on(in_hangul(text, lambda t: apply(t, REJOIN[:-1]))))
 
 
 CHARACTERS = plain(tables.CHARACTERS)
@@ -145,14 +153,18 @@ def characters(text: Column, observed: bool = False) -> Column:
     """Misread characters. Digits become letters between Latin letters; ``observed``: everywhere."""
     digits = lambda r: r.found.isdigit()
     rules = CHARACTERS if observed else [Rule(f"(?<=[A-Za-z]){r.found}(?=[A-Za-z])", r.put) if digits(r) else r for r in CHARACTERS]
-    return apply(text, [*rules, *PHRASES, *FORMAL])
+    return in_hangul(apply(text, rules), lambda t: apply(t, [*PHRASES, *FORMAL]))
 
 
 ENDING_GROUPS = {name: endings(block) for name, block in (("past", tables.PAST), ("contraction", tables.CONTRACTION), ("honorific", tables.HONORIFIC), ("connection", tables.CONNECTION), ("style", tables.STYLE))}
 
 
 def normal_endings(text: Column, groups=tuple(ENDING_GROUPS)) -> Column:
-    return apply(text, [r for g in groups for r in ENDING_GROUPS[g]])
+    return in_hangul(text, lambda t: apply(t, [r for g in groups for r in ENDING_GROUPS[g]]))
+
+
+def spacing(text: Column, rules: list[Rule] = SPACING) -> Column:
+    return in_hangul(text, lambda t: apply(t, rules))
 
 
 def spoken_numbers(text: Column) -> Column:
@@ -165,10 +177,32 @@ def spoken_numbers(text: Column) -> Column:
         said = F.concat(F.when(tens > 1, digit(tens)).otherwise(F.lit("")), F.when(tens > 0, F.lit(tables.TEN)).otherwise(F.lit("")), F.when(ones > 0, digit(ones)).otherwise(F.lit("")))
         return F.when(x.rlike(r"\A[1-9][0-9]?\z"), said).otherwise(x)
 
-    return F.array_join(F.transform(F.split(text, r"(?U)\b"), word), "")
+    # Standing numbers are marked, so that few pieces are looked at one by one; a text that has the mark itself is cut at every word.
+    few = F.split(F.regexp_replace(text, r"(?U)\b([1-9][0-9]?)\b", "\u0001$1\u0001"), "\u0001")
+    return F.when(~text.rlike("[1-9]"), text).otherwise(F.array_join(F.transform(F.when(F.contains(text, F.lit("\u0001")), F.split(text, r"(?U)\b")).otherwise(few), word), ""))
 
 
 SPOKEN = [Rule(rf"(?i)\b{a}\b", b) for a, b in table(tables.SPOKEN)]
+
+
+def acronyms(text: Column) -> Column:
+    """Standing acronyms, any case, as they are spoken. One is looked for only where its letters stand; what is put is Hangul, so none arises later."""
+    names = [a for a, _ in table(tables.SPOKEN)]
+    # Letters that any case of s and i may be besides those that lower() gives.
+    low = F.lower(F.translate(text, "ſİı", "sii"))
+
+    def one(lowered: Column, name: str, rule: Rule):
+        return lambda t: F.when(F.contains(lowered, F.lit(name.lower())), rule.on(t)).otherwise(t)
+
+    def on(lowered: Column) -> Column:
+        out = text
+        for name, rule in zip(names, SPOKEN, strict=True):
+            out = let(out, one(lowered, name, rule))
+        return out
+
+    return let(low, on)
+
+
 BREATHS = [Rule(f"({words.replace(' ', '|')})", r"\1,") for words in tables.BREATHS]
 
 
@@ -177,14 +211,14 @@ def breaths(text: Column, observed: bool = False) -> Column:
     some = lambda s: F.when(F.length(s) > 50, apply(s, BREATHS)).otherwise(s)
     if observed:
         out = F.array_join(F.filter(F.transform(F.split(text, "[.!?]"), lambda s: strip(some(s))), lambda s: s != ""), ". ")
-        return F.when(F.endswith(out, F.lit(".")), out).otherwise(F.concat(out, F.lit(".")))
+        return let(out, lambda x: F.when(F.endswith(x, F.lit(".")), x).otherwise(F.concat(x, F.lit("."))))
     parts = F.regexp_extract_all(text, F.lit(r"(?s)([^.!?]+[.!?]*|[.!?]+)"), F.lit(1))
     out = F.array_join(F.filter(F.transform(parts, lambda s: strip(some(s))), lambda s: s != ""), " ")
-    return F.when((out == "") | out.rlike(r"[.!?]\z"), out).otherwise(F.concat(out, F.lit(".")))
+    return let(out, lambda x: F.when((x == "") | x.rlike(r"[.!?]\z"), x).otherwise(F.concat(x, F.lit("."))))
 
 
 def spoken(text: Column, observed: bool = False) -> Column:
-    return breaths(apply(spoken_numbers(text), SPOKEN), observed)
+    return let(let(let(text, spoken_numbers), acronyms), lambda t: breaths(t, observed))
 
 
 def fallback(text: Column) -> Column:
@@ -217,7 +251,7 @@ def worker_stage(name: str, observed: bool = False):
         "misread": lambda t: apply(t, MISREAD),
         "dynamic": dynamic,
         "contextual": lambda t: contextual(t, observed),
-        "spacing": lambda t: apply(t, SPACING),
+        "spacing": spacing,
         "rejoin": rejoin,
         "characters": lambda t: characters(t, observed),
         "endings": normal_endings,

@@ -88,6 +88,13 @@ def best_engine(results: DataFrame, key: str = "image_id") -> DataFrame:
     return results.where(strip(F.col("text")) != "").groupBy(key).agg(best.alias("b")).select(key, "b.engine", "b.text")
 
 
+def best_of(texts: dict[str, Column]) -> Column:
+    """The same where all engines' texts stand in one row: a struct (engine, text), without a shuffle. Blank texts do not count; none: null."""
+    made = F.array(*(F.when(strip(t) != "", F.struct(F.length(t).alias("n"), F.lit(-k).alias("p"), F.lit(name).alias("engine"), t.alias("text"))) for k, (name, t) in enumerate(texts.items())))
+    best = F.array_max(made)
+    return F.when(best.isNotNull(), F.struct(best["engine"].alias("engine"), best["text"].alias("text")))
+
+
 def engine_result(blocks: DataFrame, key: str = "image_id", engine: str = "stub") -> DataFrame:
     """One result a image: success, text, total_blocks, engine, mean confidence; without blocks no success."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])

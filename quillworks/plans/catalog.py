@@ -36,6 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: An input below this much for each core may lie in fewer row groups than there are cores; a shuffle of it costs little.
+SMALL = 64 << 20
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A small table dealt out over all cores before work on its texts; a large one as it lies, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    small = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL
+    return rows.repartition(cores, key) if small else rows
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
+
+
 # ---- texts ----------------------------------------------------------------------------------------------------------
 
 SEEDS = (
@@ -66,7 +81,7 @@ def rewriting(name: str, rewrite: Callable[[Column], Column], sql: str | None, s
     """A query (doc_id, out): one rewrite of each text. ``sql`` has {t} for the text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = documents(spark, sf_dir)
         return (seeded(docs) if seed else docs).select("doc_id", rewrite(F.col("text")).alias("out"))
 
     QUERIES[name] = run
@@ -90,12 +105,18 @@ _ruled("hangul_spacing_connective", text.SPACING_CONNECTIVES)
 _ruled("hangul_spacing_compound", text.SPACING_COMPOUNDS)
 _ruled("hangul_spacing_adverb", [text.ADVERBS])
 _ruled("hangul_spacing_conjunction", text.SPACING_CONJUNCTIONS)
-rewriting("hangul_spacing_tense", lambda t: rules.apply(t, text.TENSES), None)
-rewriting("hangul_spacing_all", lambda t: rules.apply(t, text.SPACING), None)
-rewriting("hangul_spacing_wide", lambda t: rules.apply(t, text.WIDE_SPACING), None)
+def _re2_sql(some: list[rules.Rule], t: str = "{t}") -> str:
+    return rules.sql(t, list(map(rules.re2, some)))
+
+
+rewriting("hangul_spacing_tense", lambda t: rules.apply(t, text.TENSES), _re2_sql(text.TENSES))
+rewriting("hangul_spacing_all", text.spacing, _re2_sql(text.SPACING))
+rewriting("hangul_spacing_wide", lambda t: text.spacing(t, text.WIDE_SPACING), _re2_sql(text.WIDE_SPACING))
 _ruled("ocr_dictionary_fold", text.MISREAD)
 _ruled("charfix_literal", [*text.CHARACTERS, *text.PHRASES])
-rewriting("charfix_intended", text.characters, None)
+# A digit between letters, each rule twice: a letter may be the neighbour of two digits, and a match takes it.
+_between = [x for r in text.CHARACTERS for x in ([rules.Rule(f"([A-Za-z]){r.found}([A-Za-z])", rf"\g1{r.put}\2".replace("g", ""))] * 2 if r.found.isdigit() else [r])]
+rewriting("charfix_intended", text.characters, _re2_sql([*_between, *text.PHRASES, *text.FORMAL]))
 _ruled("extended_fold", text.EXTENDED)
 _ruled("term_fix", text.TERMS)
 _ruled("plain_endings", text.PLAIN_ENDINGS)
@@ -113,19 +134,93 @@ def _ahead(r: rules.Rule) -> rules.Rule:
 
 for _name, _some in text.ENDING_GROUPS.items():
     _ruled(f"endings_{_name}", _some, sql_rules=list(map(_ahead, _some)))
-rewriting("overseparation_join", text.rejoin, None)
+# A name that goes on is kept apart by a mark in it.
+_KEPT, _NAME = text.apart("마이클"), text.apart("마이클") + r"(?!\s*싱)"
+_rejoin_sql = [
+    x
+    for r in text.REJOIN
+    for x in ([rules.Rule(rf"(마\s*이)(\s*클\s*싱)", "\\1\x03\\2"), rules.Rule(_KEPT, r.put), rules.Rule("\x03", "", True)] if r.found == _NAME else [rules.re2(r)])
+]
+rewriting("overseparation_join", text.rejoin, TRIM_SQL.replace("{x}", rules.sql("{t}", _rejoin_sql)))
 _fixed_joins = [r for r in rules.joined(text.tables.JOINED) if "(?" not in r.found]
 _ruled("overseparation_fixed", _fixed_joins)
 rewriting("dynamic_patterns", text.dynamic, None)
-rewriting("number_gaps", text.number_gaps, None)
+def _let(value: str, name: str, then: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {then})[1]"
+
+
+def _gaps_sql(t: str) -> str:
+    marked = f"regexp_replace({t}, '([가-힣]+)([0-9]+)([가-힣]+)', chr(1) || '\\1' || chr(2) || '\\2' || chr(2) || '\\3' || chr(1), 'g')"
+    p = "string_split(x, chr(2))"
+    return f"array_to_string(list_transform(string_split({marked}, chr(1)), lambda x: CASE WHEN len({p}) = 3 AND length({p}[1]) > 1 AND length({p}[3]) > 1 THEN array_to_string({p}, ' ') ELSE replace(x, chr(2), '') END), '')"
+
+
+def _squashed_sql(t: str, rest: str = "s") -> str:
+    """Runs of four and more of one character but a line end are cut to two, by gaps and islands over the characters."""
+    return f"""WITH d AS (SELECT doc_id, {t} AS t FROM documents), c AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM d),
+e AS (SELECT *, CASE WHEN ch = lag(ch) OVER w AND ch <> chr(10) THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+k AS (SELECT doc_id, i, ch, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id, run) AS n FROM g),
+j AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS s FROM k WHERE n < 4 OR p <= 2 GROUP BY doc_id)
+SELECT d.doc_id, {rest} AS out FROM (SELECT doc_id, coalesce(s, '') AS s FROM d LEFT JOIN j USING (doc_id)) d"""
+
+
+rewriting("number_gaps", text.number_gaps, _gaps_sql("{t}"))
 rewriting("repeat_squash", lambda t: text.DYNAMIC[-1].on(t), None)
+SQL["repeat_squash"] = _squashed_sql(SEEDED_SQL)
+SQL["dynamic_patterns"] = _squashed_sql(_re2_sql(text.DYNAMIC[:-1], SEEDED_SQL), _gaps_sql("s"))
 rewriting("contextual_corrections", text.contextual, None)
 rewriting("contextual_observed", lambda t: text.contextual(t, True), None)
-rewriting("tts_numbers", text.spoken_numbers, None)
-rewriting("tts_commas", text.breaths, None)
-rewriting("tts_all", text.spoken, None)
-rewriting("tts_observed", lambda t: text.spoken(t, True), None)
-rewriting("paragraph_merge", text.paragraphs, None, seed=False)
+#: Word boundaries as classes, as DuckDB's are ASCII. A boundary character is taken by a match, so each rule goes twice.
+_EDGE = r"[^\p{L}\p{M}\p{N}_]"
+_spoken_rules = [rules.Rule(rf"(?i)(^|{_EDGE}){a}($|{_EDGE})", rf"\1{b}\2") for a, b in rules.table(text.tables.SPOKEN) for _ in range(2)]
+rewriting("tts_acronyms", text.acronyms, rules.sql("{t}", _spoken_rules), seed=False)
+
+
+def _numbers_sql(t: str) -> str:
+    word = r"[\p{L}\p{M}\p{N}_]"
+    digit = lambda n: f"substr(' {text.tables.DIGITS}', ({n}) + 1, 1)"
+    said = f"CASE WHEN x::INTEGER >= 20 THEN {digit('x::INTEGER // 10')} ELSE '' END || CASE WHEN x::INTEGER >= 10 THEN '{text.tables.TEN}' ELSE '' END || CASE WHEN x::INTEGER % 10 > 0 THEN {digit('x::INTEGER % 10')} ELSE '' END"
+    return f"array_to_string(list_transform(regexp_extract_all({t}, '{word}+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: CASE WHEN regexp_full_match(x, '[1-9][0-9]?') THEN {said} ELSE x END), '')".replace("\\\\", "\\")
+
+
+def _breaths_sql(t: str, observed: bool) -> str:
+    some = TRIM_SQL.replace("{x}", f"CASE WHEN length(x) > 50 THEN {rules.sql('x', text.BREATHS)} ELSE x END")
+    parts = f"string_split_regex({t}, '[.!?]')" if observed else f"regexp_extract_all({t}, '(?s)[^.!?]+[.!?]*|[.!?]+')"
+    out = f"array_to_string(list_filter(list_transform({parts}, lambda x: {some}), lambda y: y <> ''), '{'. ' if observed else ' '}')"
+    done = "suffix(z, '.')" if observed else "z = '' OR regexp_matches(z, '[.!?]$')"
+    return _let(out, "z", f"CASE WHEN {done} THEN z ELSE z || '.' END")
+
+
+def _sentences_sql(t: str, observed: bool) -> str:
+    strip = lambda x: TRIM_SQL.replace("{x}", x)
+    opened = [rules.Rule(rf"^{w}([가-힣])", rf"{w} \1") for w in ("그래서", "하지만", "따라서", "즉")]
+    long = rules.sql("a", [text.LONG_PARTICLES])
+    count = lambda x, w: f"(length({x}) - length(replace({x}, '{w}', '')))"
+    last = f"CASE WHEN {count('d', '수')} > 3 THEN " + rules.sql("d", [rules.Rule(r"할\s*수\s*있", "할 수 있"), rules.Rule(r"될\s*수\s*있", "될 수 있")]) + " ELSE d END"
+    things = f"CASE WHEN {count('c', '것')} > 3 THEN " + rules.sql("c", [rules.Rule(r"것\s*것", "것")]) + " ELSE c END"
+    holy = "CASE WHEN contains(whole, '기독교') OR contains(whole, '성경') THEN replace(b, '하느님', '하나님') ELSE b END"
+    mended = lambda s: _let(rules.sql(strip(f"CASE WHEN length({s}) > 100 THEN {long.replace('a, ', s + ', ', 1)} ELSE {s} END"), opened), "b", _let(rules.sql(holy, text.CLOSE_WORDS), "c", _let(things, "d", last)))
+    if observed:
+        parts = f"list_filter(list_transform(list_filter(string_split_regex(whole, '[.!?]+'), lambda s: {strip('s')} <> ''), lambda s: {mended('s')}), lambda y: y <> '')"
+        joined = f"array_to_string({parts}, '. ')"
+    else:
+        bare, mark = "regexp_replace(s, '[.!?]*$', '')", "regexp_extract(s, '[.!?]*$')"
+        parts = f"list_transform(regexp_extract_all(whole, '(?s)[^.!?]+[.!?]*|[.!?]+'), lambda s: {_let(bare, 'r', mended('r'))} || {mark})"
+        joined = f"array_to_string(list_filter({parts}, lambda y: y <> ''), ' ')"
+    return _let(t, "whole", strip(rules.sql(joined, [text.SPACE_RUNS])))
+
+
+SQL["contextual_corrections"], SQL["contextual_observed"] = (f"SELECT doc_id, {_sentences_sql(SEEDED_SQL, x)} AS out FROM documents" for x in (False, True))
+rewriting("tts_numbers", text.spoken_numbers, _numbers_sql("{t}"))
+rewriting("tts_commas", text.breaths, _breaths_sql("{t}", False))
+_said_sql = rules.sql(_numbers_sql("{t}"), _spoken_rules)
+rewriting("tts_all", text.spoken, _breaths_sql(_said_sql, False))
+rewriting("tts_observed", lambda t: text.spoken(t, True), _breaths_sql(_said_sql, True))
+_lines_sql = "list_filter(list_transform(string_split({t}, chr(10)), lambda x: " + TRIM_SQL.replace("{x}", "x") + "), lambda x: x <> '')"
+_merged_sql = r"""CASE WHEN NOT regexp_matches(a[-1], '[.!?]\s*$') THEN list_concat(a[:-2], [a[-1] || ' ' || b[1]])
+  WHEN regexp_matches(b[1], '^(\d+\.|[가-힣]\)|•|-|※)') THEN list_concat(a, ['', b[1]]) ELSE list_concat(a, b) END"""
+rewriting("paragraph_merge", text.paragraphs, f"CASE WHEN len({_lines_sql}) = 0 THEN '' ELSE array_to_string(list_reduce(list_transform({_lines_sql}, lambda x: [x]), lambda a, b: {_merged_sql}), chr(10)) END", seed=False)
 rewriting("line_trim", text.trim_lines, r"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))", seed=False)
 rewriting("final_validation", text.final, TRIM_SQL.replace("{x}", rules.sql("{t}", [text.SPACE_RUNS])))
 USER = [("teh", "the"), ("소율", "소울"), ("학교", "대학교"), ("teh", "THE")]
@@ -134,7 +229,7 @@ rewriting("user_dictionary", lambda t: text.user_rules(t, USER), rules.sql("{t}"
 
 def _pipeline(name: str, observed: bool, stages=text.WORKER) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = seeded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        out = seeded(documents(spark, sf_dir))
         for s in stages:
             # explode keeps the stages apart: in one expression the first would be repeated by each that reads it twice.
             out = out.select("doc_id", F.explode(F.array(text.worker_stage(s, observed)(F.col("text")))).alias("text"))
@@ -145,12 +240,13 @@ def _pipeline(name: str, observed: bool, stages=text.WORKER) -> None:
 
 _pipeline("worker_pipeline", False)
 _pipeline("worker_pipeline_observed", True)
-rewriting("corrected_pipeline", text.corrected, None)
+_unspaced = lambda some: [rules.Rule(r.found.replace(r"(\w)", r"([\p{L}\p{N}_])"), r.put, r.plain) for r in some]
+rewriting("corrected_pipeline", text.corrected, rules.sql("{t}", [*_letters_sql, *_unspaced(text.SEPARATED), *text.SPECIAL, *text.TERMS, *text.PLAIN_ENDINGS]))
 
 
 @query()
 def enhanced_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = seeded(documents(spark, sf_dir))
     out = docs.withColumn("tidy", text.tidy(F.col("text")))
     out = out.withColumn("fixed", rules.apply(F.col("tidy"), text.EXTENDED)).withColumn("hits", text.extended_hits(F.col("tidy")))
     out = out.withColumn("out", text.final(rules.apply(rules.apply(F.col("fixed"), text.WIDE_SPACING), text.STRUCTURE)))
@@ -167,28 +263,28 @@ QUALITY_SQL = r"""CASE WHEN coalesce(x, '') = '' THEN 0.0::DOUBLE ELSE least(1.0
 SELECT lang, count(*) AS n, round(avg({QUALITY_SQL}), 6) AS quality, sum(length(regexp_replace(x, '[^가-힯]', '', 'g')))::BIGINT AS hangul,
   sum(length(regexp_replace(x, '[^A-Za-z]', '', 'g')))::BIGINT AS latin FROM d GROUP BY lang""")
 def quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("lang", text.tidy(F.col("text")).alias("x"))
+    docs = documents(spark, sf_dir, "lang").select("lang", text.tidy(F.col("text")).alias("x"))
     scored = docs.select("lang", quality.text_quality(F.col("x")).alias("q"), quality.hangul(F.col("x")).alias("h"), quality.latin(F.col("x")).alias("l"))
     return scored.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("q"), 6).alias("quality"), F.sum("h").alias("hangul"), F.sum("l").alias("latin"))
 
 
 @query(f"SELECT doc_id, round({QUALITY_SQL}, 9) AS quality FROM (SELECT doc_id, {SEEDED_SQL} AS x FROM documents)")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(table(spark, sf_dir, "documents")).select("doc_id", F.round(quality.text_quality(F.col("text")), 9).alias("quality"))
+    return seeded(documents(spark, sf_dir)).select("doc_id", F.round(quality.text_quality(F.col("text")), 9).alias("quality"))
 
 
 @query(f"""SELECT doc_id, length(regexp_replace(t, '[^가-힯]', '', 'g'))::BIGINT AS hangul, length(regexp_replace(t, '[^A-Za-z]', '', 'g'))::BIGINT AS latin,
   length(regexp_replace(t, '[^0-9]', '', 'g'))::BIGINT AS digits FROM (SELECT doc_id, {SEEDED_SQL} AS t FROM documents)""")
 def char_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return seeded(table(spark, sf_dir, "documents")).select("doc_id", *(x.cast("long").alias(n) for n, x in (("hangul", quality.hangul(t)), ("latin", quality.latin(t)), ("digits", quality.count_chars(t, "0-9")))))
+    return seeded(documents(spark, sf_dir)).select("doc_id", *(x.cast("long").alias(n) for n, x in (("hangul", quality.hangul(t)), ("latin", quality.latin(t)), ("digits", quality.count_chars(t, "0-9")))))
 
 
 @query(rf"""WITH d AS (SELECT doc_id, {SEEDED_SQL} AS a FROM documents), e AS (SELECT doc_id, a, {_tidy_sql.replace('{t}', 'a')} AS b FROM d)
 SELECT doc_id, (length(a) - length(b) + abs(len(regexp_extract_all(a, '\S+')) - len(regexp_extract_all(b, '\S+'))))::BIGINT AS corrections,
   round((length(b) - length(a)) * 100.0::DOUBLE / length(a), 6) AS change_rate FROM e""")
 def correction_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("a"), text.tidy(F.col("text")).alias("b"))
+    docs = seeded(documents(spark, sf_dir)).select("doc_id", F.col("text").alias("a"), text.tidy(F.col("text")).alias("b"))
     return docs.select("doc_id", quality.corrections(F.col("a"), F.col("b")).cast("long").alias("corrections"), F.round(quality.change_rate(F.length("a"), F.length("b")), 6).alias("change_rate"))
 
 
@@ -200,7 +296,7 @@ def _hits_sql() -> str:
 
 @query(_hits_sql())
 def extended_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(table(spark, sf_dir, "documents")).select("doc_id", text.extended_hits(F.col("text")).alias("hits"))
+    return seeded(documents(spark, sf_dir)).select("doc_id", text.extended_hits(F.col("text")).alias("hits"))
 
 
 PAIRS = (("teh", "the"), ("소율", "소울"), ("곧경", "곤경"), ("헐 수", "할 수"), ("그옷은", "그것은"), ("the", "The"), ("없는말", "있는말"))
@@ -212,22 +308,14 @@ SELECT wrong, count(*) FILTER (contains(t, correct) AND NOT contains(t, wrong))
   round(count(*) FILTER (contains(t, correct) AND NOT contains(t, wrong))::DOUBLE / count(*), 6) AS rate
 FROM p, (SELECT {rules.sql(SEEDED_SQL, text.MISREAD)} AS t FROM documents) GROUP BY wrong""")
 def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = seeded(table(spark, sf_dir, "documents")).select(rules.apply(F.col("text"), text.MISREAD).alias("t"))
-    # The pairs are a fixed list: a row each, from one pass.
-    rows = done.select("t", F.explode(F.array(*(F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("correct")) for a, b in PAIRS))).alias("p")).select("t", "p.*")
-    bad, good = F.contains("t", F.col("wrong")), F.contains("t", F.col("correct"))
-    fixed = F.count_if(good & ~bad)
-    return rows.groupBy("wrong").agg(fixed.alias("fixed"), F.count_if(bad).alias("unfixed"), F.count_if(~bad & ~good).alias("unknown"), F.round(fixed / F.count("*"), 6).alias("rate"))
-
-
-@query(r"""SELECT doc_id, """ + rules.sql("text", [rules.Rule(rf"(?i)\b{a}\b", b) for a, b in rules.table(text.tables.SPOKEN)]) + r""" AS out FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
-def tts_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    return docs.select("doc_id", rules.apply(F.col("text"), text.SPOKEN).alias("out"))
-
-
-# The whole table: DuckDB's word boundaries are ASCII, so it has no SQL. Tests compare it with Python's re.
-rewriting("tts_acronyms_all", lambda t: rules.apply(t, text.SPOKEN), None, seed=False)
+    done = seeded(documents(spark, sf_dir)).select(rules.apply(F.col("text"), text.MISREAD).alias("t"))
+    # Counts of all pairs from one pass, then a row each: the pairs are a fixed list.
+    t, counts = F.col("t"), []
+    for wrong, correct in PAIRS:
+        bad, good = F.contains(t, F.lit(wrong)), F.contains(t, F.lit(correct))
+        counts.append(F.struct(F.lit(wrong).alias("wrong"), F.count_if(good & ~bad).alias("fixed"), F.count_if(bad).alias("unfixed"), F.count_if(~bad & ~good).alias("unknown"), F.count("*").alias("n")))
+    told = done.agg(F.array(*counts).alias("all")).select(F.explode("all").alias("p")).select("p.*")
+    return told.select("wrong", "fixed", "unfixed", "unknown", F.round(F.col("fixed") / F.col("n"), 6).alias("rate"))
 
 
 # ---- blocks ---------------------------------------------------------------------------------------------------------
@@ -281,10 +369,9 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, 'spaced', 3, {rules.sql('text', text.STRUCTURE)} FROM documents)
 SELECT doc_id, engine, length(t)::INTEGER AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(t) DESC, p) AS k FROM r) WHERE k = 1""")
 def best_engine_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     t = F.col("text")
-    made = F.array(*(F.struct(F.lit(n).alias("engine"), F.lit(p).alias("engine_pos"), x.alias("text")) for n, p, x in (("raw", 1, t), ("tidy", 2, text.tidy(t)), ("spaced", 3, rules.apply(t, text.STRUCTURE)))))
-    return blocks.best_engine(docs.select("doc_id", F.explode(made).alias("e")).select("doc_id", "e.*"), "doc_id").select("doc_id", "engine", F.length("text").alias("n"))
+    best = blocks.best_of({"raw": t, "tidy": text.tidy(t), "spaced": rules.apply(t, text.STRUCTURE)})
+    return documents(spark, sf_dir).select("doc_id", best.alias("b")).where("b is not null").select("doc_id", "b.engine", F.length("b.text").alias("n"))
 
 
 @query("""WITH s AS (SELECT user_id, ['clean', 'shadow', 'thin'][(event_id % 3 + 1)::INTEGER] AS preset, event_id % 3 AS p, max(value) AS score FROM events GROUP BY ALL)
@@ -367,13 +454,8 @@ def outcome_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.outcome_rates(legacy_vs_new(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
 
-@query("SELECT user_id, event_id, floor(row_number() OVER (ORDER BY event_id) * 100 / count(*) OVER ())::INTEGER AS percent FROM events WHERE event_type = 'purchase'")
-def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.progress(table(spark, sf_dir, "events").where("event_type = 'purchase'"), "event_id").select("user_id", "event_id", "percent")
-
-
 @query("SELECT user_id, event_id, floor(row_number() OVER (ORDER BY event_id) * 100 / count(*) OVER ())::INTEGER AS percent FROM events")
-def batch_progress_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.progress(table(spark, sf_dir, "events"), "event_id").select("user_id", "event_id", "percent")
 
 

@@ -59,7 +59,7 @@ def test_acronyms_of_all_documents(spark, tmp_path):
     """Documents that are not ASCII too, with Unicode word boundaries, against Python's re."""
     texts = ["the PC is OK", "é PC, tv und Größe", "éPC PCé naïve-AI", "año no", "Über CEO: yes!", "it ìt it", None, ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["out"] for r in catalog.queries()["tts_acronyms_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["out"] for r in catalog.queries()["tts_acronyms"](spark, str(tmp_path)).collect()}
     want = texts[:]
     for found, put in catalog.rules.table(catalog.text.tables.SPOKEN):
         want = [t and re.sub(rf"(?i)\b{found}\b", put, t) for t in want]
@@ -69,7 +69,7 @@ def test_acronyms_of_all_documents(spark, tmp_path):
 def test_progress_of_all_events(spark, data):
     """Every event has a row; nulls, gaps and no rows at all are counted right."""
     events = catalog.table(spark, data, "events")
-    out = catalog.queries()["batch_progress_all"](spark, data)
+    out = catalog.queries()["batch_progress"](spark, data)
     assert out.count() == events.count() and out.agg({"percent": "max"}).first()[0] == 100
     rows = events.sparkSession.createDataFrame([(7,), (None,), (-3,), (10**12,)], "event_id long")
     got = {r["event_id"]: (r["done"], r["percent"]) for r in catalog.analytics.progress(rows, "event_id").collect()}
