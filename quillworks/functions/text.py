@@ -367,3 +367,26 @@ def morphology(df: DataFrame, column: str, analyze=None) -> DataFrame:
         return texts.map(lambda t: None if t is None else ". ".join(x for x in map(one, re.split(r"\. ", t)) if x))
 
     return df.withColumn(column, spaced(F.col(column)))
+
+
+REPEATS = Rule(r"(\w)\1{2,}", r"\1\1")
+
+
+def sentences(df: DataFrame, column: str, split=None) -> DataFrame:
+    """Sentence by sentence: ``split`` maps a text to its sentences; in each, a sign repeated more than twice stays twice, and spaces are single. Without a splitter the text stays."""
+    if split is None:
+        return df
+    cut = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else list(split(t))), "array<string>")
+    one = lambda s: strip(Rule(r"\s{2,}", " ").on(REPEATS.on(strip(s))))
+    return df.withColumn(column, F.array_join(F.filter(F.transform(cut(F.col(column)), one), lambda s: s != ""), " "))
+
+
+def worker(df: DataFrame, column: str = "text", observed: bool = False, analyze=None, split=None) -> DataFrame:
+    """The first pipeline over a column. ``analyze`` and ``split`` are the outside engines for morphemes and sentences, if there are any."""
+    for name in WORKER:
+        if name == "paragraphs":  # both come after the rules and before paragraphs
+            df = sentences(morphology(df, column, analyze), column, split)
+        rest = [c for c in df.columns if c != column]
+        # explode keeps the stages apart: in one expression the first would be repeated by each that reads it twice.
+        df = df.select(*rest, F.explode(F.array(worker_stage(name, observed)(F.col(column)))).alias(column))
+    return df

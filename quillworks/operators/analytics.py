@@ -25,27 +25,58 @@ def error_patterns(log: DataFrame, limit: int = 20) -> DataFrame:
     return log.groupBy("original", "corrected").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence")).orderBy(F.desc("n"), "original", "corrected").limit(limit)
 
 
-def running_mean(rows: DataFrame, order: str, value: Column, name: str = "running_mean", parts: int = 64) -> DataFrame:
+def _ranges(rows: DataFrame, order: str, parts: int) -> Column:
+    """The range of each row's ``order`` among about ``parts`` of like many rows; a null's comes first."""
+    cuts = sorted(set(rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
+
+    def half(lo: int, hi: int) -> Column:
+        middle = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.col(order) <= cuts[middle], half(lo, middle)).otherwise(half(middle + 1, hi))
+
+    return F.when(F.col(order).isNull(), -1).otherwise(half(0, len(cuts)))
+
+
+def _parts(rows: DataFrame) -> int:
+    return max(64, min(512, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def running_mean(rows: DataFrame, order: str, value: Column, name: str = "running_mean", parts: int | None = None) -> DataFrame:
     """The mean of all values up to each row in ``order`` (unique); null values do not count.
 
     Sums and counts of ranges of the order give each range's base; within it a window adds up. ``value`` should be exact
-    (decimal) for results that do not depend on the order of additions. The ranges are those of a fixed split of the order's span.
+    (decimal) for results that do not depend on the order of additions. Quantiles cut the ranges, so they hold like many rows.
     """
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
-    span = max(1, ((hi or 0) - (lo or 0)) // parts + 1)
-    rows = rows.withColumn("_v", value).withColumn("_part", F.floor((F.col(order) - F.lit(lo or 0)) / span))
+    rows = rows.withColumn("_v", value).withColumn("_part", _ranges(rows, order, parts or _parts(rows)))
     sums = rows.groupBy("_part").agg(F.coalesce(F.sum("_v"), F.lit(0)).alias("s"), F.count("_v").alias("n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"))
     within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = (F.coalesce(F.sum("_v").over(within), F.lit(0)) + F.col("_s")).cast("double")
+    # One row a range: small whatever the table holds.
     out = rows.join(F.broadcast(base), "_part").withColumn(name, F.try_divide(total, F.count("_v").over(within) + F.col("_n")))
     return out.drop("_v", "_part", "_s", "_n")
 
 
 def batch_stats(rows: DataFrame, ok: Column, seconds: Column) -> DataFrame:
     n = F.count("*")
-    return rows.agg(n.alias("total"), F.count_if(ok).alias("successful"), F.when(n > 0, F.round(F.count_if(ok) * 100.0 / n, 1)).otherwise(0.0).alias("success_rate"), F.round(F.coalesce(F.sum(seconds), F.lit(0)), 2).cast("double").alias("total_time"), F.round(F.coalesce(F.avg(seconds), F.lit(0)), 4).cast("double").alias("avg_time"))
+    return rows.agg(n.alias("total"), F.count_if(ok).alias("successful"), F.when(n > 0, F.bround(F.count_if(ok) * 100.0 / n, 1)).otherwise(0.0).alias("success_rate"), F.bround(F.coalesce(F.sum(seconds), F.lit(0)), 3).cast("double").alias("total_time"), F.bround(F.coalesce(F.avg(seconds), F.lit(0)), 3).cast("double").alias("avg_time"))
+
+
+def text_stats(rows: DataFrame, corrections: Column, morphemes: Column, seconds: Column) -> DataFrame:
+    """Sums of corrections, the mean time (0 without rows) and the number of texts."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return rows.agg(zero(F.sum(corrections)).alias("total_corrections"), zero(F.sum(morphemes)).alias("morpheme_corrections"), F.bround(zero(F.avg(seconds)), 3).cast("double").alias("average_processing_time"), F.count("*").alias("total_processed"))
+
+
+def applied(rows: DataFrame, before: Column, after: Column) -> DataFrame:
+    """How many texts a correction changed."""
+    return rows.agg(F.count_if(before != after).alias("applied"), F.count("*").alias("total"))
+
+
+def first_median(rows: DataFrame, key: str, order: str, value: Column, first: int = 20) -> DataFrame:
+    """(key, angle): the median of each key's ``first`` values in order; 0 where all are null."""
+    some = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_k") <= first)
+    return some.groupBy(key).agg(F.coalesce(F.median(value), F.lit(0.0)).alias("angle"))
 
 
 def history_stats(rows: DataFrame, key: str, order: str, score: str, last: int = 10) -> DataFrame:
@@ -54,7 +85,7 @@ def history_stats(rows: DataFrame, key: str, order: str, score: str, last: int =
     recent = rows.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= last)
     recent = recent.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, score))), lambda s: s[score]).alias("last_scores"))
     n = F.count("*")
-    whole = rows.groupBy(key).agg(n.alias("total"), F.round(F.avg(score), 3).alias("avg_score"), F.round(F.count_if(F.col(score) >= 0.7) * 100.0 / n, 1).alias("high_share"))
+    whole = rows.groupBy(key).agg(n.alias("total"), F.bround(F.avg(score), 3).alias("avg_score"), F.bround(F.count_if(F.col(score) >= 0.7) * 100.0 / n, 1).alias("high_share"))
     return whole.join(recent, key)
 
 
@@ -70,15 +101,14 @@ def outcome_rates(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(n.alias("n")).withColumn("rate", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
 
 
-def progress(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """Percent done, whole, after each row in ``order`` (unique whole numbers, a null first).
+def progress(rows: DataFrame, order: str, parts: int | None = None) -> DataFrame:
+    """Percent done, whole, after each row in ``order`` (unique, a null first).
 
     Counts of ranges of the order, as in running_mean, give each range's base; within it a window counts.
     """
-    lo, hi, total = rows.agg(F.min(order), F.max(order), F.count("*")).first()
-    span = max(1, ((hi or 0) - (lo or 0)) // parts + 1)
-    rows = rows.withColumn("_part", F.coalesce(F.floor((F.col(order) - F.lit(lo or 0)) / span), F.lit(-1)))
+    rows = rows.withColumn("_part", _ranges(rows, order, parts or _parts(rows)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"))
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.sum("n").over(every).alias("_all"))
     out = rows.join(F.broadcast(base), "_part").withColumn("done", F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_n"))
-    return out.withColumn("percent", F.floor(F.col("done") * 100 / F.lit(max(1, total))).cast("int")).drop("_part", "_n")
+    return out.withColumn("percent", F.floor(F.col("done") * 100 / F.col("_all")).cast("int")).drop("_part", "_n", "_all")

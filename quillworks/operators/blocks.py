@@ -42,6 +42,11 @@ def nonblank(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("text", strip(F.col("text"))).where("text <> ''")
 
 
+def plainly(blocks: DataFrame, limit: float = 0.3) -> DataFrame:
+    """What is left to do where ordering fails: text stripped, not blank, with a confidence of ``limit`` or none; input order (pos) holds."""
+    return nonblank(blocks).withColumn("confidence", confidence()).where(F.col("confidence") >= limit)
+
+
 def corner(bbox: Column) -> tuple[Column, Column]:
     """x and y of the first corner; 0 where the box is malformed."""
     at = lambda i: F.coalesce(F.try_element_at(F.try_element_at(bbox, F.lit(1)), F.lit(i)), F.lit(0.0))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOUBTFUL = 0.7
+#: The three tables that an engine keeps.
+USER_WORDS = "id long, word string, frequency long, context string, domain string, created_at timestamp, last_used timestamp"
+CORRECTIONS = "id long, original string, corrected string, confidence double, session_id string, created_at timestamp"
+PERFORMANCE = "id long, session_id string, accuracy double, processing_time double, image_quality double, created_at timestamp"
 
 
 def upsert(state: DataFrame | None, events: DataFrame) -> DataFrame:
@@ -57,3 +61,9 @@ def repaired(tokens: DataFrame, words: DataFrame) -> DataFrame:
 def record_corrections(log: DataFrame | None, rows: DataFrame) -> DataFrame:
     """The correction log with new rows (original, corrected, confidence, session_id, created_at)."""
     return rows if log is None else log.unionByName(rows)
+
+
+def corrected_words(words: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """The word list after corrections (original, corrected, created_at, seq): each corrected word is one more sighting, with what it replaced as context."""
+    context = F.concat(F.lit("교정됨: "), F.col("original"))
+    return upsert(words, rows.select(F.col("corrected").alias("word"), context.alias("context"), F.lit("general").alias("domain"), F.col("created_at").alias("ts"), "seq"))

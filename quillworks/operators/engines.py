@@ -20,10 +20,20 @@ def available() -> list[str]:
     return sorted(_makers)
 
 
+#: What the stub reads from any image; one score more than words.
+STUB_TEXT, STUB_SCORES = "샘플 텍스트", (0.8, 0.9, 0.7)
+#: Reading parameters by use: book pages, safe reading, and none where the safe ones fail.
+PARAMETERS = {
+    "page": {"detail": False, "width_ths": 0.9, "height_ths": 0.9, "paragraph": True, "x_ths": 0.3, "y_ths": 0.3},
+    "safe": {"width_ths": 0.7, "height_ths": 0.7, "mag_ratio": 1.5, "slope_ths": 0.1, "ycenter_ths": 0.5, "x_ths": 1.0, "y_ths": 0.5, "text_threshold": 0.7, "low_text": 0.4, "link_threshold": 0.4, "canvas_size": 2560, "paragraph": True},
+    "plain": {},
+}
+
+
 def stub() -> Callable:
-    """Two words and their scores, whatever the image."""
+    """The stub's words with their scores; the score too many goes."""
     box = [[0.0, 0.0], [100.0, 0.0], [100.0, 20.0], [0.0, 20.0]]
-    return lambda image: [(box, "sample", 0.9), (box, "text", 0.8)]
+    return lambda image: [(box, word, score) for word, score in zip(STUB_TEXT.split(), STUB_SCORES, strict=False)]
 
 
 register("stub", stub)

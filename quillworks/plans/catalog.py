@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quality, rules, text
-from ..operators import analytics, blocks, dictionary
+from ..operators import analytics, blocks, dictionary, images
 from ..sources import files, sinks
 from ..streaming import ingest
 
@@ -227,13 +227,9 @@ USER = [("teh", "the"), ("소율", "소울"), ("학교", "대학교"), ("teh", "
 rewriting("user_dictionary", lambda t: text.user_rules(t, USER), rules.sql("{t}", [rules.Rule(a, b, True) for a, b in dict(USER).items()]))
 
 
-def _pipeline(name: str, observed: bool, stages=text.WORKER) -> None:
+def _pipeline(name: str, observed: bool) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = seeded(documents(spark, sf_dir))
-        for s in stages:
-            # explode keeps the stages apart: in one expression the first would be repeated by each that reads it twice.
-            out = out.select("doc_id", F.explode(F.array(text.worker_stage(s, observed)(F.col("text")))).alias("text"))
-        return out.select("doc_id", F.col("text").alias("out"))
+        return text.worker(seeded(documents(spark, sf_dir)), "text", observed).select("doc_id", F.col("text").alias("out"))
 
     QUERIES[name] = run
 
@@ -342,6 +338,14 @@ def conf_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.cascade(event_blocks(spark, sf_dir)).select("image_id", "pos")
 
 
+@query(rf"""WITH b AS (SELECT conv_id, turn, {TRIM_SQL.replace('{x}', 'text')} AS t, CASE WHEN turn % 4 = 0 THEN NULL ELSE ((conv_id * 7 + turn * 3) % 10) / 10.0 END AS c FROM conversations)
+SELECT conv_id AS image_id, turn AS pos, t AS text FROM b WHERE t <> '' AND coalesce(c, 1.0) >= 0.3""")
+def conf_plainly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.when(F.col("turn") % 4 != 0, (F.col("conv_id") * 7 + F.col("turn") * 3) % 10 / 10)
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("image_id"), F.col("turn").alias("pos"), "text", score.alias("confidence"))
+    return blocks.plainly(rows).select("image_id", "pos", "text")
+
+
 @query("""SELECT user_id AS image_id, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY floor((event_id % 300) / 20) * 20, value, event_id)::INTEGER AS rank FROM events""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), F.col("event_id").alias("pos"), "value")
@@ -382,9 +386,11 @@ def preset_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.groupBy("user_id").agg(F.max(F.struct("score", -F.col("p"), "preset")).alias("b")).select("user_id", "b.preset", "b.score")
 
 
-@query("SELECT user_id, round(median(value - 245), 6) AS angle FROM events GROUP BY user_id")
+@query("SELECT user_id, round(median(value - 245), 6) AS angle FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 20 GROUP BY user_id")
 def median_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.median(F.col("value") - 245), 6).alias("angle"))
+    """The first 20 lines of an image tell its angle."""
+    out = analytics.first_median(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("value") - 245)
+    return out.select("user_id", F.round("angle", 6).alias("angle"))
 
 
 @query("""SELECT user_id, round(least(1.0, var_pop(value) / 1000) * 0.4 + stddev_pop(value) / 255 * 0.4 + (1 - abs(avg(value) / 255 - 0.5) * 2) * 0.2, 6) AS quality
@@ -397,6 +403,16 @@ def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- logs -----------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT sum(user_id % 5)::BIGINT AS total_corrections, sum(user_id % 3)::BIGINT AS morpheme_corrections, round_even(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 3) AS average_processing_time, count(*) AS total_processed FROM events")
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.text_stats(table(spark, sf_dir, "events"), F.col("user_id") % 5, F.col("user_id") % 3, F.col("value").cast("decimal(18,2)"))
+
+
+@query(f"WITH c AS ({SQL['corrected_pipeline']}) SELECT count(*) FILTER (c.out <> t) AS applied, count(*) AS total FROM c JOIN (SELECT doc_id, {SEEDED_SQL} AS t FROM documents) d USING (doc_id)")
+def corrections_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.applied(seeded(documents(spark, sf_dir)), F.col("text"), text.corrected(F.col("text")))
+
+
 @query("""SELECT ts::DATE AS day, round(avg(value), 6) AS avg_accuracy, round(avg(user_id), 6) AS avg_time, count(*) AS n
 FROM events WHERE ts::DATE >= DATE '2024-01-31' - 20 GROUP BY 1""")
 def daily_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,14 +441,14 @@ def running_mean_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.running_mean(rows, "event_id", value).select("event_id", "running_mean")
 
 
-@query("""SELECT count(*) AS total, count(*) FILTER (value >= 100) AS successful, round(count(*) FILTER (value >= 100) * 100.0::DOUBLE / count(*), 1) AS success_rate,
-  round(sum(value::DECIMAL(18,2)), 2)::DOUBLE AS total_time, round(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 4) AS avg_time FROM events""")
+@query("""SELECT count(*) AS total, count(*) FILTER (value >= 100) AS successful, round_even(count(*) FILTER (value >= 100) * 100.0::DOUBLE / count(*), 1) AS success_rate,
+  round_even(sum(value::DECIMAL(18,2))::DOUBLE, 3) AS total_time, round_even(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 3) AS avg_time FROM events""")
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.batch_stats(table(spark, sf_dir, "events"), F.col("value") >= 100, F.col("value").cast("decimal(18,2)"))
 
 
 @query("""WITH r AS (SELECT user_id, event_id, value / 500 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
-SELECT user_id, count(*) AS total, round(avg(s), 3) AS avg_score, round(count(*) FILTER (s >= 0.7) * 100.0::DOUBLE / count(*), 1) AS high_share,
+SELECT user_id, count(*) AS total, round_even(avg(s), 3) AS avg_score, round_even(count(*) FILTER (s >= 0.7) * 100.0::DOUBLE / count(*), 1) AS high_share,
   string_agg(round(s * 10000)::BIGINT::VARCHAR, ',' ORDER BY event_id) FILTER (k <= 10) AS last_scores FROM r GROUP BY user_id""")
 def image_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 500).alias("s"))
@@ -513,6 +529,77 @@ def correction_log_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.record_corrections(first, then)
 
 
+@query("""SELECT 'u' || (user_id % 9) AS word, count(*) AS frequency, arg_max('교정됨: ' || event_type, event_id) AS context FROM events GROUP BY 1""")
+def correction_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("original"), F.concat(F.lit("u"), F.col("user_id") % 9).alias("corrected"), F.timestamp_seconds("event_id").alias("created_at"), F.col("event_id").alias("seq"))
+    words = dictionary.corrected_words(None, rows.where("seq % 2 = 0"))
+    return dictionary.corrected_words(words, rows.where("seq % 2 = 1")).select("word", "frequency", "context")
+
+
+# ---- images ---------------------------------------------------------------------------------------------------------
+
+#: A vector of 64 as an image of 8 x 8, and its pixels as a table.
+SIDE = 8
+PIXELS_SQL = f"""p AS (SELECT vec_id, (i - 1) // {SIDE} AS y, (i - 1) % {SIDE} AS x, v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i,
+  (floor(abs(e::DOUBLE) * 4096)::BIGINT % 256)::INTEGER AS v FROM embeddings))"""
+_AROUND_SQL = f"""n AS (SELECT c.vec_id, c.y, c.x, c.v AS own, q.v FROM p c, (SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b, p q
+  WHERE q.vec_id = c.vec_id AND q.y = least({SIDE - 1}, greatest(0, c.y + dy)) AND q.x = least({SIDE - 1}, greatest(0, c.x + dx)))"""
+
+
+def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixel = F.transform("embedding", lambda e: F.lpad(F.hex(F.floor(F.abs(e.cast("double")) * 4096) % 256), 2, "0"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(pixel, "")).alias("data"))
+
+
+def _kernel(name: str, step: Callable, pixel: str, more: str = "", rows: str = "p") -> None:
+    """A query (vec_id, out): an image after one kernel, in hex. ``pixel`` is a pixel's value in SQL over ``rows``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return images.preprocess(small_images(spark, sf_dir), (step,)).select(F.col("image_id").cast("long").alias("vec_id"), F.lower(F.hex("data")).alias("out"))
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH {PIXELS_SQL}{more}, o AS (SELECT vec_id, y, x, ({pixel})::INTEGER AS v FROM {rows}) SELECT vec_id, string_agg(printf('%02x', v), '' ORDER BY y, x) AS out FROM o GROUP BY vec_id"
+
+
+_kernel("image_invert_dark", images.invert_if_dark, "CASE WHEN avg(v) OVER (PARTITION BY vec_id) < 127 THEN 255 - v ELSE v END")
+_HISTOGRAM_SQL = """, h AS (SELECT vec_id, v, count(*) AS n FROM p GROUP BY vec_id, v), k AS (SELECT vec_id, v, sum(n) OVER (PARTITION BY vec_id ORDER BY v) AS c, first(n) OVER (PARTITION BY vec_id ORDER BY v) AS low, sum(n) OVER (PARTITION BY vec_id) AS total FROM h)"""
+_kernel("image_equalize", images.equalize, "CASE WHEN total = low THEN v ELSE round_even((c - low) * 255.0::DOUBLE / (total - low), 0) END", _HISTOGRAM_SQL, "p JOIN k USING (vec_id, v)")
+_OTSU_SQL = """, g AS (SELECT vec_id, unnest(range(256))::INTEGER AS t FROM (SELECT DISTINCT vec_id FROM p)),
+w AS (SELECT g.vec_id, t, count(*) FILTER (v <= t) AS w, coalesce(sum(v) FILTER (v <= t), 0) AS m, count(*) AS n, sum(v) AS total FROM g JOIN p USING (vec_id) GROUP BY g.vec_id, t),
+b AS (SELECT vec_id, t, row_number() OVER (PARTITION BY vec_id ORDER BY CASE WHEN w IN (0, n) THEN -1.0 ELSE (total::DOUBLE * w / n - m) ^ 2 / (w * (n - w)) END DESC, t) AS r FROM w)"""
+_kernel("image_otsu", images.threshold, "CASE WHEN v > t THEN 255 ELSE 0 END", _OTSU_SQL, "p JOIN (SELECT vec_id, t FROM b WHERE r = 1) USING (vec_id)")
+_kernel("image_median", images.median_blur, "v", f", {_AROUND_SQL}, m AS (SELECT vec_id, y, x, median(v) AS v FROM n GROUP BY vec_id, y, x)", "m")
+_kernel("image_dilate", lambda a: images.dilate(a, 3), "v", f", {_AROUND_SQL}, m AS (SELECT vec_id, y, x, max(v) AS v FROM n GROUP BY vec_id, y, x)", "m")
+_kernel("image_erode", lambda a: images.erode(a, 3), "v", f", {_AROUND_SQL}, m AS (SELECT vec_id, y, x, min(v) AS v FROM n GROUP BY vec_id, y, x)", "m")
+_kernel("image_mean_threshold", lambda a: images.threshold(a, "mean", 3, 10), "CASE WHEN own > mean - 10 THEN 255 ELSE 0 END", f", {_AROUND_SQL}, m AS (SELECT vec_id, y, x, own, avg(v) AS mean FROM n GROUP BY vec_id, y, x, own)", "m")
+_kernel("image_contrast", images.contrast, "least(255, greatest(0, round_even(mean + (v - mean) * 1.2::DOUBLE, 0)))", ", a AS (SELECT vec_id, round_even(avg(v), 0) AS mean FROM p GROUP BY vec_id)", "p JOIN a USING (vec_id)")
+# Spots of white pixels joined at edges: the least place reachable, by recursion.
+_SPOTS_SQL = f""", i AS (SELECT vec_id, y, x FROM p WHERE v > 150), r(vec_id, y, x, s) AS (SELECT vec_id, y, x, y * {SIDE} + x FROM i UNION SELECT i.vec_id, i.y, i.x, r.s FROM r JOIN i ON i.vec_id = r.vec_id AND abs(i.y - r.y) + abs(i.x - r.x) = 1 WHERE r.s < i.y * {SIDE} + i.x),
+s AS (SELECT vec_id, y, x, min(s) AS s FROM r GROUP BY vec_id, y, x), z AS (SELECT vec_id, y, x, count(*) OVER (PARTITION BY vec_id, s) AS n FROM s)"""
+_kernel("image_specks", lambda a: images.drop_specks(((a > 150) * 255).astype("uint8"), 4), "CASE WHEN n >= 4 THEN 255 ELSE 0 END", _SPOTS_SQL, "p LEFT JOIN z USING (vec_id, y, x)")
+SQL["image_specks"] = SQL["image_specks"].replace("WITH p", "WITH RECURSIVE p", 1)
+
+
+@query(f"""WITH {PIXELS_SQL}, l AS (SELECT c.vec_id, c.y, c.x, c.v, sum(q.v) - 4 * c.v AS e FROM p c, (SELECT unnest([-1, 1, 0, 0]) AS dy, unnest([0, 0, -1, 1]) AS dx) d, p q
+  WHERE q.vec_id = c.vec_id AND q.y = least({SIDE - 1}, greatest(0, c.y + dy)) AND q.x = least({SIDE - 1}, greatest(0, c.x + dx)) GROUP BY c.vec_id, c.y, c.x, c.v)
+SELECT vec_id, round(least(1.0, var_pop(e) / 1000) * 0.4 + stddev_pop(v) / 255 * 0.4 + (1 - abs(avg(v) / 255 - 0.5) * 2) * 0.2, 6) AS quality FROM l GROUP BY vec_id""")
+def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.preprocess(small_images(spark, sf_dir), ()).select(F.col("image_id").cast("long").alias("vec_id"), F.round("quality", 6).alias("quality"))
+
+
+@query()
+def image_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage of the conservative pipeline, a row each."""
+    out = images.stages(small_images(spark, sf_dir), "conservative")
+    return out.select(F.col("image_id").cast("long").alias("vec_id"), "place", "stage", F.lower(F.hex("data")).alias("out"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT vec_id, 'none' AS level, string_agg(printf('%02x', v), '' ORDER BY y, x) AS out FROM p GROUP BY vec_id")
+def image_level_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = images.preprocess(small_images(spark, sf_dir), (lambda a: images.level(a, 0),))
+    return out.select(F.col("image_id").cast("long").alias("vec_id"), F.lit("none").alias("level"), F.lower(F.hex("data")).alias("out"))
+
+
 # ---- files and streams ----------------------------------------------------------------------------------------------
 
 

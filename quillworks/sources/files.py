@@ -33,9 +33,9 @@ def languages(spec: Column) -> Column:
 
 
 def scan_folder(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
-    """Images of a folder and its subfolders, any case of suffix, each path once. Filters on path and length reach the scan."""
+    """Images of a folder and its subfolders, any case of suffix. A listing has each path once. Filters on path and length reach the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(allowed(F.col("path")) & (F.col("length") <= largest)).dropDuplicates(["path"])
+    return files.where(allowed(F.col("path")) & (F.col("length") <= largest))
 
 
 def stream_folder(spark: SparkSession, path: str, largest: int = LARGEST, files_per_batch: int = 1000) -> DataFrame:

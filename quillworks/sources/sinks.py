@@ -30,6 +30,11 @@ def latest(results: DataFrame, path: str, order: str, text: str) -> DataFrame:
     return results.groupBy(name.alias("name")).agg(F.max(F.struct(order, text))[text].alias(text))
 
 
+def snapshot(text: Column, title: str, at: Column) -> Column:
+    """A result as it is filed: title and time, length, a line of 60 signs, a blank line, the text."""
+    return F.concat(F.lit(f"{title} - "), F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("\n텍스트 길이: "), F.length(text).cast("string"), F.lit("자\n" + "=" * 60 + "\n\n"), text)
+
+
 def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 

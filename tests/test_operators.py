@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillworks.functions import quality
+from quillworks.functions import quality, text
 from quillworks.operators import analytics, blocks, dictionary, engines, images, results
 from quillworks.sources import files, sinks
 from quillworks.streaming import ingest
@@ -120,7 +120,7 @@ def test_engines(spark):
     failed = engines.recognise(df, "broken").collect()
     assert all(r["error"] == "OSError: no model" and r["pos"] is None for r in failed)
     found = blocks.engine_result(engines.recognise(df, "stub"))
-    assert found.first()["text"] == "sample\ntext" and found.count() == 2
+    assert found.first()["text"] == "샘플\n텍스트" and found.count() == 2
 
 
 def test_files(spark, tmp_path):
@@ -175,7 +175,6 @@ def test_more_kernels():
     leaning = images.rotate(page, 3)
     assert abs(abs(images.skew(leaning)) - 3) <= 0.5 and abs(images.skew(images.deskew(leaning))) <= 0.5
     assert 0 <= images.page_score(page) <= 100 and images.best_preset(page)[0] in images.PRESETS
-    assert images.tune([page[:60, :60]], 3, 1) == images.tune([page[:60, :60]], 3, 1)
     for name in images.PIPELINES:
         out = a
         for step in images.pipeline(name, leave_out=("scale", "fit")):
@@ -183,6 +182,106 @@ def test_more_kernels():
         assert out.ndim == 2
 
 
+def test_tuner_and_stages(spark):
+    rng = np.random.default_rng(3)
+    pages = [rng.integers(0, 256, (30, 40), dtype=np.uint8) for _ in range(3)]
+    df = spark.createDataFrame([(str(k), 30, 40, 1, a.tobytes()) for k, a in enumerate(pages)] + [("x", 30, 40, 1, None)], "image_id string, height int, width int, channels int, data binary")
+    sets = images.parameter_sets(4, 1)
+    means = [np.mean([images.page_score(images.apply_preset(a, p)) for a in pages]) for p in sets]
+    best, score = images.tune(df, 4, 1)
+    assert best == sets[int(np.argmax(means))] and score == pytest.approx(max(means))
+    assert images.tune(df.limit(0), 4, 1) == (images.PRESETS["clean"], 0.0)
+    got = {(r["image_id"], r["stage"]): r["data"] for r in images.stages(df, "conservative").collect()}
+    a = images.median_blur(images.clahe(pages[0], 1.2))
+    assert len(got) == 12 and got["0", "denoise"] == a.tobytes() and got["0", "sharpen"] == images.mild_sharpen(a).tobytes()
+
+
+def test_resizing():
+    a = np.random.default_rng(1).integers(0, 256, (24, 36), dtype=np.uint8)
+    flat = np.full((24, 36), 77, np.uint8)
+    for kind in ("linear", "cubic", "area", "lanczos"):
+        for scale in (0.5, 1.0, 1.7):
+            out = images.resize(a, scale, kind)
+            assert out.shape == (round(24 * scale), round(36 * scale)) and (images.resize(flat, scale, kind) == 77).all()
+        assert (images.resize(a, 1.0, kind) == a).all()
+    half = images.resize(a, 0.5, "area")
+    assert (half == np.rint(a.reshape(12, 2, 18, 2).mean(axis=(1, 3)))).all()
+
+
+def test_edges_and_lines():
+    a = np.zeros((200, 160), np.uint8)
+    a[:, 80:] = 255
+    edges = images.canny(a, 50, 150)
+    assert set(np.flatnonzero(edges.any(axis=0))) <= {79, 80} and (edges > 0).sum() >= 200
+    rho, theta = images.hough_lines(edges)[0]
+    assert theta == 0 and abs(rho - 79.5) <= 1
+    page = np.full((300, 300), 255, np.uint8)
+    page[30:270, 40:260:30] = 0
+    page[30:270, 41:261:30] = 0
+    for turn in (4, -4):
+        leaning = images.rotate(page, turn)
+        assert abs(abs(images.lean(leaning)) - 4) <= 1 and abs(images.lean(images.deskew(leaning))) <= 1
+    assert images.deskew(np.full((50, 50), 9, np.uint8)).shape == (50, 50)
+
+
+@given(st.integers(0, 2**32 - 1))
+def test_spots(seed):
+    a = np.random.default_rng(seed).random((7, 9)) < 0.5
+    for corners in (False, True):
+        number, seen = images.spots(a, corners), {}
+        for y, x in np.argwhere(a):
+            todo, spot = [(y, x)], {(y, x)}
+            while todo:
+                i, j = todo.pop()
+                for u, v in ((-1, 0), (1, 0), (0, -1), (0, 1), *(((-1, -1), (-1, 1), (1, -1), (1, 1)) if corners else ())):
+                    at = (i + u, j + v)
+                    if 0 <= at[0] < 7 and 0 <= at[1] < 9 and a[at] and at not in spot:
+                        spot.add(at)
+                        todo.append(at)
+            seen[frozenset(spot)] = None
+            assert len({number[p] for p in spot}) == 1
+        assert len(np.unique(number[a])) == len(seen) and (number[~a] == 0).all()
+
+
+def test_specks_count_against_a_page():
+    clean = np.full((100, 100), 255, np.uint8)
+    clean[40:60, 40:60] = 0
+    dirty = clean.copy()
+    dirty[::3, ::3][dirty[::3, ::3] == 255] = 254  # specks without an edge
+    loss = images.page_score(clean) - images.page_score(dirty)
+    ink = (dirty == 254).sum()
+    assert ink > 900 and loss > 9
+
+
+def test_ranges_hold_like_many_rows(spark):
+    """Orders that lie close together in one place and far apart in another."""
+    rows = [(k, float(k)) for k in range(1000)] + [(10**9 + 10**6 * k, 1.0) for k in range(30)] + [(None, 2.0)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    sizes = df.groupBy(analytics._ranges(df, "k", 16).alias("p")).count().where("p >= 0").collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 2 * 1030 / 16
+    got = {r["k"]: r["done"] for r in analytics.progress(df, "k").collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted((k for k, _ in rows), key=lambda k: (k is not None, k)))}
+
+
+def test_hooks(spark):
+    df = spark.createDataFrame([(1, "안녕ㅋㅋㅋㅋ 하하하하.  좋다!"), (2, None)], "doc_id long, text string")
+    got = text.sentences(df, "text", lambda t: [x + "." for x in t.split(".")]).orderBy("doc_id").collect()
+    assert got[0]["text"] == "안녕ㅋㅋ 하하. 좋다!." and text.sentences(df, "text") is df
+    docs = spark.createDataFrame([(1, "나는 학교 에 간다. 그것은 좋다.")], "doc_id long, text string")
+    seen = text.worker(docs, analyze=lambda s: [("새말", "NNG"), ("은", "JX"), ("길고긴단어입니다", "NNG")], split=lambda t: [t]).first()["text"]
+    assert "새말은" in seen and "새말은" not in text.worker(docs).first()["text"]
+
+
+def test_snapshot(spark):
+    got = spark.range(1).select(sinks.snapshot(F.lit("본문"), "결과", F.lit("2024-01-02 03:04:05").cast("timestamp"))).first()[0]
+    assert got == "결과 - 2024-01-02 03:04:05\n텍스트 길이: 2자\n" + "=" * 60 + "\n\n본문"
+
+
+def test_stub_has_a_score_too_many():
+    assert [(w, s) for _, w, s in engines.stub()(None)] == [("샘플", 0.8), ("텍스트", 0.9)] and len(engines.STUB_SCORES) == 3
+    assert engines.PARAMETERS["page"]["paragraph"] and engines.PARAMETERS["plain"] == {}
+
+
 def test_flat_results(spark):
     df = spark.createDataFrame([("a", True, "t", "r", None, 1.0, (0.5, 0.6, 0.55), (2, 1, True, False), None), ("b", False, None, None, None, 2.0, None, None, "broke")], results.NESTED)
     got = {r["image_id"]: r for r in results.flat(df).collect()}
