@@ -155,9 +155,9 @@ def _gaps_sql(t: str) -> str:
     return f"array_to_string(list_transform(string_split({marked}, chr(1)), lambda x: CASE WHEN len({p}) = 3 AND length({p}[1]) > 1 AND length({p}[3]) > 1 THEN array_to_string({p}, ' ') ELSE replace(x, chr(2), '') END), '')"
 
 
-def _squashed_sql(t: str, rest: str = "s") -> str:
+def _squashed_sql(t: str, rest: str = "s", source: str = "documents") -> str:
     """Runs of four and more of one character but a line end are cut to two, by gaps and islands over the characters."""
-    return f"""WITH d AS (SELECT doc_id, {t} AS t FROM documents), c AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM d),
+    return f"""WITH d AS (SELECT doc_id, {t} AS t FROM {source}), c AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM d),
 e AS (SELECT *, CASE WHEN ch = lag(ch) OVER w AND ch <> chr(10) THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
 k AS (SELECT doc_id, i, ch, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id, run) AS n FROM g),
@@ -220,7 +220,14 @@ rewriting("tts_observed", lambda t: text.spoken(t, True), _breaths_sql(_said_sql
 _lines_sql = "list_filter(list_transform(string_split({t}, chr(10)), lambda x: " + TRIM_SQL.replace("{x}", "x") + "), lambda x: x <> '')"
 _merged_sql = r"""CASE WHEN NOT regexp_matches(a[-1], '[.!?]\s*$') THEN list_concat(a[:-2], [a[-1] || ' ' || b[1]])
   WHEN regexp_matches(b[1], '^(\d+\.|[가-힣]\)|•|-|※)') THEN list_concat(a, ['', b[1]]) ELSE list_concat(a, b) END"""
-rewriting("paragraph_merge", text.paragraphs, f"CASE WHEN len({_lines_sql}) = 0 THEN '' ELSE array_to_string(list_reduce(list_transform({_lines_sql}, lambda x: [x]), lambda a, b: {_merged_sql}), chr(10)) END", seed=False)
+
+
+def _paragraphs_sql(t: str) -> str:
+    lines = _lines_sql.replace("{t}", t)
+    return f"CASE WHEN len({lines}) = 0 THEN '' ELSE array_to_string(list_reduce(list_transform({lines}, lambda x: [x]), lambda a, b: {_merged_sql}), chr(10)) END"
+
+
+rewriting("paragraph_merge", text.paragraphs, _paragraphs_sql("{t}"), seed=False)
 rewriting("line_trim", text.trim_lines, r"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))", seed=False)
 rewriting("final_validation", text.final, TRIM_SQL.replace("{x}", rules.sql("{t}", [text.SPACE_RUNS])))
 USER = [("teh", "the"), ("소율", "소울"), ("학교", "대학교"), ("teh", "THE")]
@@ -234,21 +241,26 @@ def _pipeline(name: str, observed: bool) -> None:
     QUERIES[name] = run
 
 
+def _worker_sql(observed: bool) -> str:
+    """The stages one after the other, a table each."""
+    between = text.CHARACTERS if observed else _between
+    steps = [rules.sql("t", text.CLEANUP), rules.sql("t", text.MISREAD), None, _sentences_sql("t", observed), _re2_sql(text.SPACING, "t"), TRIM_SQL.replace("{x}", rules.sql("t", _rejoin_sql)), _re2_sql([*between, *text.PHRASES, *text.FORMAL], "t")]
+    steps += [rules.sql("t", [_ahead(r) for r in some]) for some in text.ENDING_GROUPS.values()]
+    steps += [_paragraphs_sql("t"), _breaths_sql(rules.sql(_numbers_sql("t"), _spoken_rules), observed), f"array_to_string({_lines_sql.replace('{t}', 't')}, chr(10))"]
+    out = [f"s0 AS (SELECT doc_id, {SEEDED_SQL} AS t FROM documents)"]
+    for k, step in enumerate(steps):
+        made = f"SELECT doc_id, {step} AS t FROM s{k}" if step else f"SELECT doc_id, out AS t FROM ({_squashed_sql(_re2_sql(text.DYNAMIC[:-1], 't'), _gaps_sql('s'), f's{k}')})"
+        out.append(f"s{k + 1} AS MATERIALIZED ({made})")
+    return "WITH " + ", ".join(out) + f" SELECT doc_id, t AS out FROM s{len(steps)}"
+
+
 _pipeline("worker_pipeline", False)
 _pipeline("worker_pipeline_observed", True)
+SQL["worker_pipeline"], SQL["worker_pipeline_observed"] = _worker_sql(False), _worker_sql(True)
 _unspaced = lambda some: [rules.Rule(r.found.replace(r"(\w)", r"([\p{L}\p{N}_])"), r.put, r.plain) for r in some]
 rewriting("corrected_pipeline", text.corrected, rules.sql("{t}", [*_letters_sql, *_unspaced(text.SEPARATED), *text.SPECIAL, *text.TERMS, *text.PLAIN_ENDINGS]))
 
 
-@query()
-def enhanced_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(documents(spark, sf_dir))
-    out = docs.withColumn("tidy", text.tidy(F.col("text")))
-    out = out.withColumn("fixed", rules.apply(F.col("tidy"), text.EXTENDED)).withColumn("hits", text.extended_hits(F.col("tidy")))
-    out = out.withColumn("out", text.final(rules.apply(rules.apply(F.col("fixed"), text.WIDE_SPACING), text.STRUCTURE)))
-    return out.select("doc_id", "out", "hits", quality.corrections(F.col("text"), F.col("out")).alias("corrections"), quality.text_quality(F.col("out")).alias("quality"))
-
-
 QUALITY_SQL = r"""CASE WHEN coalesce(x, '') = '' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.8::DOUBLE
   + coalesce(length(regexp_replace(x, '[^가-힣]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(x, '\s', '', 'g')), 0), 0.0) * 0.1::DOUBLE
   + CASE WHEN length(regexp_replace(x, '[^.]', '', 'g')) > 0 AND length(x)::DOUBLE / length(regexp_replace(x, '[^.]', '', 'g')) BETWEEN 10 AND 100 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END
@@ -284,13 +296,25 @@ def correction_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.corrections(F.col("a"), F.col("b")).cast("long").alias("corrections"), F.round(quality.change_rate(F.length("a"), F.length("b")), 6).alias("change_rate"))
 
 
-def _hits_sql() -> str:
-    steps = ", ".join(f"{rules.sql(f't{k}', [r])} AS t{k + 1}" for k, r in enumerate(text.EXTENDED))
-    total = " + ".join(f"contains(t{k}, {_sql_text(r.found)})::INTEGER" for k, r in enumerate(text.EXTENDED))
-    return f"WITH d AS (SELECT doc_id, {SEEDED_SQL} AS t0, {steps} FROM documents) SELECT doc_id, {total} AS hits FROM d"
+_hit_steps = ", ".join(f"{rules.sql(f't{k}', [r])} AS t{k + 1}" for k, r in enumerate(text.EXTENDED))
+_hit_total = " + ".join(f"contains(t{k}, {_sql_text(r.found)})::INTEGER" for k, r in enumerate(text.EXTENDED))
+_final_sql = TRIM_SQL.replace("{x}", "array_to_string(" + _lines_sql.replace("{t}", rules.sql("y", [text.SPACE_RUNS])) + ", chr(10))")
+
+
+@query(f"""WITH a AS (SELECT doc_id, {SEEDED_SQL} AS t FROM documents), b AS MATERIALIZED (SELECT doc_id, t, {_tidy_sql.replace('{t}', 't')} AS t0 FROM a),
+c AS MATERIALIZED (SELECT doc_id, t, {_hit_steps}, {_hit_total} AS hits FROM b),
+e AS MATERIALIZED (SELECT doc_id, t, hits, {rules.sql(_re2_sql(text.WIDE_SPACING, f't{len(text.EXTENDED)}'), text.STRUCTURE)} AS y FROM c),
+f AS MATERIALIZED (SELECT doc_id, t, hits, {_final_sql} AS x FROM e)
+SELECT doc_id, x AS out, hits, (length(t) - length(x) + abs(len(regexp_extract_all(t, '\\S+')) - len(regexp_extract_all(x, '\\S+'))))::BIGINT AS corrections, round({QUALITY_SQL}, 9) AS quality FROM f""")
+def enhanced_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = seeded(documents(spark, sf_dir))
+    out = docs.withColumn("tidy", text.tidy(F.col("text")))
+    out = out.withColumn("fixed", rules.apply(F.col("tidy"), text.EXTENDED)).withColumn("hits", text.extended_hits(F.col("tidy")))
+    out = out.withColumn("out", text.final(rules.apply(rules.apply(F.col("fixed"), text.WIDE_SPACING), text.STRUCTURE)))
+    return out.select("doc_id", "out", "hits", quality.corrections(F.col("text"), F.col("out")).cast("long").alias("corrections"), F.round(quality.text_quality(F.col("out")), 9).alias("quality"))
 
 
-@query(_hits_sql())
+@query(f"WITH d AS (SELECT doc_id, {SEEDED_SQL} AS t0, {_hit_steps} FROM documents) SELECT doc_id, {_hit_total} AS hits FROM d")
 def extended_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(documents(spark, sf_dir)).select("doc_id", text.extended_hits(F.col("text")).alias("hits"))
 
