@@ -376,7 +376,23 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.reading_rank(rows, F.col("value"), F.col("pos") % 300).select("image_id", "pos", "rank")
 
 
-@query()
+def _assembly_sql() -> str:
+    """A fold over the blocks: (lines, line) after each."""
+    strip = lambda x: TRIM_SQL.replace("{x}", x)
+    state = lambda lines, line: f"struct_pack(lines := {lines}, line := {line})"
+    push = lambda s: f"CASE WHEN {strip(s + '.line')} <> '' THEN list_append({s}.lines, {strip(s + '.line')}) ELSE {s}.lines END"
+    grown = f"""CASE WHEN length(b.line) <= 2 THEN {state('a.lines', 'a.line || b.line')} WHEN a.line = '' THEN {state('a.lines', 'b.line')}
+  WHEN NOT (suffix(a.line, ' ') OR suffix(a.line, '-')) THEN {state(push('a'), 'b.line')}
+  ELSE {state('a.lines', "a.line || CASE WHEN starts_with(b.line, '-') THEN '' ELSE ' ' END || b.line")} END"""
+    bounded = _let(grown, "g", f"CASE WHEN length(g.line) > 100 THEN {state(push('g'), chr(39) * 2)} ELSE g END")
+    texts = f"list_filter(list_transform(texts, lambda x: {strip('x')}), lambda x: x <> '')"
+    empty = state("[]::VARCHAR[]", "''")
+    return f"""WITH t AS (SELECT conv_id, list(text ORDER BY turn, text) AS texts FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, list_reduce(list_transform({texts}, lambda x: {state('[]::VARCHAR[]', 'x')}), lambda a, b: {bounded}, {empty}) AS s FROM t)
+SELECT conv_id, array_to_string({push('s')}, chr(10)) AS out FROM r"""
+
+
+@query(_assembly_sql())
 def line_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("texts"))
     return rows.select("conv_id", blocks.assembled(F.col("texts")).alias("out"))
