@@ -36,7 +36,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to different (word, context): a word after a word, in class 0 (even contexts) or class 1 (odd ones)."""
     for batch in batches:
         toxic = batch.column(1).to_numpy()
-        for rows, t in textnum.texts(batch.column(0), textnum.LETTERS, 4 * textnum.CHUNK):
+        for rows, t in textnum.texts(batch.column(0), textnum.LETTERS, 2 * textnum.CHUNK):
             key = t.hashes(lower=True)
             before = np.concatenate([np.ones(1, np.uint64), key[:-1]])[: len(key)]
             starts = t.bounds[:-1]
@@ -57,7 +57,7 @@ def _beginnings(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Itera
     def summed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = pa.Table.from_batches(parts).combine_chunks()
         counts = [some.column(c).to_numpy() for c in (1, 2)]
-        for at, t in textnum.texts(some.column(0).chunk(0), np.zeros(256, bool), 4 * textnum.CHUNK):  # a row is one word
+        for at, t in textnum.texts(some.column(0).chunk(0), np.zeros(256, bool)):  # a row is one word
             node, word = nodes_of(t, np.arange(len(t)))
             parent = np.concatenate([[0], node[:-1]]).astype(np.uint64)
             parent[np.concatenate([[True], word[1:] != word[:-1]])[: len(parent)]] = 0
