@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import let
 from ..functions.text import strip
 
 #: Thresholds from strict to lenient.
@@ -95,9 +96,12 @@ def best_engine(results: DataFrame, key: str = "image_id") -> DataFrame:
 
 def best_of(texts: dict[str, Column]) -> Column:
     """The same where all engines' texts stand in one row: a struct (engine, text), without a shuffle. Blank texts do not count; none: null."""
-    made = F.array(*(F.when(strip(t) != "", F.struct(F.length(t).alias("n"), F.lit(-k).alias("p"), F.lit(name).alias("engine"), t.alias("text"))) for k, (name, t) in enumerate(texts.items())))
-    best = F.array_max(made)
-    return F.when(best.isNotNull(), F.struct(best["engine"].alias("engine"), best["text"].alias("text")))
+
+    def told(k: int, name: str):
+        return lambda t: F.when(strip(t) != "", F.struct(F.length(t).alias("n"), F.lit(-k).alias("p"), F.lit(name).alias("engine"), t.alias("text")))
+
+    made = F.array(*(let(t, told(k, name)) for k, (name, t) in enumerate(texts.items())))
+    return let(F.array_max(made), lambda b: F.when(b.isNotNull(), F.struct(b["engine"].alias("engine"), b["text"].alias("text"))))
 
 
 def engine_result(blocks: DataFrame, key: str = "image_id", engine: str = "stub") -> DataFrame:

@@ -415,7 +415,8 @@ SELECT doc_id, engine, length(t)::INTEGER AS n FROM (SELECT *, row_number() OVER
 def best_engine_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     best = blocks.best_of({"raw": t, "tidy": text.tidy(t), "spaced": rules.apply(t, text.STRUCTURE)})
-    return documents(spark, sf_dir).select("doc_id", best.alias("b")).where("b is not null").select("doc_id", "b.engine", F.length("b.text").alias("n"))
+    # explode keeps the filter from working the texts out a second time.
+    return documents(spark, sf_dir).select("doc_id", F.explode(F.filter(F.array(best), lambda b: b.isNotNull())).alias("b")).select("doc_id", "b.engine", F.length("b.text").alias("n"))
 
 
 @query("""WITH s AS (SELECT user_id, ['clean', 'shadow', 'thin'][(event_id % 3 + 1)::INTEGER] AS preset, event_id % 3 AS p, max(value) AS score FROM events GROUP BY ALL)
