@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, quality, sharding, simhash, substrings, tokens, topk, toxicity
+from . import chat, decontaminate, divergence, licenses, merkle, mixing, quality, sharding, simhash, substrings, tokens, topk, toxicity
+from .common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,9 +114,109 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS whole FROM kept GROUP BY lang),
+wholes AS (SELECT lang, source, sum(n)::BIGINT AS whole FROM counts GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(h.whole, 0) + 5 * s.v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (k.total + 5)) // (s.whole + 5 * s.v))::BIGINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN wholes h ON h.lang = g.lang AND h.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+told AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM told)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+#: What the conversation that op12 adds says, twice.
+CONTROLS = "<|im_end|><|im_start|>assistant ok"
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROLS).alias("text"))
+    output = Scratch(spark, "chat").write(chat.format_conversations(convs.unionByName(added)), "output")
+    back = chat.read_back(output)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.col("loss_text")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP12_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '{CONTROLS}' FROM range(2) r(k)),
+e AS (SELECT *, len(replace(regexp_replace(role, '<(\\*)([|n])', '<\\\1\2', 'g'), chr(10), '<n')) + len(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24 AS chars FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle.merkle_manifest(docs, altered={"text": tampered})
+    out = out.withColumn("folded_root", merkle.folded(F.col("altered_leaf"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _h(text: str) -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join([*map(field, ('doc_id', 'source', 'lang', 'n_chars')), field(text)])})"
+
+
+#: Whether the CRC-32 of the id as text is even, bit by bit.
+_EVEN = "xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(c, b)), 4294967295)) & 1 = 0"
+#: Levels go up as long as nodes remain, for the sources and then for the table; each row folds its siblings level by level.
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_h("text")} AS leaf, CASE WHEN crc32_even THEN {_h("cut")} ELSE {_h("text")} END AS altered
+  FROM (SELECT *, replace(text, chr(10), '') AS cut, {_EVEN} AS crc32_even FROM documents)),
+n AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS many FROM d),
+up AS (
+  SELECT source, 0 AS lvl, pos, leaf AS h, many FROM n
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (many + 2) // 3 FROM up WHERE many > 1 GROUP BY source, lvl, pos // 3, many),
+subs AS (SELECT source, h AS subroot, lvl AS high, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS many FROM up WHERE many = 1),
+tops AS (
+  SELECT 0 AS lvl, pos, subroot AS h, many FROM subs
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (many + 2) // 3 FROM tops WHERE many > 1 GROUP BY lvl, pos // 3, many),
+path AS (
+  SELECT n.r, u.lvl, u.pos, u.h, u.pos < n.pos // (3 ** u.lvl)::BIGINT AS before FROM n JOIN up u ON n.source IS NOT DISTINCT FROM u.source AND u.many > 1
+    AND u.pos // 3 = n.pos // (3 ** (u.lvl + 1))::BIGINT AND u.pos <> n.pos // (3 ** u.lvl)::BIGINT
+  UNION ALL
+  SELECT n.r, s.high + t.lvl, t.pos, t.h, t.pos < s.pos // (3 ** t.lvl)::BIGINT FROM n JOIN subs s ON n.source IS NOT DISTINCT FROM s.source JOIN tops t ON t.many > 1
+    AND t.pos // 3 = s.pos // (3 ** (t.lvl + 1))::BIGINT AND t.pos <> s.pos // (3 ** t.lvl)::BIGINT),
+proofs AS (SELECT r, sha256(string_agg(h, '' ORDER BY lvl, pos)) AS proof_sha256 FROM path GROUP BY r),
+steps AS (SELECT r, lvl, coalesce(string_agg(h, '' ORDER BY pos) FILTER (before), '') AS a, coalesce(string_agg(h, '' ORDER BY pos) FILTER (NOT before), '') AS b FROM path GROUP BY r, lvl),
+height AS (SELECT n.r, n.altered, s.high + (SELECT max(lvl) FROM tops) AS high FROM n JOIN subs s ON n.source IS NOT DISTINCT FROM s.source),
+fold AS (
+  SELECT r, 0::BIGINT AS lvl, altered AS h, high FROM height
+  UNION ALL
+  SELECT f.r, f.lvl + 1, sha256(coalesce(s.a, '') || f.h || coalesce(s.b, '')), f.high FROM fold f LEFT JOIN steps s ON s.r = f.r AND s.lvl = f.lvl WHERE f.lvl < f.high)
+SELECT n.doc_id, n.leaf, s.subroot, t.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM n JOIN subs s ON n.source IS NOT DISTINCT FROM s.source JOIN tops t ON t.many = 1 LEFT JOIN proofs p USING (r) JOIN fold f ON f.r = n.r AND f.lvl = f.high
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_mix": op3_mix, "op4_decontaminate": op4_decontaminate, "op5_licenses": op5_licenses, "op6_shards": op6_shards, "op7_topk": op7_topk, "op8_substrings": op8_substrings, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {"op1_token_files": op1_token_files, "op2_toxicity": op2_toxicity, "op3_mix": op3_mix, "op4_decontaminate": op4_decontaminate, "op5_licenses": op5_licenses, "op6_shards": op6_shards, "op7_topk": op7_topk, "op8_substrings": op8_substrings, "op9_quality": op9_quality, "op10_simhash": op10_simhash, "op11_divergence": op11_divergence, "op12_chat": op12_chat, "op13_merkle": op13_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": OP3_SQL, "op7_topk": OP7_SQL, "op8_substrings": OP8_SQL}
+    return {"op3_mix": OP3_SQL, "op7_topk": OP7_SQL, "op8_substrings": OP8_SQL, "op11_divergence": OP11_SQL, "op12_chat": OP12_SQL, "op13_merkle": OP13_SQL}
