@@ -41,11 +41,12 @@ CLEANUP = [DOTS, SPACE_RUNS]
 MISREAD = plain(tables.MISREAD)
 BRACKET = r"[\(\)\[\]{}]"
 QUOTE = "[\"']"
-#: Latin next to Hangul, brackets, marks, quotes and runs of one character; the rule for digits within Hangul is apart.
+#: Latin next to Hangul, brackets, marks, quotes and runs of one character; the rule for digits within Hangul is apart. Before a gap, a rule
+#: asks for as much of a run as decides and no more, so that a long run is not tried again from each of its places.
 DYNAMIC = [
-    Rule(rf"([0-9]+)({H}{{1,3}})(전|후|간|째|번|개|명|일|년|월|시|분|초)(?!{H})", r"\1\2 \3"),
-    Rule(rf"([A-Za-z]+)({H}{{2,}})(?!{H})", r"\1 \2"),
-    Rule(rf"({H}{{2,}})([A-Z]{{2,}})(?![A-Za-z])", r"\1 \2"),
+    Rule(rf"([0-9])({H}{{1,3}})(전|후|간|째|번|개|명|일|년|월|시|분|초)(?!{H})", r"\1\2 \3"),
+    Rule(rf"([A-Za-z])({H}{{2,}})(?!{H})", r"\1 \2"),
+    Rule(rf"({H}{{2}})([A-Z]{{2,}})(?![A-Za-z])", r"\1 \2"),
     Rule(rf"({H})({BRACKET})({H})", r"\1 \2 \3"),
     Rule(rf"({BRACKET})({H})", r"\1 \2"),
     Rule(rf"({H})({BRACKET})", r"\1 \2"),
@@ -56,19 +57,26 @@ DYNAMIC = [
 ]
 
 
+#: Hangul, digits, Hangul. A match takes whole runs, so one starts where a run does; it is tried nowhere else.
+GAPS = f"(?<!{H})({H}++)([0-9]++)({H}+)"
+
+
 def number_gaps(text: Column) -> Column:
     """Gaps around digits between Hangul where both neighbours have two syllables or more.
 
     Matches are taken from the left and do not overlap, and the decision is per match: a shorter neighbour uses up its
-    match. Matches run from Hangul to Hangul, so they are marked first and then judged one by one.
+    match. Matches run from Hangul to Hangul, so they are taken out and judged one by one, and the text between them stays whatever it has.
     """
-    whole = F.regexp_replace(text, f"({H}+)([0-9]+)({H}+)", "\u0001$1\u0002$2\u0002$3\u0001")
-    part = lambda x: F.split(x, "\u0002")
 
-    def one(x: Column) -> Column:
-        return F.when((F.length(part(x)[0]) > 1) & (F.length(part(x)[2]) > 1), F.array_join(part(x), " ")).otherwise(F.array_join(part(x), ""))
+    def one(match: Column) -> Column:
+        before, digits, after = (F.regexp_extract(match, GAPS, k) for k in (1, 2, 3))
+        return F.when((F.length(before) > 1) & (F.length(after) > 1), F.concat_ws(" ", before, digits, after)).otherwise(match)
 
-    return F.array_join(F.transform(F.split(whole, "\u0001"), lambda x: F.when(F.contains(x, F.lit("\u0002")), one(x)).otherwise(x)), "")
+    def mended(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(GAPS), F.lit(0)), one)
+        return let(found, lambda m: F.array_join(F.transform(F.split(t, GAPS), lambda x, i: F.concat(x, F.coalesce(F.get(m, i), F.lit("")))), ""))
+
+    return let(text, lambda t: F.when(t.rlike(f"{H}[0-9]+{H}"), mended(t)).otherwise(t))
 
 
 def dynamic(text: Column) -> Column:
@@ -228,17 +236,22 @@ def fallback(text: Column) -> Column:
 HINT = r"(?Ud)\A(\d+\.|[가-힣]\)|•|-|※)"
 
 
-def paragraphs(text: Column) -> Column:
-    """Lines that go on are joined; a line that starts with a number, letter or bullet after a finished one gets a blank line before it."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+#: The end of a line that is finished.
+FINISHED = r"(?Ud)[.!?]\s*\z"
+
+
+def line_break(line: Column, before: Column) -> Column:
+    """What stands between two lines: a space if the one before goes on, else a line end, and a blank line before a number, letter or bullet."""
+    return F.when(~before.rlike(FINISHED), " ").when(line.rlike(HINT), "\n\n").otherwise("\n")
+
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc, -1)
-        done = last.rlike(r"(?Ud)[.!?]\s*\z")
-        grown = F.when(line.rlike(HINT), F.concat(acc, F.array(F.lit(""), line))).otherwise(F.concat(acc, F.array(line)))
-        return F.when(F.size(acc) == 0, F.array(line)).when(done, grown).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), line))))
+def paragraphs(text: Column) -> Column:
+    """Lines that go on are joined; a line that starts with a number, letter or bullet after a finished one gets a blank line before it.
 
-    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n")
+    What a line is joined to ends as the line before it does, so each line looks at that one alone.
+    """
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    return let(lines, lambda ls: F.array_join(F.transform(ls, lambda x, i: F.when(i == 0, x).otherwise(F.concat(line_break(x, F.get(ls, i - 1)), x))), ""))
 
 
 #: Stages in order; boundary stages (morphology, sentence splitter) are identity unless an engine is given.
@@ -288,6 +301,55 @@ def final(text: Column) -> Column:
     return strip(trim_lines(SPACE_RUNS.on(text)))
 
 
+def joined_morphemes(df: DataFrame, column: str, analyze=None) -> DataFrame:
+    """The second pipeline's step by morphemes: ``analyze`` maps a sentence to (form, tag) pairs; particles and endings (tags J, E) join the form before.
+
+    Sentences end at full stops; blank ones go, and a full stop at the end stays. A text that the analyzer fails on stays as it is, and so do all without an analyzer.
+    """
+    if analyze is None:
+        return df
+
+    def told(text: str) -> str:
+        made = []
+        for sentence in filter(None, map(str.strip, text.split("."))):
+            words: list[str] = []
+            for form, tag in analyze(sentence):
+                if tag.startswith(("J", "E")) and words:
+                    words[-1] += form
+                else:
+                    words.append(form)
+            made.append(" ".join(words))
+        return ". ".join(made) + ("." if text.endswith(".") else "")
+
+    @F.pandas_udf("string")
+    def spaced(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return text if text is None else told(text)
+            except Exception:  # whatever the outside engine raises, the text is still a text
+                return text
+
+        return texts.map(one)
+
+    return df.withColumn(column, spaced(F.col(column)))
+
+
+def enhanced(df: DataFrame, column: str = "text", pairs: list[tuple[str, str]] = (), analyze=None) -> DataFrame:
+    """The second pipeline over a column: clean-up, misread words, morphemes, spacing, sentence structure, the user's words, last checks.
+
+    The column is replaced; ``hits`` (how many misread words were found) is added. ``analyze`` is an outside analyzer of morphemes, if there is one.
+    """
+    rest = [c for c in df.columns if c != column]
+    step = lambda df, value, *more: df.select(*rest, F.explode(F.array(F.struct(value.alias("t"), *more))).alias("_s")).select(*rest, "_s.*")  # noqa: E731  each step worked out once
+    out = step(df, tidy(F.col(column)))
+    rest.append("hits")
+    out = out.withColumn("hits", extended_hits(F.col("t")))
+    out = joined_morphemes(step(out, apply(F.col("t"), EXTENDED)), "t", analyze)
+    out = step(out, apply(F.col("t"), WIDE_SPACING))
+    out = step(out, user_rules(apply(F.col("t"), STRUCTURE), pairs))
+    return out.select(*rest[:-1], final(F.col("t")).alias(column), "hits")
+
+
 def extended_hits(text: Column) -> Column:
     return hits(text, EXTENDED)
 

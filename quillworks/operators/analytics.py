@@ -80,13 +80,13 @@ def first_median(rows: DataFrame, key: str, order: str, value: Column, first: in
 
 
 def history_stats(rows: DataFrame, key: str, order: str, score: str, last: int = 10) -> DataFrame:
-    """Per key: count, mean score, share of 0.7 and more in percent, and the last scores in order."""
+    """Per key, null among them: count, mean score, share of 0.7 and more in percent, and the last scores in order."""
     newest = Window.partitionBy(key).orderBy(F.desc(order))
     recent = rows.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= last)
     recent = recent.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, score))), lambda s: s[score]).alias("last_scores"))
     n = F.count("*")
     whole = rows.groupBy(key).agg(n.alias("total"), F.bround(F.avg(score), 3).alias("avg_score"), F.bround(F.count_if(F.col(score) >= 0.7) * 100.0 / n, 1).alias("high_share"))
-    return whole.join(recent, key)
+    return whole.join(recent.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def compare_systems(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

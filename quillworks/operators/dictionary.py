@@ -15,14 +15,14 @@ PERFORMANCE = "id long, session_id string, accuracy double, processing_time doub
 def upsert(state: DataFrame | None, events: DataFrame) -> DataFrame:
     """(word, frequency, context, domain, created_at, last_used) after events (word, context, domain, ts, seq).
 
-    Each event adds one to a word's frequency; the last event's context and domain hold; created_at is the first ever.
+    Each event adds one to a word's frequency and replaces its row: the last event's context and domain hold, and created_at is its time.
     A union and one partial aggregate: a very common word combines before the shuffle.
     """
     last = lambda c: F.max(F.struct("last_used", "seq", c))[c].alias(c)
     rows = events.select("word", F.lit(1).cast("long").alias("frequency"), "context", "domain", F.col("ts").alias("created_at"), F.col("ts").alias("last_used"), "seq")
     if state is not None:
         rows = rows.unionByName(state.select("word", "frequency", "context", "domain", "created_at", "last_used", F.lit(-1).cast("long").alias("seq")))
-    return rows.groupBy("word").agg(F.sum("frequency").alias("frequency"), last("context"), last("domain"), F.min("created_at").alias("created_at"), F.max("last_used").alias("last_used"))
+    return rows.groupBy("word").agg(F.sum("frequency").alias("frequency"), last("context"), last("domain"), last("created_at"), F.max("last_used").alias("last_used"))
 
 
 def suggestions(words: DataFrame, prefix: str, limit: int = 5) -> DataFrame:
@@ -46,9 +46,10 @@ def candidates(words: DataFrame, limit: int = 5) -> DataFrame:
 def repaired(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, pos, word, score, out): doubtful words become [suggestion], or (word) without one; others stay.
 
-    The words that a document brings count for later batches, not for its own later tokens.
+    The words that a document brings count for later batches, not for its own later tokens: wordlist.repaired_in_order has them count at once. A token
+    without a score is not doubtful.
     """
-    sure = tokens.where(F.col("score") >= DOUBTFUL).withColumn("out", F.col("word"))
+    sure = tokens.where(F.coalesce(F.col("score") >= DOUBTFUL, F.lit(True))).withColumn("out", F.col("word"))
     asked = tokens.where(F.col("score") < DOUBTFUL).withColumn("prefix", F.lower(F.substring("word", 1, 3)))
     best = F.min(F.struct(F.levenshtein("word", "candidate").alias("d"), "place", "candidate"))
     # Each different doubtful word is matched once.

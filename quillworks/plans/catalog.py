@@ -10,11 +10,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality, rules, text
-from ..operators import analytics, blocks, dictionary, images
+from ..operators import analytics, blocks, dictionary, images, layout, rulebook, selection, wordlist
 from ..sources import files, sinks
 from ..streaming import ingest
 
@@ -115,7 +115,7 @@ rewriting("hangul_spacing_wide", lambda t: text.spacing(t, text.WIDE_SPACING), _
 _ruled("ocr_dictionary_fold", text.MISREAD)
 _ruled("charfix_literal", [*text.CHARACTERS, *text.PHRASES])
 # A digit between letters, each rule twice: a letter may be the neighbour of two digits, and a match takes it.
-_between = [x for r in text.CHARACTERS for x in ([rules.Rule(f"([A-Za-z]){r.found}([A-Za-z])", rf"\g1{r.put}\2".replace("g", ""))] * 2 if r.found.isdigit() else [r])]
+_between = [x for r in text.CHARACTERS for x in ([rules.Rule(f"([A-Za-z]){r.found}([A-Za-z])", "\\1" + r.put + "\\2")] * 2 if r.found.isdigit() else [r])]
 rewriting("charfix_intended", text.characters, _re2_sql([*_between, *text.PHRASES, *text.FORMAL]))
 _ruled("extended_fold", text.EXTENDED)
 _ruled("term_fix", text.TERMS)
@@ -308,9 +308,7 @@ f AS MATERIALIZED (SELECT doc_id, t, hits, {_final_sql} AS x FROM e)
 SELECT doc_id, x AS out, hits, (length(t) - length(x) + abs(len(regexp_extract_all(t, '\\S+')) - len(regexp_extract_all(x, '\\S+'))))::BIGINT AS corrections, round({QUALITY_SQL}, 9) AS quality FROM f""")
 def enhanced_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = seeded(documents(spark, sf_dir))
-    out = docs.withColumn("tidy", text.tidy(F.col("text")))
-    out = out.withColumn("fixed", rules.apply(F.col("tidy"), text.EXTENDED)).withColumn("hits", text.extended_hits(F.col("tidy")))
-    out = out.withColumn("out", text.final(rules.apply(rules.apply(F.col("fixed"), text.WIDE_SPACING), text.STRUCTURE)))
+    out = text.enhanced(docs.withColumn("out", F.col("text")), "out")
     return out.select("doc_id", "out", "hits", quality.corrections(F.col("text"), F.col("out")).cast("long").alias("corrections"), F.round(quality.text_quality(F.col("out")), 9).alias("quality"))
 
 
@@ -523,7 +521,7 @@ def event_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.concat("event_type", F.col("user_id") % 40).alias("word"), F.col("props").alias("context"), F.lit("general").alias("domain"), "ts", F.col("event_id").alias("seq"))
 
 
-@query("SELECT event_type || (user_id % 40) AS word, count(*) AS frequency, min(ts) AS created_at, max(ts) AS last_used FROM events GROUP BY 1")
+@query("SELECT event_type || (user_id % 40) AS word, count(*) AS frequency, max(ts) AS created_at, max(ts) AS last_used FROM events GROUP BY 1")
 def dictionary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_words(spark, sf_dir)
     # Even ids make the state that odd ids are merged into.
@@ -577,6 +575,124 @@ def correction_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.corrected_words(words, rows.where("seq % 2 = 1")).select("word", "frequency", "context")
 
 
+def all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of conversations, whatever its letters, with a made-up score; in one place of 13 it has none."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("pos", "word"))
+    score = F.when(F.col("pos") % 13 == 5, F.lit(None)).otherwise((F.col("doc_id") * 7 + F.col("pos") * 3) % 10 / 10)
+    return rows.select("doc_id", "pos", "word", score.cast("double").alias("score"))
+
+
+#: A word: anything between ASCII white space.
+WORDS = r"[^\x20\x09-\x0D]+"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALL_TOKENS_SQL = rf"""c AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '{WORDS}') AS w FROM conversations),
+u AS (SELECT doc_id, unnest(w) AS word, (generate_subscripts(w, 1) - 1)::INTEGER AS pos FROM c),
+s AS (SELECT *, CASE WHEN pos % 13 = 5 THEN NULL ELSE ((doc_id * 7 + pos * 3) % 10) / 10 END AS score, row_number() OVER (ORDER BY doc_id, pos) AS t FROM u)"""
+_BASE_SQL = rf"base AS (SELECT word, count(*) AS f FROM (SELECT unnest(regexp_extract_all(text, '{WORDS}')) AS word FROM benchmark) GROUP BY word)"
+
+
+def _edits(a: str, b: str) -> str:
+    """Edits between words by characters; the engine's own function goes by bytes."""
+    codes = lambda x: f"list_transform(string_split({x}, ''), lambda c: [unicode(c)])"
+    cell = f"least(above[j[1] + 1] + 1, r[j[1]] + 1, above[j[1]] + (x[1] <> unicode(substr({b}, j[1], 1)))::INTEGER)"
+    row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda i: [i::INTEGER]), lambda r, j: list_append(r, {cell}), [above[1] + 1])"
+    slow = f"list_reduce({codes(a)}, lambda above, x: {row}, range(0, length({b}) + 1)::INTEGER[])[length({b}) + 1]"
+    return f"CASE WHEN strlen({a}) = length({a}) AND strlen({b}) = length({b}) THEN levenshtein({a}, {b}) ELSE {slow} END"
+
+
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("word"))
+    return rows.groupBy("word").agg(F.count("*").alias("frequency"), F.lit("2024-01-01").cast("timestamp_ntz").alias("last_used"))
+
+
+# Each version of a word holds from its sighting to the next; a doubtful word meets the version of its moment of every word that begins like it.
+@query(rf"""WITH {_ALL_TOKENS_SQL}, {_BASE_SQL},
+d AS (SELECT doc_id, pos, word, t, {_LOW.format('substr(word, 1, 3)')} AS p FROM s WHERE score < 0.7),
+v AS (SELECT word, t, row_number() OVER (PARTITION BY word ORDER BY t) AS k FROM s WHERE score >= 0.7),
+l AS MATERIALIZED (SELECT word, {_LOW.format('word')} AS low FROM (SELECT word FROM v UNION SELECT word FROM base)), e AS MATERIALIZED (SELECT DISTINCT p || '%' AS p FROM d),
+m AS (SELECT p, word AS candidate FROM e JOIN l ON low LIKE p),
+q AS (SELECT d.t, d.word, m.candidate FROM d JOIN m ON d.p || '%' = m.p),
+n AS (SELECT q.t, q.word, q.candidate, coalesce(b.f, 0) + coalesce(v.k, 0) AS f, coalesce(v.t, -1) AS used FROM q ASOF LEFT JOIN v ON q.candidate = v.word AND q.t > v.t LEFT JOIN base b ON b.word = q.candidate),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY f DESC, used DESC, candidate) AS place FROM n WHERE f > 0),
+b AS (SELECT t, arg_min(candidate, {_edits('word', 'candidate')} * 10 + place) AS candidate FROM r WHERE place <= 5 GROUP BY t)
+SELECT doc_id, pos, word, CASE WHEN score IS NULL OR score >= 0.7 THEN word WHEN candidate IS NULL THEN '(' || word || ')' ELSE '[' || candidate || ']' END AS out FROM s LEFT JOIN b USING (t)""")
+def context_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful words by the list as the words before them left it."""
+    return wordlist.repaired_in_order(all_tokens(spark, sf_dir), benchmark_words(spark, sf_dir)).select("doc_id", "pos", "word", "out")
+
+
+@query(rf"""WITH w AS (SELECT unnest(regexp_extract_all(text, '{WORDS}')) AS word, doc_id FROM documents), l AS (SELECT word, count(*) AS frequency, max(doc_id) AS last_used FROM w GROUP BY word),
+a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORDS}')) AS word FROM benchmark),
+b AS MATERIALIZED (SELECT *, {_LOW.format('word')} AS low FROM l),
+q AS (SELECT DISTINCT CASE length(word) % 4 WHEN 0 THEN substr(word, 1, 1) || '_' || substr(word, 3, 2) WHEN 1 THEN substr(word, 1, 2) WHEN 2 THEN '%' || substr(word, 2, 3) ELSE substr(word, 1, 5) END AS pattern FROM a),
+k AS MATERIALIZED (SELECT pattern, {_LOW.format('pattern')} || '%' AS low FROM q),
+m AS (SELECT pattern, word, frequency, row_number() OVER (PARTITION BY pattern ORDER BY frequency DESC, last_used DESC, word)::INTEGER AS place FROM k JOIN b ON b.low LIKE k.low)
+SELECT pattern, place, word, frequency FROM m WHERE place <= 5""")
+def suggestions_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, asked by a table of beginnings, some with wildcards."""
+    words = documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("word"))
+    words = words.groupBy("word").agg(F.count("*").alias("frequency"), F.max("doc_id").alias("last_used"))
+    word, n = F.col("word"), F.length("word") % 4
+    cut = F.when(n == 0, F.concat(F.substring(word, 1, 1), F.lit("_"), F.substring(word, 3, 2))).when(n == 1, F.substring(word, 1, 2)).when(n == 2, F.concat(F.lit("%"), F.substring(word, 2, 3))).otherwise(F.substring(word, 1, 5))
+    return wordlist.suggest_many(words, benchmark_words(spark, sf_dir).select(cut.alias("pattern")))
+
+
+#: Rules that a source has at most.
+RULES = 8
+_STEPS = ", ".join(
+    f"t{k} AS (SELECT t.doc_id, t.source, CASE WHEN r.seq IS NULL THEN t.t WHEN r.kind = 'plain' THEN replace(t.t, r.pattern, r.replacement) ELSE regexp_replace(t.t, r.pattern, r.replacement, 'g') END AS t"
+    f" FROM t{k - 1} t LEFT JOIN rules r ON r.source = t.source AND r.seq = {k})"
+    for k in range(1, RULES + 1)
+)
+
+
+def source_rules(docs: DataFrame) -> DataFrame:
+    """Each source's commonest words of four letters and more as rules: one becomes the next common one, every other is put in marks where it starts a word."""
+    words = docs.select("source", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).groupBy("source", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("source").orderBy(F.desc("n"), "word")
+    ranked = words.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= RULES + 1)
+    ranked = ranked.withColumn("next", F.lead("word").over(Window.partitionBy("source").orderBy("seq"))).where(F.col("seq") <= RULES)
+    odd = F.col("seq") % 2 == 1
+    return ranked.select(F.col("source").alias("owner"), "seq", F.when(odd, "plain").otherwise("regex").alias("kind"), F.when(odd, F.col("word")).otherwise(F.concat(F.lit("( |^)"), "word", F.lit("([a-z]*)"))).alias("pattern"), F.when(odd, F.coalesce("next", F.lit(""))).otherwise(F.concat(F.lit("\\1<"), "word", F.lit("\\2>"))).alias("replacement"))
+
+
+@query(rf"""WITH w AS (SELECT source, unnest(regexp_extract_all(text, '[a-z]{{4,}}')) AS word FROM documents), n AS (SELECT source, word, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT source, word, row_number() OVER o AS seq, lead(word) OVER o AS next FROM n WINDOW o AS (PARTITION BY source ORDER BY n DESC, word)),
+rules AS (SELECT source, seq, CASE WHEN seq % 2 = 1 THEN 'plain' ELSE 'regex' END AS kind, CASE WHEN seq % 2 = 1 THEN word ELSE '( |^)' || word || '([a-z]*)' END AS pattern,
+  CASE WHEN seq % 2 = 1 THEN coalesce(next, '') ELSE '\1<' || word || '\2>' END AS replacement FROM k WHERE seq <= {RULES}),
+t0 AS (SELECT doc_id, source, text AS t FROM documents), {_STEPS} SELECT doc_id, t AS out FROM t{RULES}""")
+def rules_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the rules of its own source, which are rows."""
+    docs = documents(spark, sf_dir, "source")
+    return rulebook.apply_rows(docs, source_rules(docs), "source").select("doc_id", F.col("text").alias("out"))
+
+
+@query("SELECT event_type, round(median(value), 9) AS median FROM events GROUP BY event_type")
+def exact_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few groups of very many values each."""
+    return selection.exact_medians(table(spark, sf_dir, "events"), "event_type", "value", 1000).select("event_type", F.round("median", 9).alias("median"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM l),
+s AS (SELECT doc_id, n, {TRIM_SQL.replace('{x}', 'line')} AS line FROM u),
+p AS (SELECT doc_id, line, row_number() OVER o - 1 AS pos, lag(line) OVER o AS last FROM s WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+b AS (SELECT *, CASE WHEN last IS NULL THEN '' WHEN NOT regexp_matches(last, '[.!?]$') THEN ' ' WHEN regexp_matches(line, '^(\d+\.|[가-힣]\)|•|-|※)') THEN chr(10) || chr(10) ELSE chr(10) END AS before FROM p)
+SELECT doc_id, pos, before, line, sum((before <> ' ')::INTEGER) OVER w::BIGINT AS paragraph, (sum(length(before) + length(line)) OVER w - length(before) - length(line))::BIGINT AS start
+FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)""")
+def paragraphs_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents as rows, with what stands before each."""
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return layout.paragraph_lines(lines, "doc_id", "n")
+
+
+@query(r"""WITH e AS (SELECT doc_id, strlen('=== ' || doc_id || ' ===' || chr(10) || text || chr(10)) + 1 AS bytes FROM documents)
+SELECT doc_id, (sum(bytes) OVER (ORDER BY doc_id) - bytes)::BIGINT AS start, bytes::BIGINT AS bytes FROM e""")
+def report_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's entry lies in the one report of all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").alias("place"))
+    return layout.report_places(docs, "doc_id", "text", "place").select("doc_id", "start", "bytes")
+
+
 # ---- images ---------------------------------------------------------------------------------------------------------
 
 #: A vector of 64 as an image of 8 x 8, and its pixels as a table.
