@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality, rules, text
-from ..operators import analytics, blocks, dictionary, images, layout, rulebook, selection, wordlist
-from ..sources import files, sinks
-from ..streaming import ingest
+from ..operators import analytics, blocks, dictionary, images, layout, metrics, rulebook, selection, store, stored, wordlist
+from ..sources import encoding, files, rasters, sinks
+from ..streaming import ingest, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -693,6 +693,42 @@ def report_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.report_places(docs, "doc_id", "text", "place").select("doc_id", "start", "bytes")
 
 
+# The list after three commits: a row is its word's last sighting, and its id counts all sightings up to it.
+@query("""WITH e AS (SELECT event_type || (user_id % 40) AS word, 0 AS kind, ts, event_id, props AS context, event_id % 3 AS part FROM events
+  UNION ALL SELECT 'u' || (user_id % 9), 1, ts, event_id, '교정됨: ' || event_type, event_id % 3 FROM events),
+o AS (SELECT *, row_number() OVER (ORDER BY part, ts, kind, event_id) AS id FROM e)
+SELECT max(id) AS id, word, count(*) AS frequency, arg_max(context, id) AS context, arg_max(ts, id) AS last_used FROM o GROUP BY word""")
+def store_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored word list after sightings and corrections came in three commits."""
+    events, kept = table(spark, sf_dir, "events"), store.Store(spark, f"{stored.folder(spark)}/store-{uuid.uuid4().hex}")
+    seen = events.select(F.concat("event_type", F.col("user_id") % 40).alias("word"), F.col("props").alias("context"), F.lit("general").alias("domain"), "ts", F.col("event_id").alias("seq"))
+    fixed = events.select(F.col("event_type").alias("original"), F.concat(F.lit("u"), F.col("user_id") % 9).alias("corrected"), (F.col("value") / 500).alias("confidence"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
+    for k in range(3):
+        kept.commit(corrections=fixed.where(F.col("seq") % 3 == k), words=seen.where(F.col("seq") % 3 == k))
+    return kept.table("user_words").select("id", "word", "frequency", "context", F.col("last_used").cast("timestamp_ntz").alias("last_used"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY event_id % 3, ts, event_id) AS id, event_type AS original, 'u' || (user_id % 9) AS corrected, round(value / 500, 9) AS confidence FROM events""")
+def store_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored corrections of the same commits, their ids without gaps."""
+    events, kept = table(spark, sf_dir, "events"), store.Store(spark, f"{stored.folder(spark)}/store-{uuid.uuid4().hex}")
+    fixed = events.select(F.col("event_type").alias("original"), F.concat(F.lit("u"), F.col("user_id") % 9).alias("corrected"), (F.col("value") / 500).alias("confidence"), F.lit("s").alias("session_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
+    for k in range(3):
+        kept.commit(corrections=fixed.where(F.col("seq") % 3 == k))
+    return kept.table("corrections").select("id", "original", "corrected", F.round("confidence", 9).alias("confidence"))
+
+
+@query(f"""WITH d AS (SELECT {SEEDED_SQL} AS a FROM documents), e AS (SELECT a, {_tidy_sql.replace('{t}', 'a')} AS b FROM d)
+SELECT count(*) AS rows, sum(length(a) - length(b) + abs(len(regexp_extract_all(a, '\\S+')) - len(regexp_extract_all(b, '\\S+'))))::BIGINT AS total_corrections, count(*) FILTER (a <> b) AS changed FROM e""")
+def counters_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pass that writes tidied documents counts on its way."""
+    docs = seeded(documents(spark, sf_dir)).withColumn("out", text.tidy(F.col("text")))
+    counters = metrics.text_counters("text", "out")
+    stored.stored(counters.watch(docs).select("doc_id", "out"), "tidied")
+    told = counters.totals()
+    return spark.range(1).select(*(F.lit(told[n]).cast("long").alias(n) for n in ("rows", "total_corrections", "changed")))
+
+
 # ---- images ---------------------------------------------------------------------------------------------------------
 
 #: A vector of 64 as an image of 8 x 8, and its pixels as a table.
@@ -757,6 +793,28 @@ def image_level_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("image_id").cast("long").alias("vec_id"), F.lit("none").alias("level"), F.lower(F.hex("data")).alias("out"))
 
 
+def graymaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small images as files: graymaps and bitmaps of 8 bits, every seventh one cut short and every eleventh empty."""
+    rows = small_images(spark, sf_dir).select(F.col("image_id").cast("long").alias("vec_id"), F.lower(F.hex("data")).alias("pixels"))
+    colours = "".join(f"{k:02x}{k:02x}{k:02x}00" for k in range(256))
+    lines = F.array_join(F.transform(F.sequence(F.lit(SIDE - 1), F.lit(0), F.lit(-1)), lambda y: F.substring("pixels", y * 2 * SIDE + 1, F.lit(2 * SIDE))), "")
+    start, size = 54 + 1024, 54 + 1024 + SIDE * SIDE
+    head = (b"BM" + size.to_bytes(4, "little") + bytes(4) + start.to_bytes(4, "little") + (40).to_bytes(4, "little") + SIDE.to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (8).to_bytes(2, "little") + bytes(24)).hex()
+    plain = F.concat(F.lit(f"P5\n{SIDE} {SIDE}\n255\n".encode().hex()), "pixels")
+    whole = F.when(F.col("vec_id") % 2 == 0, plain).otherwise(F.concat(F.lit(head + colours), lines))
+    content = F.when(F.col("vec_id") % 11 == 0, F.lit("")).when(F.col("vec_id") % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)
+    return rows.select("vec_id", F.unhex(content).alias("content"))
+
+
+@query(f"""WITH {PIXELS_SQL}, i AS (SELECT vec_id, string_agg(printf('%02x', v), '' ORDER BY y, x) AS g, string_agg(printf('%02x%02x%02x', v, v, v), '' ORDER BY y, x) AS c FROM p GROUP BY vec_id)
+SELECT vec_id, CASE WHEN bad IS NULL THEN {SIDE} ELSE 0 END::INTEGER AS height, CASE WHEN bad IS NULL THEN 1 + 2 * (vec_id % 2) ELSE 0 END::INTEGER AS channels, CASE WHEN bad IS NULL THEN CASE WHEN vec_id % 2 = 0 THEN g ELSE c END END AS pixels, bad AS error
+FROM (SELECT *, CASE WHEN vec_id % 11 = 0 THEN 'an empty file' WHEN vec_id % 7 = 0 THEN 'the file ends before its pixels' END AS bad FROM i)""")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files read to pixels; unreadable ones are rows that say why."""
+    out = rasters.decoded(graymaps(spark, sf_dir), "vec_id").na.fill(0, ["height", "channels"])
+    return out.select(F.col("image_id").cast("long").alias("vec_id"), "height", "channels", F.lower(F.hex("data")).alias("pixels"), "error")
+
+
 # ---- files and streams ----------------------------------------------------------------------------------------------
 
 
@@ -789,6 +847,36 @@ def stream_ingest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("day", F.round("avg_accuracy", 6).alias("avg_accuracy"), F.round("avg_time", 6).alias("avg_time"), "n")
 
 
+_ASCII_SQL = r"""array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b' WHEN c = chr(12) THEN '\f'
+  WHEN unicode(c) > 65535 THEN printf('\u%04x\u%04x', ((unicode(c) - 65536) >> 10) + 55296, ((unicode(c) - 65536) & 1023) + 56320) WHEN unicode(c) < 32 OR unicode(c) > 126 THEN printf('\u%04x', unicode(c)) ELSE c END), '')"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, {SEEDED_SQL} || chr((128512 + doc_id % 50)::INTEGER) AS t FROM documents) SELECT doc_id, '"' || {_ASCII_SQL} || '"' AS json FROM d""")
+def json_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, each with a character beyond 16 bits, as JSON strings in ASCII."""
+    faces = "".join(map(chr, range(128512, 128562)))
+    docs = seeded(documents(spark, sf_dir)).withColumn("text", F.concat("text", F.substring(F.lit(faces), (F.col("doc_id") % 50 + 1).cast("int"), F.lit(1))))
+    return docs.select("doc_id", encoding.ascii_string(F.col("text")).alias("json"))
+
+
+@query("""SELECT event_type || (user_id % 40) AS word, arg_max(event_id, (ts, event_id)) AS id, count(*) AS frequency, arg_max(props, (ts, event_id)) AS context, max(ts) AS created_at FROM events GROUP BY 1""")
+def stream_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word list that a stream of events keeps in its state, from the updates that it wrote."""
+    path, out = f"{sf_dir}/events.parquet", f"{stored.folder(spark)}/words-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
+    events = events.select(F.concat("event_type", F.col("user_id") % 40).alias("word"), F.col("props").alias("context"), F.lit("general").alias("domain"), "ts", F.col("event_id").alias("seq"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, words.STORE)
+    try:
+        write = words.word_rows(events).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint")
+        write.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/updates/epoch={epoch}")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    rows = words.newest(spark.read.parquet(f"{out}/updates"))
+    return rows.select("word", "id", "frequency", "context", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
