@@ -23,7 +23,7 @@ TOP = 50
 #: Blocks of sources in a tournament; one round less is played.
 BLOCKS = 6
 #: Entries of a block in memory: its sources times the terms of a slice.
-ENTRIES = 1 << 19
+ENTRIES = 1 << 16
 #: Different (group, term) pairs that a task gathers before it gives them away.
 GATHERED = 500_000
 
