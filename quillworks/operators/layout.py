@@ -55,7 +55,7 @@ def write_report(results: DataFrame, path: str, name: str, text: str, order: str
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = sorted((int(f.getPath().getName().split("-")[1]), f.getPath().getName(), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    files = sorted((int(f.getPath().getName().split("-")[1]), f.getPath().getName(), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen())
     told, at = [], 0
     for _, file, size in files:
         told.append((file, at, size))

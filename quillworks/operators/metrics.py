@@ -45,17 +45,17 @@ def text_counters(before: str, after: str, seconds: str | None = None) -> Counte
 def with_progress(spark: SparkSession, action: Callable, report: Callable[[int, int], None], every: float = 0.5):
     """Runs ``action`` and calls ``report(done, all)`` with its tasks while it runs, and once at its end; returns what it returns.
 
-    Tasks are those of the stages that Spark knows of by then, so ``all`` grows from job to job. A report that fails does not stop the action.
+    Tasks are those of the stages that Spark knows of by then, so ``all`` grows from job to job; at the end, stages that were not needed are left out. A report that fails does not stop the action.
     """
     group, ended = f"progress-{uuid.uuid4().hex}", threading.Event()
     tracker = spark.sparkContext.statusTracker()
     done: dict[int, tuple[int, int]] = {}
 
-    def look() -> None:
+    def look(at_end: bool = False) -> None:
         for job in tracker.getJobIdsForGroup(group):
             for stage in getattr(tracker.getJobInfo(job), "stageIds", []):
                 if told := tracker.getStageInfo(stage):
-                    done[stage] = (told.numCompletedTasks, told.numTasks)
+                    done[stage] = (told.numCompletedTasks, told.numTasks if told.numCompletedTasks or not at_end else 0)
         try:
             report(sum(a for a, _ in done.values()), sum(b for _, b in done.values()))
         except Exception:  # the work goes on whatever listens to it
@@ -73,5 +73,5 @@ def with_progress(spark: SparkSession, action: Callable, report: Callable[[int,
     finally:
         ended.set()
         watcher.join()
-        look()
+        look(True)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

