@@ -21,6 +21,8 @@ from .common import Scratch, partitions
 
 #: Pieces whose ids a Python worker keeps; beyond it, the memory starts anew.
 REMEMBERED = 1_500_000
+#: Ids and bytes of pieces that it keeps at most.
+KEPT = 1 << 27
 #: Pieces that are encoded end to end at once.
 AT_ONCE = 4_096
 
@@ -44,6 +46,42 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
 
 
+class Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: np.dtype):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def keep(self, values: np.ndarray) -> int:
+        """Where the values are from now on."""
+        while self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.used : self.used + len(values)] = values
+        self.used += len(values)
+        return self.used - len(values)
+
+
+#: Bytes that are compared at once.
+COMPARED = 1 << 20
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Whether a[start : start + size] and b[start : start + size] are the same, for each of both lists."""
+    out = a_sizes == b_sizes
+    asked = np.flatnonzero(out & ((a_starts != b_starts) if a is b else True))
+    ends = np.cumsum(a_sizes[asked])
+    at = 0
+    while at < len(asked):  # runs of pieces of about so many bytes
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, "right")))
+        some = asked[at:to]
+        unlike = gather(a, a_starts[some], a_sizes[some]) != gather(b, b_starts[some], a_sizes[some])
+        if unlike.any():
+            wrong = np.searchsorted(np.cumsum(a_sizes[some]), np.flatnonzero(unlike), "right")
+            out[some[wrong]] = False
+        at = to
+    return out
+
+
 def by_word_of(spec: dict) -> bool:
     """Whether a tokenizer file turns white space into spaces and lowers letters first, then keeps only pieces without a space. Decided from the file."""
     flat = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
@@ -61,7 +99,8 @@ class Encoder:
 
     Splitting at spaces before the library is exact where its first steps turn white space into spaces and lower letters,
     and its words never cross a space: by_word_of() reads that from the file. Then each different piece goes through the library once and is
-    remembered by a 64-bit hash. Where the file marks word ends, a piece is a word without the marks after it, or these
+    remembered by a 64-bit hash, with its bytes: a piece takes the ids of another only if both are the same bytes, and one that shares a hash
+    with a different piece goes through the library by itself. Where the file marks word ends, a piece is a word without the marks after it, or these
     marks, and pieces of one kind go through the library many at a time, cut where a token ends a word.
     """
 
@@ -83,15 +122,9 @@ class Encoder:
 
     def _forget(self) -> None:
         """hashes, sorted, with where their ids are in the pool; the newest in small arrays of their own."""
-        self.tiers = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
-        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
-
-    def _keep(self, ids: np.ndarray) -> int:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
+        none = np.zeros(0, np.int64)
+        self.tiers = [(np.zeros(0, np.uint64), none, none, none, none) for _ in range(2)]
+        self.pool, self.raw = Pool(self.kind), Pool(np.uint8)
 
     def _pieces(self, t: textnum.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, text, plain) of each piece. Plain ones are one word to the library."""
@@ -132,12 +165,12 @@ class Encoder:
                 rest.append(at)
                 continue
             length[at] = np.diff(cuts, prepend=0)
-            place[at] = self._keep(ids) + cuts - length[at]
+            place[at] = self.pool.keep(ids) + cuts - length[at]
         rest = np.concatenate(rest)
         raw = data.tobytes()
         for at, x in zip(rest.tolist(), self.tokenizer.encode_batch_fast([raw[begin[i] : end[i]].decode() for i in rest], add_special_tokens=False), strict=True):
             length[at] = len(x.ids)
-            place[at] = self._keep(np.asarray(x.ids, self.kind))
+            place[at] = self.pool.keep(np.asarray(x.ids, self.kind))
         return place, length
 
     def _find(self, t: textnum.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,24 +178,35 @@ class Encoder:
         begin, end, own, plain = self._pieces(t)
         low = textnum.LOWER[t.data] if self.ends is not None else t.data
         hashes, first, back = np.unique(textnum.spans(low.astype(np.uint64) + np.uint64(1), begin, end), return_index=True, return_inverse=True)
+        # A piece stands for all of its hash in this text; those that differ from it go alone.
+        size = end - begin
+        alone = ~same_bytes(low, begin, low, begin[first][back], size, size[first][back])
         place, length, new = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.ones(len(hashes), bool)
-        for known, places, lengths in self.tiers:
+        other = np.zeros(len(hashes), bool)
+        for known, places, lengths, raws, sizes in self.tiers:
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = known[at] == hashes
-                place[hit], length[hit], new[hit] = places[at[hit]], lengths[at[hit]], False
+                hit = np.flatnonzero(known[at] == hashes)
+                at = at[hit]
+                good = same_bytes(low, begin[first[hit]], self.raw.data, raws[at], size[first[hit]], sizes[at])
+                new[hit], other[hit[~good]] = False, True
+                place[hit[good]], length[hit[good]] = places[at[good]], lengths[at[good]]
+        low = np.append(low, np.uint8(32))  # a place for the separator of the last piece
         if new.any():
             at = first[new]
-            low = np.append(low, np.uint8(32))  # a place for the separator of the last piece
             place[new], length[new] = self._encode(low, begin[at], end[at], plain[at])
-            joined = [np.concatenate(x) for x in zip(self.tiers[1], (hashes[new], place[new], length[new]), strict=True)]
+            raws = self.raw.keep(gather(low, begin[at], size[at])) + np.cumsum(size[at]) - size[at]
+            joined = [np.concatenate(x) for x in zip(self.tiers[1], (hashes[new], place[new], length[new], raws, size[at]), strict=True)]
             order = np.argsort(joined[0], kind="stable")
             self.tiers[1] = tuple(x[order] for x in joined)
             if len(order) > 100_000:
                 joined = [np.concatenate(x) for x in zip(*self.tiers, strict=True)]
                 order = np.argsort(joined[0], kind="stable")
                 self.tiers = [tuple(x[order] for x in joined), tuple(x[:0] for x in joined)]
-        return place[back], length[back], own
+        place, length = place[back], length[back]
+        if len(alone := np.flatnonzero(alone | other[back])):
+            place[alone], length[alone] = self._encode(low, begin[alone], end[alone], plain[alone])
+        return place, length, own
 
     def arrays(self, column: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids with the end id, lengths) of some of the column's texts after others."""
@@ -172,7 +216,7 @@ class Encoder:
                 yield np.concatenate(coded), np.asarray(list(map(len, coded)))
             return
         for _, t in textnum.texts(column, SPACE, 2 * textnum.CHUNK):
-            if len(self.tiers[0][0]) > REMEMBERED:
+            if len(self.tiers[0][0]) > REMEMBERED or self.pool.used + self.raw.used > KEPT:
                 self._forget()
             place, length, own = self._find(t)
             sizes = np.bincount(own, weights=length, minlength=len(t)).astype(np.int64) + 1
@@ -180,7 +224,7 @@ class Encoder:
             last = np.cumsum(sizes) - 1
             mine = np.ones(len(ids), bool)
             mine[last] = False
-            ids[mine] = gather(self.pool, place, length)
+            ids[mine] = gather(self.pool.data, place, length)
             yield ids, sizes
 
 
