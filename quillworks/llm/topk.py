@@ -36,7 +36,7 @@ class ImpactIndex:
         n, d = self.vectors.shape
         few = max(4 * k, n // 16)
         found = None
-        if n - (skip.stop - skip.start) > few and d * 2 * self.most * int(np.abs(query).max(initial=0)) < COUNT:
+        if d and n - (skip.stop - skip.start) > few and d * 2 * self.most * int(np.abs(query).max(initial=0)) < COUNT:
             found = self._members(query, skip, k, few)
         if found is None:
             found = np.delete(np.arange(n), skip)
@@ -94,7 +94,7 @@ def exact_topk(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     task holds one block's index whatever the table's size. The best k of all blocks of a query give its answer.
 
     Null ids, null vectors and vectors with null or non-finite components take no part. Shorter vectors count as
-    padded with 0. Rows that repeat an id are candidates for other ids as often as they occur, and none for their own.
+    padded with 0; where all are empty, every score is 0. Rows that repeat an id are candidates for other ids as often as they occur, and none for their own.
     Components so large that a score could leave 64 bits are an error, never a wrong row. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
