@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import textnum
 from .common import Scratch, delete, id_filter, partitions, without
@@ -286,7 +287,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = 3, id
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     answers, out = Scratch(docs.sparkSession, "answers"), []
-    cuts = rows.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
+    if batches > 1 and isinstance(rows.schema["id"].dataType, NumericType):
+        cuts = rows.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)])).first()[0]
+    else:  # ids without a middle between two: the last one of each range
+        ranges = rows.where("id is not null").select("id").repartitionByRange(batches, "id").groupBy(F.spark_partition_id()).agg(F.max("id").alias("id"))
+        cuts = sorted(r["id"] for r in ranges.collect())[: batches - 1]
     cuts = sorted(set(cuts or []))
     with SubstringIndex(docs.sparkSession, window=window) as index:
         for k in range(len(cuts) + 1):
