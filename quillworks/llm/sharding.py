@@ -15,7 +15,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     base; within it a running sum places each row; the shard is where a row's middle byte falls among equal targets.
     Only ids, sizes and checksums move. No group decides where a row goes, so equal texts never gather in one task.
 
-    Null text: size ``framing``, crc32 0. Rows alike in all three keys get adjacent slots. An empty table gives no
+    Null text: size ``framing``, crc32 0. Rows alike in all three keys get adjacent slots, and however many they are, ranges share them. An empty table gives no
     rows. Fewer rows than shards leave shards empty. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -23,7 +23,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = scratch.write(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(framing)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "sized")
     keys = ["id", "text_crc32", "size"]
-    ranged = scratch.write(sized.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()), "ranged")
+    ranged = sized.withColumn("row", F.monotonically_increasing_id())  # parts rows alike in all keys
+    ranged = scratch.write(ranged.repartitionByRange(n, *keys, "row").withColumn("part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
@@ -32,7 +33,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("base_rows"),
         F.sum("part_bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
-    within = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("part").orderBy(*keys, "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # One row a range partition, n at most: small whatever the table holds.
     placed = ranged.join(F.broadcast(bases), "part").withColumns({"start": F.col("base") + F.sum("size").over(within) - F.col("size"), "pos": F.col("base_rows") + F.row_number().over(within) - 1})
     middle = F.expr(f"((2 * start + size) * {int(shards)}) div (2 * total)")
@@ -53,11 +54,11 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "shards"), partitions(spark)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")))
-    crc, size, number, part, before = fresh(docs, "_crc", "_size", "_number", "_part", "_before")
+    crc, size, number, part, before, tie = fresh(docs, "_crc", "_size", "_number", "_part", "_before", "_tie")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({crc: F.crc32(text.cast("binary")), size: (F.octet_length(text) + F.lit(framing)).cast("long")})
+    rows = docs.withColumns({crc: F.crc32(text.cast("binary")), size: (F.octet_length(text) + F.lit(framing)).cast("long"), tie: F.monotonically_increasing_id()})
     # The high bits of the number are the partition, the low 33 the place in it.
-    rows = scratch.write(rows.repartitionByRange(n, id_col, crc, size).sortWithinPartitions(id_col, crc, size).withColumn(number, F.monotonically_increasing_id()), "rows")
+    rows = scratch.write(rows.repartitionByRange(n, id_col, crc, size, tie).sortWithinPartitions(id_col, crc, size, tie).drop(tie).withColumn(number, F.monotonically_increasing_id()), "rows")
     light = rows.select(F.col(number).alias("number"), F.shiftright(number, 33).alias("part"), F.col(size).alias("size"))
     totals = light.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("count"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
