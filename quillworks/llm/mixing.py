@@ -33,9 +33,10 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFr
     return out.select("source", "source_size", F.when(F.col("source_size") > 0, share).otherwise(F.lit(0.0)).alias("target"))
 
 
-def md5_order(doc_id: Column, seed: str) -> Column:
-    """Where a document stands in its source: BITS bits of an md5."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, BITS // 4), 16, 10).cast("long")
+def md5_order(doc_id: Column, seed: str, row: Column) -> Column:
+    """Where a document stands in its source: BITS bits of an md5. Rows without an id go by the row's number, so they do not stand in one place."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("row "), row.cast("string")))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, BITS // 4), 16, 10).cast("long")
 
 
 def plan_mix(docs: DataFrame, size=None, keep=(), weights=(1, 2, 3), most: int = 3, seed: str = "mix", rows_per_range: int = 50_000, row: str | None = None) -> DataFrame:
@@ -54,8 +55,8 @@ def plan_mix(docs: DataFrame, size=None, keep=(), weights=(1, 2, 3), most: int =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    docs = docs.select("doc_id", "source", *keep, (word_count(F.col("text")) if size is None else size).alias("size"), (F.lit(0) if row is None else F.col(row)).alias("_row"))
-    sized = scratch.write(docs.withColumns({"_h": md5_order(F.col("doc_id"), seed), "_row": F.monotonically_increasing_id() if row is None else F.col("_row")}), "sized")
+    docs = docs.select("doc_id", "source", *keep, (word_count(F.col("text")) if size is None else size).alias("size"), (F.monotonically_increasing_id() if row is None else F.col(row)).alias("_row"))
+    sized = scratch.write(docs.withColumn("_h", md5_order(F.col("doc_id"), seed, F.col("_row"))), "sized")
     rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(10, (max(1, rows) // rows_per_range).bit_length())
     ranges = 1 << bits
@@ -107,7 +108,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     at = lambda h, size, n: F.struct(h.alias("h"), F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), size.alias("size"), n.alias("n"))
     last = plan.groupBy("source").agg(F.array(*(F.max(F.when(F.col("copies") >= c, at(F.col("_h"), F.col("size"), F.col("_row")))) for c in range(1, options.get("most", 3) + 1))).alias(limits))
     last = scratch.write(last.withColumnRenamed("source", other), "limits")
-    rows = rows.withColumn(place, at(md5_order(F.col("doc_id"), options.get("seed", "mix")), F.col(amount), F.col(number)))
+    rows = rows.withColumn(place, at(md5_order(F.col("doc_id"), options.get("seed", "mix"), F.col(number)), F.col(amount), F.col(number)))
     rows = rows.join(last, rows["source"].eqNullSafe(last[other]))
     rows = rows.withColumn(copies, F.size(F.filter(F.col(limits), lambda x: F.coalesce(F.col(place) <= x, F.lit(False)))))
     return rows.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(amount, number, place, copies, copy, other, limits)
