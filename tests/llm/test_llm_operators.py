@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -90,6 +92,25 @@ def test_encoder_is_the_library(spark):
             assert got == [[*x.ids, 2] for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_tells_words_of_one_hash_apart():
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2 ** 64, whatever the base; in one text, in later ones, and after each other."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quillworks.llm import textnum
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    both = np.frombuffer((one + two).encode(), np.uint8).astype(np.uint64) + np.uint64(1)
+    assert len(set(textnum.spans(both, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    library, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    for texts in ([f"{one} {two} x {one}"], [one], [two, one], [f"{two} {two}", "x y", one]):
+        got = [ids[b - n : b].tolist() for ids, sizes in encoder.arrays(pa.array(texts), 2) for b, n in zip(np.cumsum(sizes), sizes, strict=True)]
+        assert got == [[*x.ids, 2] for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files_of_nothing(spark, docs, tmp_path):
     import public_tokenizers
 
@@ -250,6 +271,40 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(target)
 
 
+def test_quality_is_a_plain_fit(spark):
+    """The scores of quality() against numpy on one pile of rows: features, normal equations, curve."""
+    texts, labels, _ = labelled(spark, 500, 3)
+    got = {r["doc_id"]: r["score"] for r in quality.quality(texts, labels).where("doc_id is not null").collect()}
+    stats = texts.select("doc_id", "text").mapInArrow(quality._statistics, "id long, x array<float>").where("id is not null or true").collect()
+    every = np.array([r["x"] for r in stats], float)
+    features = quality.Features(every.mean(axis=0), every.std(axis=0))
+    x = {r["id"]: np.asarray(r["x"], float) for r in stats if r["id"] is not None}
+    known = {r["id"]: r["y"] for r in toxicity.clear_labels(labels, "quality").collect() if zlib.crc32(str(r["id"]).encode()) % 3 != 1}
+    part = {r[0]: r[1] for r in texts.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(5))).collect()}
+    fit, curve = ([d for d in known if (part[d] > 0) == first] for first in (True, False))
+    z = features(np.stack([x[d] for d in fit]))
+    weights = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ np.array([known[d] for d in fit], float))
+    raw = {d: float((features(v[None]) @ weights)[0]) for d, v in x.items()}
+    bins = {}
+    for d in curve:
+        bins.setdefault(min(max(int(np.floor((raw[d] + 0.5) / 2 * 256)) + 1, 0), 257), []).append((raw[d], known[d]))
+    told = np.array([(np.mean([a for a, _ in b]), len(b), sum(y for _, y in b)) for _, b in sorted(bins.items())])
+    knots, share = quality.isotonic(*told.T)
+    want = {d: 0.998 * np.interp(v, knots, share) + 0.002 / (1 + np.exp(-v)) for d, v in raw.items()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6
+
+
+def test_mix_spreads_rows_without_an_id(spark):
+    """They stand at different places of their source, so they share its ranges."""
+    rows = frame(spark, [(None, "a b c", "s")] * 400 + [(k, "a b", "t") for k in range(100)])
+    out = mixing.plan_mix(rows, rows_per_range=10, row=None)
+    assert out.count() == 500 and out.agg(F.sum("taken")).first()[0] <= 1400
+    heights = [r[0] for r in out.where("source = 's'").select("finish").collect()]
+    assert len(set(heights)) == 400
+    order = spark.range(1000).select(mixing.md5_order(F.lit(None).cast("long"), "mix", F.col("id")).alias("h"))
+    assert order.distinct().count() == 1000
+
+
 def test_mix(spark, docs, rows):
     got = mixing.plan_mix(docs).collect()
     assert len(got) == len(rows)
@@ -431,6 +486,23 @@ def test_shards(spark, docs, rows):
 # ---- op7 ----
 
 
+def test_shards_spread_equal_rows(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    for out in (sharding.shard_documents(rows), sharding.shard_rows(rows)):
+        assert sorted(r[0] for r in out.groupBy("shard").count().select("count").collect())[0] >= 833
+        assert out.groupBy("shard", "slot").count().where("count > 1").count() == 0
+    made = max(Path(spark.conf.get("spark.checkpoint.dir")).glob("shards-*/rows"), key=os.path.getmtime)
+    parts = [r[1] for r in spark.read.parquet(str(made)).groupBy(F.shiftright("_number", 33)).count().collect()]
+    assert len(parts) == 4 and max(parts) < 10_000
+
+
+def test_topk_of_empty_vectors(spark):
+    """All scores are 0, so the smallest ids win."""
+    rows = spark.createDataFrame([(k, []) for k in range(120)], "vec_id long, embedding array<float>")
+    got = topk.exact_topk(rows).where("query_id = 100").orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(k, 0) for k in range(10)]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(7)
     vectors = rng.normal(size=(700, 16)).astype(np.float32)
@@ -552,6 +624,16 @@ def test_windows_with_one_print_are_told_apart(spark):
     assert bag((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == bag(repeated(rows, 50))
 
 
+def test_substrings_by_ids_that_are_text(spark):
+    words = [f"w{k}" for k in range(120)]
+    rows = [(f"id{k:02d}", " ".join(words[k : k + 60]) if k < 20 else " ".join(reversed(words)), "s") for k in range(30)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id string, text string")
+    numbers = spark.createDataFrame([(int(d[2:]), t) for d, t, _ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:4] for r in substrings.dedup_substrings(docs).collect()}
+    want = {f"id{r['doc_id']:02d}": tuple(r)[1:4] for r in substrings.dedup_substrings(numbers).collect()}
+    assert got == want and any(x[1] for x in got.values())
+
+
 def test_substrings_of_nothing(docs):
     assert substrings.dedup_substrings(docs.limit(0)).count() == 0
 
