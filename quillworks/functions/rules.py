@@ -106,13 +106,19 @@ def apply(text: Column, rules: Iterable[Rule]) -> Column:
 
 
 def occurrences(text: Column, rules: Iterable[Rule]) -> Column:
-    """How many places the rules change, each rule counted on what those before it left."""
-    rules, total = list(rules), F.lit(0)
-    for rule in rules:
-        found = re.escape(rule.found) if rule.plain else rule.java()[0]
-        total = total + F.regexp_count(text, F.lit(f"\\Q{rule.found}\\E" if rule.plain else found))
-        text = rule.on(text)
-    return total
+    """How many places the rules change, each rule counted on what those before it left. A fold, so the plan is as small for many rules as for few."""
+    rules = list(rules)
+    if not rules:
+        return F.lit(0)
+    kinds = F.array(*(F.struct(F.lit(r.plain).alias("p"), F.lit(r.found if r.plain else r.java()[0]).alias("w"), F.lit(r.put if r.plain else r.java()[1]).alias("r")) for r in rules))
+
+    def step(acc: Column, x: Column) -> Column:
+        gone = F.replace(acc["t"], x["w"], F.lit(""))
+        n = F.when(x["p"], ((F.length(acc["t"]) - F.length(gone)) / F.length(x["w"])).cast("int")).otherwise(F.regexp_count(acc["t"], x["w"]))
+        t = F.when(x["p"], F.replace(acc["t"], x["w"], x["r"])).otherwise(F.regexp_replace(acc["t"], x["w"], x["r"]))
+        return F.struct(t.alias("t"), (acc["n"] + n).alias("n"))
+
+    return F.aggregate(kinds, F.struct(text.alias("t"), F.lit(0).alias("n")), step)["n"]
 
 
 def hits(text: Column, rules: Iterable[Rule]) -> Column:

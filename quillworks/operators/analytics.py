@@ -112,3 +112,14 @@ def progress(rows: DataFrame, order: str, parts: int | None = None) -> DataFrame
     base = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.sum("n").over(every).alias("_all"))
     out = rows.join(F.broadcast(base), "_part").withColumn("done", F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_n"))
     return out.withColumn("percent", F.floor(F.col("done") * 100 / F.col("_all")).cast("int")).drop("_part", "_n", "_all")
+
+
+def best_preset(scores: DataFrame, key: str, preset: str, order: str, score: str, plain: str = "clean") -> DataFrame:
+    """(key, preset, score): per key the preset with the highest score above 0, of equal ones the first in ``order``; ``plain`` with 0 where none is above 0.
+
+    An aggregate, so it combines before the shuffle. Null and NaN scores do not count. A null key is a key.
+    """
+    counts = (F.col(score) > 0) & ~F.isnan(F.col(score).cast("double"))
+    best = F.max(F.when(counts, F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"), F.col(preset).alias("p"))))
+    out = scores.groupBy(key).agg(best.alias("b"))
+    return out.select(key, F.coalesce("b.p", F.lit(plain)).alias(preset), F.coalesce("b.s", F.lit(0)).alias(score))

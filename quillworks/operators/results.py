@@ -44,3 +44,15 @@ def options(defaults: dict, given: dict | None) -> dict:
 def availability(engines: list[str]) -> dict[str, object]:
     """Which systems can be used, and which one should be."""
     return {"engines": engines, "ultimate_available": "ultimate" in engines, "legacy_available": "legacy" in engines, "recommended": next((e for e in ("ultimate", "legacy", *engines) if e in engines), None)}
+
+
+def merged(defaults: Column, given: Column) -> Column:
+    """Two maps of options: the defaults with what is given put over them, key by key, as options() does for Python's. A null map gives nothing; a key that is given as null is null."""
+    own = F.coalesce(given, F.create_map().cast("map<string,string>"))
+    rest = F.map_filter(F.coalesce(defaults, F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(own, k))
+    return F.map_concat(rest, own)
+
+
+def well_formed(found: Column, least: int = 2) -> Column:
+    """Of an engine's lists for each block - box, text, maybe confidence - those with ``least`` entries and more; null lists go."""
+    return F.filter(found, lambda b: F.coalesce(F.size(b) >= least, F.lit(False)))

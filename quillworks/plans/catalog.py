@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality, rules, text
-from ..operators import analytics, blocks, dictionary, images, layout, metrics, rulebook, selection, store, stored, wordlist
+from .. import job
+from ..operators import analytics, blocks, dictionary, images, layout, metrics, results, rulebook, selection, store, stored, wordlist
 from ..sources import encoding, files, rasters, sinks
 from ..streaming import ingest, words
 
@@ -422,7 +423,7 @@ SELECT user_id, preset, score FROM (SELECT *, row_number() OVER (PARTITION BY us
 def preset_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(F.lit("clean"), F.lit("shadow"), F.lit("thin")), (F.col("event_id") % 3 + 1).cast("int"))
     scores = table(spark, sf_dir, "events").groupBy("user_id", name.alias("preset"), (F.col("event_id") % 3).alias("p")).agg(F.max("value").alias("score"))
-    return scores.groupBy("user_id").agg(F.max(F.struct("score", -F.col("p"), "preset")).alias("b")).select("user_id", "b.preset", "b.score")
+    return analytics.best_preset(scores, "user_id", "preset", "p", "score")
 
 
 @query("SELECT user_id, round(median(value - 245), 6) AS angle FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 20 GROUP BY user_id")
@@ -439,6 +440,82 @@ def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.round(quality.image_quality(F.col("v"), F.col("s"), F.col("m")), 6).alias("quality"))
 
 
+def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as an engine's nested results: those of one turn failed, some of them without saying why."""
+    n, k = F.col("n"), F.col("conv_id")
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), said.alias("said"))
+    return rows.select(
+        k.cast("string").alias("image_id"), (n > 2).alias("success"), F.array_join("said", " ").alias("final_text"), F.array_join("said", "|").alias("raw_text"), (n / 8).alias("processing_time"),
+        F.struct((k % 10 / 10).alias("image_quality"), (k % 7 / 7).alias("text_quality"), results.overall(k % 10 / 10, k % 7 / 7).alias("overall_quality")).alias("quality_metrics"),
+        F.struct(n.cast("int").alias("total_blocks"), F.when(k % 3 > 0, (k % 3).cast("int")).alias("corrections_applied"), F.lit(True).alias("image_preprocessed"), F.lit(False).alias("morpheme_analyzed")).alias("processing_stats"),
+        F.when((n <= 2) & (k % 2 == 0), F.concat(F.lit("only "), n.cast("string"))).alias("error"),
+    )
+
+
+@query("""WITH r AS (SELECT conv_id AS k, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS t, string_agg(text, '|' ORDER BY turn) AS raw FROM conversations GROUP BY conv_id)
+SELECT k::VARCHAR AS image_id, n > 2 AS success, CASE WHEN n > 2 THEN left(t, 100) ELSE '' END AS preview, CASE WHEN n > 2 THEN round_even(((k % 10) / 10 + (k % 7) / 7) / 2, 3) ELSE 0.0 END AS confidence,
+  n / 8 AS processing_time, md5(raw) AS raw, (k % 3)::INTEGER AS corrections, n::INTEGER AS blocks_count, coalesce(CASE WHEN n <= 2 THEN CASE WHEN k % 2 = 0 THEN 'only ' || n ELSE 'unknown error' END END, '-') AS error FROM r""")
+def results_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested results as plain columns, failures with their error, texts as previews."""
+    out = results.flat(nested_results(spark, sf_dir))
+    return out.select("image_id", "success", results.preview(F.col("text")).alias("preview"), "confidence", "processing_time", F.md5("raw_text").alias("raw"), "corrections", "blocks_count", F.coalesce("error", F.lit("-")).alias("error"))
+
+
+@query("""SELECT conv_id, count(*) > 0 AS success, md5(string_agg(text, chr(10) ORDER BY turn)) AS text, count(*) AS total_blocks,
+  round(avg(coalesce(CASE WHEN turn % 3 > 0 THEN (conv_id + turn) % 10 / 10 END, 1.0)), 9) AS confidence FROM conversations GROUP BY conv_id""")
+def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result an image from its blocks; blocks without a confidence are certain."""
+    score = F.when(F.col("turn") % 3 > 0, (F.col("conv_id") + F.col("turn")) % 10 / 10)
+    found = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), "text", score.alias("confidence"))
+    return blocks.engine_result(found, "conv_id").select("conv_id", "success", F.md5("text").alias("text"), "total_blocks", F.round("confidence", 9).alias("confidence"))
+
+
+_COUNTED = [r for r in text.MISREAD if r.plain][:40]
+_count_steps = ", ".join(f"{rules.sql(f't{k}', [r])} AS t{k + 1}" for k, r in enumerate(_COUNTED))
+_count_total = " + ".join(f"(length(t{k}) - length(replace(t{k}, {_sql_text(r.found)}, ''))) // {len(r.found)}" for k, r in enumerate(_COUNTED))
+
+
+@query(f"WITH d AS (SELECT doc_id, {SEEDED_SQL} AS t0, {_count_steps} FROM documents) SELECT doc_id, ({_count_total})::BIGINT AS changed FROM d")
+def rule_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many places forty rules change in each text, each counted on what those before it left."""
+    docs = seeded(documents(spark, sf_dir))
+    return docs.select("doc_id", rules.occurrences(F.col("text"), _COUNTED).cast("long").alias("changed"))
+
+
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(replace(source || '+' || lang || '+ en+' || source, '+', ','), ','), lambda x: trim(x)), lambda x: x <> ''))), '|') AS langs FROM documents""")
+def language_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = F.concat("source", F.lit("+"), "lang", F.lit("+ en+"), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(files.sorted_languages(spec), "|").alias("langs"))
+
+
+@query("""SELECT event_id, 'k=' || (CASE WHEN event_id % 4 = 0 THEN '1' ELSE props->>'$.k' END) || ' lang=' || (CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'ko' END) || ' size=' || '7' AS options FROM events""")
+def options_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options that events bring, over defaults: k in three of four, the language in one of three, the size never."""
+    defaults = F.create_map(*map(F.lit, ("k", "1", "lang", "ko", "size", "7")))
+    given = F.when(F.col("event_id") % 4 > 0, F.from_json("props", "map<string,string>"))
+    more = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("lang"), F.col("event_type")))
+    out = results.merged(results.merged(defaults, given), more)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(F.array_sort(F.map_keys(out)), lambda k: F.concat(k, F.lit("="), F.try_element_at(out, k))), " ").alias("options"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, list_filter([string_split(text, ' ')[1:k::INTEGER] FOR k IN range(0, 4)], lambda x: len(x) >= 2) AS good FROM conversations)
+SELECT conv_id, turn, len(good)::INTEGER AS n, coalesce(array_to_string(good[1], '_'), '-') AS first FROM w""")
+def results_well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of no to three entries a block: those of two and more are results."""
+    found = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice(F.split("text", " "), F.lit(1), k))
+    good = results.well_formed(F.concat(found, F.array(F.lit(None).cast("array<string>"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(good).alias("n"), F.coalesce(F.array_join(F.get(good, 0), "_"), F.lit("-")).alias("first"))
+
+
+@query(f"""SELECT vec_id, (vec_id % 7 > 0 AND vec_id % 11 > 0) AS success, CASE WHEN vec_id % 7 > 0 AND vec_id % 11 > 0 THEN 2 ELSE 0 END AS total_blocks, 'stub' AS engine, 'ko+en' AS languages,
+  CASE WHEN vec_id % 11 = 0 THEN 'an empty file' WHEN vec_id % 7 = 0 THEN 'the file ends before its pixels' ELSE '-' END AS error, CASE WHEN vec_id % 7 > 0 AND vec_id % 11 > 0 THEN '샘플 텍스트.' ELSE '' END AS text FROM embeddings""")
+def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files through the whole job: decoded, read, repaired, with errors as rows."""
+    out = job.recognised(rasters.decoded(graymaps(spark, sf_dir), "vec_id"), "stub", "ko+ en")
+    return out.select(F.col("image_id").cast("long").alias("vec_id"), "success", F.col("total_blocks").cast("int").alias("total_blocks"), "engine", "languages", F.coalesce("error", F.lit("-")).alias("error"), "text")
+
+
 # ---- logs -----------------------------------------------------------------------------------------------------------
 
 
@@ -459,6 +536,15 @@ def daily_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("day", F.round("avg_accuracy", 6).alias("avg_accuracy"), F.round("avg_time", 6).alias("avg_time"), "n")
 
 
+@query(f"""WITH t AS ({SQL['daily_trends']}) SELECT string_agg(day::VARCHAR, ',' ORDER BY day DESC) AS days, string_agg(n::VARCHAR, ',' ORDER BY day DESC) AS counts,
+  string_agg(round(avg_time * 1000)::BIGINT::VARCHAR, ',' ORDER BY day DESC) AS times FROM t""")
+def trend_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily trends as one row of lists, newest day first."""
+    out = analytics.columnar(daily_trends(spark, sf_dir))
+    joined = lambda c: F.array_join(c, ",")
+    return out.select(joined(F.col("day").cast("array<string>")).alias("days"), joined(F.col("n").cast("array<string>")).alias("counts"), joined(F.transform("avg_time", lambda x: F.round(x * 1000).cast("long").cast("string"))).alias("times"))
+
+
 @query("""SELECT event_type AS original, 'u' || (user_id % 9) AS corrected, count(*) AS n, round(avg(value / 500), 6) AS confidence
 FROM events GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20""")
 def error_patterns_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -847,6 +933,77 @@ def stream_ingest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("day", F.round("avg_accuracy", 6).alias("avg_accuracy"), F.round("avg_time", 6).alias("avg_time"), "n")
 
 
+def written_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Pages as files named like images and otherwise, in subfolders by the page's last digit."""
+    folder = f"{stored.folder(spark)}/pages-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "pages").select(F.regexp_replace("html", "[\\r\\n\"]", " ").alias("line"), (F.col("page_id") % 10).alias("digit"))
+    for ending, some in (("png", "digit < 4"), ("TIFF", "digit between 3 and 5"), ("csv", "digit > 5")):
+        rows.where(some).write.mode("append").partitionBy("digit").option("extension", ending).option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("escapeQuotes", "false").option("sep", "\x01").csv(folder)
+    return folder
+
+
+_FOLDER_SQL = """WITH p AS (SELECT page_id % 10 AS digit, strlen(html) + 1 AS bytes FROM pages), f AS (SELECT digit, 'png' AS suffix, bytes FROM p WHERE digit < 4 UNION ALL SELECT digit, 'tiff', bytes FROM p WHERE digit BETWEEN 3 AND 5)
+SELECT digit, suffix, sum(bytes)::BIGINT AS bytes FROM f GROUP BY ALL"""
+
+
+def folder_sizes(found: DataFrame) -> DataFrame:
+    """Bytes of the images found in each subfolder, by suffix. Names of files depend on how many tasks wrote them."""
+    digit = F.regexp_extract("path", "digit=([0-9]+)", 1).cast("long")
+    return found.groupBy(digit.alias("digit"), files.suffix(F.col("path")).alias("suffix")).agg(F.sum("length").alias("bytes"))
+
+
+@query(_FOLDER_SQL)
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of a folder and its subfolders, any case of suffix; other files stay out."""
+    return folder_sizes(files.scan_folder(spark, written_folder(spark, sf_dir)).select("path", "length"))
+
+
+@query(_FOLDER_SQL)
+def folder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of files that came in."""
+    folder, out = written_folder(spark, sf_dir), f"{stored.folder(spark)}/seen-{uuid.uuid4().hex}"
+    found = files.stream_folder(spark, folder, files_per_batch=20).select("path", "length")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return folder_sizes(spark.read.parquet(out))
+
+
+@query("""SELECT page_id, lower(m) AS mime FROM (SELECT page_id, ['image/PNG', 'image/jpeg', 'text/html', '', 'image/tiff', 'IMAGE/GIF', 'image/webp'][(page_id % 7 + 1)::INTEGER] AS m FROM pages)
+WHERE lower(m) IN ('image/png', 'image/jpeg', 'image/jpg', 'image/gif', 'image/bmp', 'image/tiff')""")
+def mime_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("image/PNG", "image/jpeg", "text/html", "", "image/tiff", "IMAGE/GIF", "image/webp")))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.element_at(kinds, (F.col("page_id") % 7 + 1).cast("int")).alias("m"))
+    return rows.where(files.allowed_mime(F.col("m"))).select("page_id", F.lower("m").alias("mime"))
+
+
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 6 = 0 THEN 'No text was found in the image.' ELSE text END AS text, n_chars FROM documents")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, some of them blank, as JSON files with the message that a reader gets, and back."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.element_at(F.array(F.lit(""), F.lit("  "), F.lit(None)), (F.col("doc_id") % 3 + 1).cast("int"))).otherwise(F.col("text")))
+    rows, path = docs.select("doc_id", "lang", sinks.message(F.col("text")).alias("text"), "n_chars"), f"{stored.folder(spark)}/json-{uuid.uuid4().hex}"
+    sinks.write_text(sinks.as_json(rows), "value", path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("""WITH l AS (SELECT unnest(string_split('OCR 결과 - ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || '텍스트 길이: ' || length(props) || '자' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || props, chr(10))) AS line FROM events)
+SELECT line, count(*) AS n FROM l GROUP BY line""")
+def snapshots_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as they are filed, from the text files: each line and how often it stands there."""
+    path = f"{stored.folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select(sinks.snapshot(F.col("props"), "OCR 결과", F.col("ts")).alias("s"))
+    sinks.write_text(rows, "s", path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id % 2, ts, event_id) AS id, user_id::VARCHAR AS session_id, round(value / 500, 9) AS accuracy FROM events")
+def sessions_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of sessions after two commits."""
+    kept = store.Store(spark, f"{stored.folder(spark)}/store-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), (F.col("value") / 500).alias("accuracy"), F.col("value").alias("processing_time"), F.lit(0.5).alias("image_quality"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
+    for k in range(2):
+        kept.commit(sessions=rows.where(F.col("seq") % 2 == k))
+    return kept.table("performance_log").select("id", "session_id", F.round("accuracy", 9).alias("accuracy"))
+
+
 _ASCII_SQL = r"""array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b' WHEN c = chr(12) THEN '\f'
   WHEN unicode(c) > 65535 THEN printf('\u%04x\u%04x', ((unicode(c) - 65536) >> 10) + 55296, ((unicode(c) - 65536) & 1023) + 56320) WHEN unicode(c) < 32 OR unicode(c) > 126 THEN printf('\u%04x', unicode(c)) ELSE c END), '')"""
 

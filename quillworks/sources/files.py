@@ -32,6 +32,11 @@ def languages(spec: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def sorted_languages(spec: Column) -> Column:
+    """The different codes of a list, in order."""
+    return F.array_sort(F.array_distinct(languages(spec)))
+
+
 def scan_folder(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
     """Images of a folder and its subfolders, any case of suffix. A listing has each path once. Filters on path and length reach the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
