@@ -70,7 +70,8 @@ def suggest_many(words: DataFrame, patterns: DataFrame, limit: int = 5) -> DataF
 
     Each task cuts its rows to ``limit`` a pattern before they are shuffled, so a beginning that very many words share stays small. A pattern without words has no row.
     """
-    found = like_matches(words, patterns).join(words.select("word", "frequency", "last_used"), "word")
+    words = stored(words.select("word", "frequency", "last_used"), "words")
+    found = like_matches(words, patterns).join(words, "word")
     order = Window.partitionBy("pattern").orderBy(F.desc("frequency"), F.desc_nulls_last("last_used"), "word")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("pattern", "place", "word", "frequency")
 

@@ -471,6 +471,22 @@ def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.engine_result(found, "conv_id").select("conv_id", "success", F.md5("text").alias("text"), "total_blocks", F.round("confidence", 9).alias("confidence"))
 
 
+#: What stands for particles in texts without Hangul.
+PARTICLES = ("the", "of", "le", "la", "der", "die", "el", "que", "은", "는", "이", "가")
+_PARTICLES_SQL = "(" + ", ".join(map(_sql_text, PARTICLES)) + ")"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split({SEEDED_SQL}, '. ') AS ss FROM documents),
+o AS (SELECT doc_id, list_transform(list_transform(ss, lambda x: {TRIM_SQL.replace('{x}', 'x')}), lambda x: CASE WHEN length(x) <= 3 THEN x ELSE
+  list_reduce(regexp_split_to_array(x, '\s+'), lambda a, b: a || CASE WHEN b IN {_PARTICLES_SQL} THEN '' ELSE ' ' END || b) END) AS ss FROM d)
+SELECT doc_id, array_to_string(list_filter(ss, lambda x: x <> ''), '. ') AS out FROM o""")
+def morpheme_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spacing by an analyzer that takes words for forms and knows some particles."""
+    known = set(PARTICLES)
+    docs = seeded(documents(spark, sf_dir)).withColumnRenamed("text", "out")
+    return text.morphology(docs, "out", lambda s: [(w, "J" if w in known else "N") for w in s.split()]).select("doc_id", "out")
+
+
 _COUNTED = [r for r in text.MISREAD if r.plain][:40]
 _count_steps = ", ".join(f"{rules.sql(f't{k}', [r])} AS t{k + 1}" for k, r in enumerate(_COUNTED))
 _count_total = " + ".join(f"(length(t{k}) - length(replace(t{k}, {_sql_text(r.found)}, ''))) // {len(r.found)}" for k, r in enumerate(_COUNTED))

@@ -14,9 +14,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillworks.functions import text
-from quillworks.operators import analytics, dictionary, layout, metrics, rulebook, selection, store, stored, wordlist
-from quillworks.sources import encoding, rasters
+from quillworks import job
+from quillworks.functions import rules, text
+from quillworks.operators import analytics, dictionary, layout, metrics, results, rulebook, selection, store, stored, wordlist
+from quillworks.sources import encoding, files, rasters
 from quillworks.streaming import words as wordstream
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -368,3 +369,43 @@ def test_history_keeps_a_null_key(spark):
 
 def test_a_cluster_needs_its_shared_folder(spark):
     assert stored.folder(spark) == os.path.normpath(spark.conf.get("spark.checkpoint.dir"))
+
+
+# ---- presets, options, shapes, languages, the job ----
+
+
+def test_best_preset(spark):
+    rows = [("a", "clean", 0, 0.0), ("a", "thin", 2, 0.5), ("a", "shadow", 1, 0.5), ("b", "thin", 2, 0.0), ("b", "shadow", 1, -1.0), (None, "thin", 2, 0.1), ("c", "shadow", 1, float("nan")), ("c", "thin", 2, None)]
+    got = analytics.best_preset(spark.createDataFrame(rows, "k string, preset string, o int, score double"), "k", "preset", "o", "score").collect()
+    assert {r["k"]: (r["preset"], r["score"]) for r in got} == {"a": ("shadow", 0.5), "b": ("clean", 0.0), None: ("thin", 0.1), "c": ("clean", 0.0)}
+
+
+def test_options_shapes_and_languages(spark):
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": None}, [["box", "t"], ["box"], None, ["box", "t", "0.5"]], "ko+en+ko+"), (None, {"x": "1"}, None, ""), ({"a": "1"}, None, [], "fr, de")], "d map<string,string>, g map<string,string>, f array<array<string>>, s string")
+    got = df.select(results.merged(F.col("d"), F.col("g")), results.well_formed(F.col("f")), files.sorted_languages(F.col("s"))).collect()
+    assert [r[0] for r in got] == [{"a": "1", "b": "3", "c": None}, {"x": "1"}, {"a": "1"}]
+    assert [r[1] for r in got] == [[["box", "t"], ["box", "t", "0.5"]], None, []] and [r[2] for r in got] == [["en", "ko"], [], ["de", "fr"]]
+
+
+def test_occurrences_of_many_rules(spark):
+    """As many rules as make one expression after another too large to compile."""
+    many = [rules.Rule(f"w{k}x", f"w{k + 1}x", True) for k in range(60)] + [rules.Rule(r"w(\d+)x", r"\1")]
+    values = ["w0x w0x w59x", "", "none", None]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(rules.occurrences(F.col("t"), many)).collect()] == [2 * 60 + 1 + 3, 0, 0, None]
+    assert spark.range(1).select(rules.occurrences(F.lit("x"), [])).first()[0] == 0
+
+
+def test_job(spark, tmp_path, capsys):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.BMP").write_bytes(bmp([[(1, 2, 3)] * 4] * 2))
+    (tmp_path / "in" / "sub" / "b.png").write_bytes(b"\x89PNG")
+    (tmp_path / "in" / "c.txt").write_bytes(b"no image")
+    assert job.main([str(tmp_path / "in"), "ko, en", "--output", str(tmp_path / "out")], spark) == 0
+    lines = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    got = {x["image_id"].rsplit("/", 1)[1]: x for x in lines}
+    assert got.keys() == {"a.BMP", "b.png"} and got["a.BMP"]["success"] and got["a.BMP"]["text"] == "샘플 텍스트." and got["a.BMP"]["languages"] == "ko+en"
+    assert not got["b.png"]["success"] and got["b.png"]["error"] == "no reader for this kind of file" and got["b.png"]["text"] == ""
+    for wrong in ([], ["a", "b", "c"], ["a", "--engine"], ["a", "--what"], ["a", "--engine", "none"]):
+        assert job.main(wrong, spark) == 1
+    assert "usage" in capsys.readouterr().out
