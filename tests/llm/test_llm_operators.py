@@ -442,18 +442,19 @@ def test_lcs():
 def test_licenses(spark):
     rng = random.Random(4)
     fill = lambda n: " ".join(rng.choice(["lorem", "the", "software", "license", "of", "public", "rights"]) + str(rng.randrange(3) or "") for _ in range(n))
-    texts = []
+    texts, every = [], {**licenses.TEMPLATES, **licenses.WHOLE}
     for k in range(60):
-        names = rng.sample(list(licenses.TEMPLATES), rng.choice([0, 1, 2]))
-        texts.append((k, fill(rng.randint(0, 60)) + "".join("\n" + licenses.TEMPLATES[n] + "\n" + fill(rng.randint(0, 40)) for n in names), "s"))
+        names = rng.sample(list(every), rng.choice([0, 1, 2]))
+        texts.append((k, fill(rng.randint(0, 60)) + "".join("\n" + every[n] + "\n" + fill(rng.randint(0, 40)) for n in names), "s"))
     mit = licenses.TEMPLATES["mit-permission"].split()
     mit[8] = "CHANGED"
     texts += [(7, licenses.TEMPLATES["isc"], "s"), (104, fill(20_000) + " " + licenses.TEMPLATES["bsd"], "s"), (100, " ".join(mit), "s"), (101, None, "s"), (102, "", "s"), (103, "all RIGHTS, reserved", "s"), (None, licenses.TEMPLATES["mit"], "s")]
+    texts += [(200 + k, fill(9) + "\nCopyright 2024\n" + t + "\n" + fill(9), "s") for k, t in enumerate(licenses.WHOLE.values())]
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     want = set()
     for d, t, _ in texts:
         w, held = split(t), []
-        for name, template in licenses.TEMPLATES.items():
+        for name, template in every.items():
             p = split(template)
             width, step = min(5, len(p)), max(1, len(p) // 4)
             shingles = lambda x: {tuple(x[i : i + width]) for i in range(len(x) - width + 1)}  # noqa: B023, E731
@@ -463,7 +464,7 @@ def test_licenses(spark):
         want |= {(d, n) for n, c, a, m in held if not any(c2 > c and a2 < a + m and a < a2 + m2 for _, c2, a2, m2 in held)}
     docs = frame(spark, texts).withColumns({"license": F.lit("mine"), "word": F.lit(1)})
     got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()}
-    assert got == want and len(want) > 50 and (100, "mit-permission") in want  # 20 of 25 shingles are left
+    assert got == want and len(want) > 50 and (100, "mit-permission") in want and {(200 + k, n) for k, n in enumerate(licenses.WHOLE)} <= want  # 20 of 25 shingles are left
     assert licenses.scan_licenses(frame(spark, texts).limit(0)).count() == 0
 
 
