@@ -31,12 +31,12 @@ def _grams(word: Column, n: int) -> Column:
     return F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), one)).otherwise(F.array().cast(KEYS))
 
 
-def like_matches(words: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, word): every different ``words.word`` that is LIKE ``patterns.pattern`` and anything after; % and _ match as in LIKE, A-Z in any case.
+def like_matches(words: DataFrame, patterns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(pattern, word) and the columns in ``keep``: every different ``words.word`` that is LIKE ``patterns.pattern`` and anything after; % and _ match as in LIKE, A-Z in any case.
 
     Plain patterns meet words by equal beginnings, of those lengths alone that patterns have. One with a wildcard meets words by what it has before
     it, else by the start of its first plain run anywhere in a word, and is then compared. Only a pattern without plain characters meets all words.
-    Null words and patterns match nothing.
+    Null words and patterns match nothing. With ``keep``, words have to be different already.
     """
     wild = F.regexp_extract("p", "^[^%_]*", 0)
     some, last = F.regexp_extract("p", f"[^%_]{{1,{GRAM}}}", 0), F.regexp_extract("p", "([^%_]*)[%_]*$", 1)
@@ -48,7 +48,8 @@ def like_matches(words: DataFrame, patterns: DataFrame) -> DataFrame:
     told = asked.groupBy(F.col("kind").isin("plain", "head").alias("heads")).agg(F.collect_set(F.length("key")).alias("lengths"), F.collect_set("kind").alias("kinds")).collect()
     lengths = sorted({n for r in told if r["heads"] for n in r["lengths"]})
     kinds = {k for r in told for k in r["kinds"]}
-    words = words.where("word is not null").select("word").distinct().withColumn("w", folded(F.col("word")))
+    words = words.where("word is not null").select("word", *keep)
+    words = (words if keep else words.distinct()).withColumn("w", folded(F.col("word")))
     keys = []
     if lengths:
         heads = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("w"))
@@ -58,20 +59,19 @@ def like_matches(words: DataFrame, patterns: DataFrame) -> DataFrame:
     if "any" in kinds:
         keys.append(F.array(F.struct(F.lit(False).alias("head"), F.lit("").alias("key"))))
     none = F.array().cast(KEYS)
-    keyed = words.select("word", "w", F.explode(F.array_distinct(F.concat(*keys) if keys else none)).alias("k")).select("word", "w", "k.head", "k.key")
+    keyed = words.select("word", "w", *keep, F.explode(F.array_distinct(F.concat(*keys) if keys else none)).alias("k")).select("word", "w", *keep, "k.head", "k.key")
     asked = asked.withColumn("head", F.col("kind").isin("plain", "head"))
     met = keyed.join(asked, ["head", "key"])
     exact = F.like(F.col("w"), F.concat(F.replace(F.col("p"), F.lit("\\"), F.lit("\\\\")), F.lit("%")))
-    return met.where((F.col("kind") == "plain") | F.contains("w", "last") & exact).select("pattern", "word")
+    return met.where((F.col("kind") == "plain") | F.contains("w", "last") & exact).select("pattern", "word", *keep)
 
 
 def suggest_many(words: DataFrame, patterns: DataFrame, limit: int = 5) -> DataFrame:
-    """(pattern, place, word, frequency): for each different pattern the ``limit`` best of ``words`` (word, frequency, last_used): most frequent, latest, then by word.
+    """(pattern, place, word, frequency): for each different pattern the ``limit`` best of ``words`` (word, frequency, last_used), a row a word: most frequent, latest, then by word.
 
     Each task cuts its rows to ``limit`` a pattern before they are shuffled, so a beginning that very many words share stays small. A pattern without words has no row.
     """
-    words = stored(words.select("word", "frequency", "last_used"), "words")
-    found = like_matches(words, patterns).join(words, "word")
+    found = like_matches(words, patterns, ("frequency", "last_used"))
     order = Window.partitionBy("pattern").orderBy(F.desc("frequency"), F.desc_nulls_last("last_used"), "word")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("pattern", "place", "word", "frequency")
 
