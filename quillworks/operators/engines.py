@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +22,14 @@ def available() -> list[str]:
     return sorted(_makers)
 
 
+def register_optional(name: str, module: str, maker: Callable[[object], Callable]) -> bool:
+    """Registers an engine that needs a module from outside, if that is there; the reader is made from the module where it runs. False: it is not, and nothing changes."""
+    if importlib.util.find_spec(module) is None:
+        return False
+    register(name, lambda: maker(importlib.import_module(module)))
+    return True
+
+
 #: What the stub reads from any image; one score more than words.
 STUB_TEXT, STUB_SCORES = "샘플 텍스트", (0.8, 0.9, 0.7)
 #: Reading parameters by use: book pages, safe reading, and none where the safe ones fail.

@@ -1032,6 +1032,19 @@ def json_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", encoding.ascii_string(F.col("text")).alias("json"))
 
 
+_ESCAPED_SQL = r"""array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t'
+  WHEN unicode(c) > 65535 THEN printf('\U%08x', unicode(c)) WHEN unicode(c) > 255 THEN printf('\u%04x', unicode(c)) WHEN unicode(c) < 32 OR unicode(c) > 126 THEN printf('\x%02x', unicode(c)) ELSE c END), '')"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, {SEEDED_SQL} || chr((128512 + doc_id % 50)::INTEGER) AS t FROM documents), e AS (SELECT doc_id, regexp_matches(t, '^[\\x00-\\xFF]*$') AS latin, {_ESCAPED_SQL} AS escaped FROM d)
+SELECT doc_id, latin, escaped FROM e""")
+def unicode_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the last resort of a writer: every character beyond ASCII as an escape."""
+    faces = "".join(map(chr, range(128512, 128562)))
+    docs = seeded(documents(spark, sf_dir)).withColumn("text", F.concat("text", F.substring(F.lit(faces), (F.col("doc_id") % 50 + 1).cast("int"), F.lit(1))))
+    return docs.select("doc_id", encoding.representable(F.col("text"), "iso-8859-1").alias("latin"), encoding.unicode_escape(F.col("text")).alias("escaped"))
+
+
 @query("""SELECT event_type || (user_id % 40) AS word, arg_max(event_id, (ts, event_id)) AS id, count(*) AS frequency, arg_max(props, (ts, event_id)) AS context, max(ts) AS created_at FROM events GROUP BY 1""")
 def stream_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word list that a stream of events keeps in its state, from the updates that it wrote."""
