@@ -24,13 +24,27 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this process has written, until clear().
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written and read again: no lineage behind it, and every reader sees the same rows."""
+    """df written and read again: no lineage behind it, and every reader sees the same rows. It stays until clear(), as what an operator returns may read it."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that operators have stored so far and tells how many; for callers that have written their results elsewhere."""
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def numbered(rows: DataFrame, group: list[str], order: list[str], number: str = "n") -> DataFrame:
     """rows with each one's place in ``order`` within its group, from 0. Written, so every reader sees the same numbers.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillworks import job
 from quillworks.functions import rules, text
-from quillworks.operators import analytics, dictionary, layout, metrics, results, rulebook, selection, store, stored, wordlist
+from quillworks.operators import analytics, dictionary, engines, layout, metrics, results, rulebook, selection, store, stored, wordlist
 from quillworks.sources import encoding, files, rasters
 from quillworks.streaming import words as wordstream
 
@@ -57,6 +57,12 @@ def test_numbered_spreads_equal_rows(spark):
     assert max(r[1] for r in spark.read.parquet(str(ranged)).groupBy("_part").count().collect()) < 10_000
 
 
+def test_stored_tables_go(spark):
+    stored.clear(spark)
+    assert stored.stored(spark.range(3), "three").count() == 3 and len(list(Path(stored.folder(spark)).glob("three-*"))) == 1
+    assert stored.clear(spark) == 1 and not list(Path(stored.folder(spark)).glob("three-*")) and stored.clear(spark) == 0
+
+
 # ---- words ----
 
 
@@ -367,6 +373,13 @@ def test_history_keeps_a_null_key(spark):
     assert {r["k"]: (r["total"], r["last_scores"]) for r in analytics.history_stats(rows, "k", "o", "s").collect()} == {"a": (1, [0.9]), None: (2, [0.5, 0.8])}
 
 
+def test_optional_engines(spark):
+    assert not engines.register_optional("none", "no_such_module_here", lambda m: None) and "none" not in engines.available()
+    assert engines.register_optional("by_json", "json", lambda m: lambda image: [([], m.dumps(image["image_id"]), 0.5)])
+    got = engines.recognise(spark.createDataFrame([("a", 1)], "image_id string, height int"), "by_json").first()
+    assert got["text"] == '"a"' and got["error"] is None
+
+
 def test_a_cluster_needs_its_shared_folder(spark):
     assert stored.folder(spark) == os.path.normpath(spark.conf.get("spark.checkpoint.dir"))
 
