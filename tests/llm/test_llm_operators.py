@@ -753,7 +753,7 @@ def test_shard_rows_is_its_plan(docs):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_queries_as_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).fetch_df()
     got = queries.queries()[name](spark, data).toPandas()[list(want.columns)]
