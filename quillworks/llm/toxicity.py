@@ -219,21 +219,31 @@ def scores(scratch: Scratch, docs: DataFrame, model: DataFrame, share: float, mo
     return found.join(extra, "row", "left").select("id", "words", (F.col("sum") + F.coalesce("extra", F.lit(0.0))).alias("sum"))
 
 
-def logistic(x: np.ndarray, n: np.ndarray, ones: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
-    """Slope (0 at least) and intercept of P(1) = 1 / (1 + exp(-(slope * x + intercept))) on counts by x."""
+def logistic(x: np.ndarray, n: np.ndarray, ones: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> tuple[float, float]:
+    """Slope (0 at least) and intercept of P(1) = 1 / (1 + exp(-(slope * x + intercept))) on counts by x.
+
+    Newton's method on a convex loss. A step that does not lower the loss enough is halved: whole steps can overshoot the
+    curve, as classes that lie far apart leave hardly any row near its middle, and then swing for ever.
+    """
     slope, base = 0.0, math.log((ones.sum() + 1) / (n.sum() - ones.sum() + 1))
     if not 0 < ones.sum() < n.sum():
         return 1.0, base
+    even, at = base, np.array([slope, base])
+    loss = lambda at: float((n * np.logaddexp(0, at[0] * x + at[1]) - ones * (at[0] * x + at[1])).sum() + ridge * at[0] ** 2 / 2)
+    now = loss(at)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + base, -30, 30)))
+        p = np.exp(-np.logaddexp(0, -(at[0] * x + at[1])))
         w, miss = n * p * (1 - p) + 1e-9, ones - n * p
         h = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + ridge]])
-        step = np.linalg.solve(h, [(miss * x).sum() - ridge * slope, miss.sum()])
-        step *= min(1.0, 4 / max(np.abs(step).max(), 1e-9))
-        slope, base = slope + step[0], base + step[1]
-        if np.abs(step).max() < 1e-8:
+        rise = np.array([(miss * x).sum() - ridge * at[0], miss.sum()])
+        step = np.linalg.solve(h, rise)
+        part, gain = 1.0, float(rise @ step)
+        while part > 1e-9 and (then := loss(at + part * step)) > now - 1e-4 * part * gain:
+            part /= 2
+        if part <= 1e-9 or np.abs(part * step).max() < 1e-8:
             break
-    return max(0.0, float(slope)), float(base)
+        at, now = at + part * step, then
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (0.0, even)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, share: float = 0.005, scale: float = 1000.0, most: int = 1 << 20) -> DataFrame:

@@ -190,6 +190,18 @@ def test_classifiers_on_repeated_and_long_texts(spark, run):
     assert len({r["score"] for r in got if r["doc_id"] == 7}) == 2 and all(0 <= r["score"] <= 1 for r in got)
 
 
+@pytest.mark.parametrize("ordinary, between", [(-1.0, 2.5), (-1.0, 3.5), (0.0, 3.5), (0.0, 1.0)])
+def test_calibration_settles_on_classes_that_lie_far_apart(ordinary, between):
+    """Whole Newton steps swing there and end with a slope of 0, which calls nothing toxic."""
+    x, n, ones = np.array([ordinary, between, 4.5]), np.array([3845.0, 18, 357]), np.array([0.0, 3, 357])
+    slope, base = toxicity.logistic(x, n, ones)
+    p = 1 / (1 + np.exp(-(slope * x + base)))
+    assert ((ones - n * p) * x).sum() - 1e-3 * slope == pytest.approx(0, abs=1e-3) and (ones - n * p).sum() == pytest.approx(0, abs=1e-3)
+    assert (p >= 0.5).tolist() == [False, False, True]
+    slope, base = toxicity.logistic(-x, n, ones)  # the wrong way round: the share of ones everywhere
+    assert slope == 0 and base == pytest.approx(np.log(361 / 3861))
+
+
 def plain_kneser_ney(docs, discount=0.75, weight=5.0, least=3):
     """(text, class) to each word's log ratio, step by step."""
     split = lambda t: [w for w in re.split(rb"[^a-z0-9\x80-\xff]+", t.lower().encode()) if w]
