@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ PIECE = 256
 NEAR = 0.85
 #: Pieces and different words of a block. Each block has its own vocabulary and basis, so both stay small at any benchmark.
 BLOCK_PIECES, BLOCK_WORDS, BLOCKS_AT_ONCE = 256, 8_192, 8
+#: Words of a slice of the sums for the singular vectors, and documents that are multiplied at a time, as a dense matrix of 8 MB at most.
+SLICE, ROWS = 256, 256
 
 
 @dataclasses.dataclass
@@ -128,17 +131,45 @@ def blocks_of(items: DataFrame) -> Iterator[Block]:
         yield Block(ids, pieces)
 
 
-def _frequencies(blocks: list[Block]):
+def _counts(blocks: list[Block]):
+    """text to (block, word, count): for each text and block, the block's words in it, where there are any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks:
             block.prepare()
-        counts = [np.zeros(len(b.vocabulary), np.int64) for b in blocks]
         for batch in batches:
             for _, t in textnum.texts(batch.column(0)):
                 hashes, own = t.hashes(lower=True), t.owners()
-                for block, count in zip(blocks, counts, strict=True):
+                for k, block in enumerate(blocks):
                     at, word = block.find(hashes)
-                    count += np.bincount(np.unique(own[at] * len(count) + word) % len(count), minlength=len(count))
+                    key, count = np.unique(own[at] * len(block.vocabulary) + word, return_counts=True)
+                    used, row = np.unique(key // len(block.vocabulary), return_inverse=True)
+                    bounds = np.searchsorted(row, np.arange(len(used) + 1)).astype(np.int32)
+                    lists = (pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (key % len(block.vocabulary), count))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), *lists], names=["block", "word", "count"])
+
+    return run
+
+
+def _flat(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy()
+
+
+def _bounds(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    """Where each row's list begins in the flat ones, and the last one's end."""
+    offsets = batch.column(column).offsets.to_numpy()
+    return offsets - offsets[0]
+
+
+def _frequencies(blocks: list[Block]):
+    """(block, word) of the counts to (block, word, df), summed by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(len(b.vocabulary), np.int64) for b in blocks]
+        for batch in batches:
+            block = np.repeat(batch.column(0).to_numpy(), np.diff(_bounds(batch, 1)))
+            for k, count in enumerate(counts):
+                count += np.bincount(_flat(batch, 1)[block == k], minlength=len(count))
         for k, count in enumerate(counts):
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_pydict({"block": np.full(len(some), k), "word": some, "df": count[some]})
@@ -146,48 +177,62 @@ def _frequencies(blocks: list[Block]):
     return run
 
 
-def _sample_rows(blocks: list[Block]):
+def _weights(idfs: list[np.ndarray]):
+    """(block, word, count) to (block, word, weight): TF-IDF rows of length 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks:
-            block.prepare()
+        starts = np.concatenate([[0], np.cumsum(list(map(len, idfs)))])
+        idf = np.concatenate(idfs)
         for batch in batches:
-            for _, t in textnum.texts(batch.column(0)):
-                hashes = t.hashes(lower=True)
-                for k, block in enumerate(blocks):
-                    row, word, texts, _ = block.passages(t, hashes)
-                    row, word, weight, length = block.weighted(row, word, len(texts))
-                    weight = (weight / length[row]).astype(np.float32)
-                    used, row = np.unique(row, return_inverse=True)
-                    bounds = np.searchsorted(row, np.arange(len(used) + 1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (word.astype(np.int32), weight))], names=["block", "word", "weight"])
+            if batch.num_rows:  # rows have a word at least
+                block, bounds = batch.column(0), _bounds(batch, 1)
+                size = np.diff(bounds)
+                weight = (1 + np.log(_flat(batch, 2))) * idf[np.repeat(starts[block.to_numpy()], size) + _flat(batch, 1)]
+                weight /= np.repeat(np.sqrt(np.add.reduceat(weight**2, bounds[:-1])), size)
+                yield pa.RecordBatch.from_arrays([block, batch.column(1), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(weight.astype(np.float32)))], names=["block", "word", "weight"])
 
     return run
 
 
-def randomised_svd(sample: DataFrame, rows: np.ndarray, words: int, rank: int, over: int = 12, rounds: int = 2, parts: int = 2, seed: int = 4) -> np.ndarray:
-    """The ``rank`` leading right singular vectors (words x rank) of the rows of ``sample`` (word, weight) above ``rows``.
+def randomised_svd(corpus: DataFrame, rows: np.ndarray, words: int, rank: int, over: int = 12, rounds: int = 2, seed: int = 4) -> np.ndarray:
+    """The ``rank`` leading right singular vectors (words x rank) of the rows of ``corpus`` (word, weight) above ``rows``.
 
-    Subspace iteration from a random start: each round multiplies by A'A, summed by partition, and orthonormalises. The
-    sample is bounded and lies in a few partitions; a partition sends one words x (rank + over) matrix.
+    Subspace iteration from a random start: each round multiplies by A'A and orthonormalises. All rows of ``corpus`` take part,
+    where they lie: a task sums its rows' share of the product, and the shares are added up on Spark in slices of SLICE words, in the tasks'
+    order, so that reruns agree. The driver gets one words x (rank + over) matrix a round, whatever the number of rows.
     """
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(words, min(words, rank + over))))[0]
-    for _ in range(rounds + 1):
+    shared = corpus.sparkSession.sparkContext.broadcast
 
-        def product(batches: Iterator[pa.RecordBatch], q: np.ndarray = basis.astype(np.float32)) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(q)
-            for batch in batches:
-                offsets, words, weights = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy(), batch.column(1).values.to_numpy()
-                for at in range(0, batch.num_rows, 2_048):  # rows have a word at least
-                    bounds = offsets[at : min(at + 2_048, batch.num_rows) + 1]
-                    word, weight = words[bounds[0] : bounds[-1]], weights[bounds[0] : bounds[-1], None]
-                    y = np.repeat(np.add.reduceat(q[word] * weight, bounds[:-1] - bounds[0], axis=0), np.diff(bounds), axis=0) * weight
-                    order = np.argsort(word, kind="stable")
-                    different, first = np.unique(word[order], return_index=True)
-                    total[different] += np.add.reduceat(y[order], first, axis=0)
-            yield pa.RecordBatch.from_pydict({"sum": [total.astype(np.float32).tobytes()]})
-
-        told = sample.coalesce(parts).mapInArrow(product, "sum binary").collect()
-        total = rows.T @ (rows @ basis) + sum((np.frombuffer(x["sum"], np.float32).reshape(basis.shape) for x in told), np.zeros_like(basis))
+    def product(q, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = q.value
+        total = np.zeros_like(q)
+        for batch in batches:
+            bounds, words, weights = _bounds(batch, 0), _flat(batch, 0), _flat(batch, 1)
+            for at in range(0, batch.num_rows, ROWS):
+                own = bounds[at : at + ROWS + 1]
+                some = np.zeros((len(own) - 1, len(q)), np.float32)
+                some[np.repeat(np.arange(len(some)), np.diff(own)), words[own[0] : own[-1]]] = weights[own[0] : own[-1]]
+                total += some.T @ (some @ q)
+        slices = [total[k : k + SLICE].tobytes() for k in range(0, len(total), SLICE)]
+        yield pa.RecordBatch.from_pydict({"slice": np.arange(len(slices), dtype=np.int32), "task": np.full(len(slices), TaskContext.get().partitionId(), np.int32), "sum": slices})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                part = np.frombuffer(part.as_buffer(), np.float32).astype(float)
+                sums[k] = sums[k] + part if k in sums else part
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "sum": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    for _ in range(rounds + 1):
+        q = shared(basis.astype(np.float32))
+        parts = corpus.mapInArrow(lambda batches, q=q: product(q, batches), "slice int, task int, sum binary")
+        told = parts.repartition("slice").sortWithinPartitions("slice", "task").mapInArrow(added, "slice int, sum binary").collect()
+        q.destroy()
+        total = rows.T @ (rows @ basis)
+        for x in told:
+            total[x["slice"] * SLICE : (x["slice"] + 1) * SLICE] += np.frombuffer(x["sum"]).reshape(-1, basis.shape[1])
         basis, previous = np.linalg.qr(total)[0], basis
     values, vectors = np.linalg.eigh(previous.T @ total)
     return (previous @ vectors)[:, np.argsort(-values)[:rank]]
@@ -258,13 +303,13 @@ def _matches(blocks: list[Block], share: float, answer: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, answer: float = 0.75, rank: int = 64, sample: int = 2_000, id_col: str = "doc_id") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, answer: float = 0.75, rank: int = 64, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, word): the benchmark items that a document gives away, with the best passage.
 
     Words are runs of anything but white space, A-Z lowered. Document frequencies of the benchmark's words are counted
-    over all documents. The basis holds the ``rank`` leading singular vectors of the items and of the passages of about ``sample``
-    documents at most, picked by id hash, and what the items have outside them, so that the latent inner product of any passage
-    with an item is that of their TF-IDF vectors, whatever the sample. Every passage of every whole text is searched by it.
+    over all documents. The basis holds the ``rank`` leading singular vectors of the items and of all documents, whole, as TF-IDF rows,
+    and what the items have outside them, so that the latent inner product of any passage with an item is that of their
+    TF-IDF vectors. Nothing is fitted on a sample. Every passage of every whole text is searched by it.
     A passage is a candidate where the product is no less than a match can have: a match holds ``share`` of the item's words, so
     the product is at least what the cheapest such words give; divided by both lengths, that is the cosine that it has to reach.
     So the search loses no match. A candidate gives the item away if their longest common subsequence covers ``share`` of the
@@ -279,7 +324,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, answ
     scratch = Scratch(spark, "decontaminate")
     kind = docs.schema[id_col].dataType.simpleString()
     docs, out, group = docs.select(F.col(id_col).alias("id"), "text"), [], []
-    pick = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30))
 
     def over(rows: DataFrame, blocks: list[Block], make: Callable, schema: str, name: str) -> DataFrame:
         """rows through make(blocks), written; the blocks leave all memories after it."""
@@ -290,24 +334,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, answ
             shared.destroy()
 
     def search(blocks: list[Block], name: str) -> DataFrame:
-        counted = over(docs.select("text"), blocks, _frequencies, "block long, word long, df long", f"{name}-df").groupBy("block", "word").agg(F.sum("df").alias("df"))
+        counts = over(docs.select("text"), blocks, _counts, "block long, word array<int>, count array<int>", f"{name}-counts")
+        counted = over(counts.select("block", "word"), blocks, _frequencies, "block long, word long, df long", f"{name}-df").groupBy("block", "word").agg(F.sum("df").alias("df"))
         told = counted.toArrow()  # BLOCK_WORDS rows a block at most, BLOCKS_AT_ONCE blocks
         for k, block in enumerate(blocks):
             df, mine = np.zeros(len(block.vocabulary)), told.column("block").to_numpy() == k
             df[told.column("word").to_numpy()[mine]] = told.column("df").to_numpy()[mine]
             block.idf = np.log1p((total + 1) / (df + 1))
-        rows = over(sampled.select("text"), blocks, _sample_rows, "block long, word array<int>, weight array<float>", f"{name}-sample")
+        rows = scratch.write(counts.mapInArrow(_weights([b.idf for b in blocks]), "block long, word array<int>, weight array<float>"), f"{name}-rows")
+        scratch.drop(f"{name}-counts")
         for k, block in enumerate(blocks):
             items = block.matrix()
             items /= np.linalg.norm(items, axis=1, keepdims=True)
             basis = randomised_svd(rows.where(F.col("block") == k).select("word", "weight"), items, len(block.vocabulary), min(rank, len(block.vocabulary)))
             block.basis = completed(basis, items).astype(np.float32)
-        found = over(docs, blocks, lambda b: _matches(b, share, answer), f"id {kind}, item_id long, cosine double, lcs double, answer double, word long", name)
-        scratch.drop(f"{name}-df", f"{name}-sample")
-        return found
+        scratch.drop(f"{name}-rows", f"{name}-df")
+        return over(docs, blocks, lambda b: _matches(b, share, answer), f"id {kind}, item_id long, cosine double, lcs double, answer double, word long", name)
 
     total = docs.count()
-    sampled = scratch.write(docs.where(pick < int(min(1.0, sample / max(1, total)) * (1 << 30))), "sampled")
     for block in blocks_of(benchmark):
         group.append(block)
         if len(group) == BLOCKS_AT_ONCE:

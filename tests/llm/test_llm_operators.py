@@ -409,6 +409,45 @@ def test_contaminated_finds_all_that_brute_force_finds(spark, monkeypatch):
     assert all(r["lcs"] == want[p] for p, r in got.items())
 
 
+def test_the_basis_comes_from_all_documents(spark, monkeypatch):
+    """Every document with a word of the benchmark is a row of the matrix, weighed by the frequencies of all, and the sums by task give what numpy gives on the whole matrix."""
+    rng = random.Random(8)
+    items = [[f"w{rng.randrange(40) + 40 * k}" for _ in range(12)] for k in range(8)]
+    texts = [[f"w{rng.randrange(40) + 40 * (k % 8)}" for _ in range(6 + k % 8)] + ["foreign"] for k in range(3000)] + [["foreign"], []]
+    fit, seen = decontaminate.randomised_svd, []
+
+    def told(corpus, rows, words, rank):
+        got = corpus.collect()
+        found = fit(corpus.repartition(7), rows, words, 8)
+        seen.append((got, rows, found))
+        return found
+
+    monkeypatch.setattr(decontaminate, "randomised_svd", told)
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(items)], "item_id long, text string")
+    decontaminate.contaminated(frame(spark, [(k, " ".join(t), "s") for k, t in enumerate(texts)]), bench).count()
+    (block,) = decontaminate.blocks_of(bench)
+    block.vocabulary, ((got, rows, found),) = sorted({w for v in items for w in v}), seen
+    df = {w: sum(w in t for t in map(set, texts)) for w in block.vocabulary}
+    want = []
+    for t in texts:
+        own = {w: (1 + np.log(t.count(w))) * np.log1p((len(texts) + 1) / (df[w] + 1)) for w in set(t) & df.keys()}
+        if own:
+            want.append([float(x / np.linalg.norm(list(own.values()))) for x in own.values()])
+    assert len(got) == len(want) > 2500
+    assert sorted(x for r in got for x in r["weight"]) == pytest.approx(sorted(x for w in want for x in w), abs=1e-5)
+    dense = np.zeros((len(got), rows.shape[1]))
+    for k, r in enumerate(got):
+        dense[k, r["word"]] = r["weight"]
+    whole = np.concatenate([rows, dense])
+    basis = np.linalg.qr(np.random.default_rng(4).normal(size=(rows.shape[1], 20)))[0]
+    for _ in range(3):
+        total = whole.T @ (whole @ basis)
+        basis, previous = np.linalg.qr(total)[0], basis
+    values, vectors = np.linalg.eigh(previous.T @ total)
+    right = (previous @ vectors)[:, np.argsort(-values)[:8]]
+    assert np.linalg.svd(right.T @ found)[1] == pytest.approx(np.ones(8), abs=1e-3)
+
+
 def test_items_of_odd_lengths(spark):
     """Items just over a piece leave no short tail; items under five words match nothing."""
     rng = random.Random(12)
